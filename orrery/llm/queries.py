@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, mixing, quality_rules, sharding
+from orrery.llm import chat, langid, minhash, mixing, quality_rules, sharding, toxicity
 from orrery.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op4_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +47,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_kd_tree_shards": op1_kd_tree_shards,
     "op2_quality_decision_list": op2_quality_decision_list,
+    "op4_language_naive_bayes": op4_language_naive_bayes,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_toxicity_ordinal": op6_toxicity_ordinal,
+    "op7_bottom_k_near_dedup": op7_bottom_k_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 

@@ -43,3 +43,34 @@ def word_count(text: Column) -> Column:
 def unit_hash(*cols: Column | str) -> Column:
     """A double in [0, 1) from the upper 53 bits of a 64-bit hash."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(2**53))
+
+
+#: A set of ids is broadcast up to so many (8 bytes each), and shuffled beyond.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+    """``rows`` joined with ``ids`` (already materialised): broadcast if their counted number allows it."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the edges (a, b); a component has its smallest node's id.
+
+    Alternates large-star and small-star steps until nothing changes, which takes
+    about log2 of the longest chain. Minima are aggregated before they are joined,
+    so a node with very many neighbours is never gathered anywhere.
+    """
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(2**40 - 1))).first()
+        if now == before or not now[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        before = now
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = cut(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
