@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, langid, minhash, mixing, quality_rules, sharding, toxicity
-from orrery.llm.support import table
+from orrery.llm import chat, decontam, langid, minhash, mixing, quality_rules, sharding, substrings, toxicity, warc
+from orrery.llm.support import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_report(spark, path)
+
+
 def op4_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,14 @@ def op7_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op8_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
@@ -47,14 +61,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_kd_tree_shards": op1_kd_tree_shards,
     "op2_quality_decision_list": op2_quality_decision_list,
+    "op3_warc_segments": op3_warc_segments,
     "op4_language_naive_bayes": op4_language_naive_bayes,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_toxicity_ordinal": op6_toxicity_ordinal,
     "op7_bottom_k_near_dedup": op7_bottom_k_near_dedup,
+    "op8_pigeonhole_decontamination": op8_pigeonhole_decontamination,
+    "op9_suffix_order_dedup": op9_suffix_order_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op3_warc_segments": warc.SQL,
     "op5_chat_formatting": chat.SQL,
     "op10_source_mixing": mixing.SQL,
 }
