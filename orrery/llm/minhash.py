@@ -5,8 +5,9 @@
    for it; only these representatives go on.
 2. Inverted lists of retained values. Of the K smallest values of the union of
    two sets of similarity 0.8, each is in both with a chance of 0.8, so two
-   sketches share fewer than T = 20 of K = 48 values in fewer than one pair in
-   10^8 (binomial; the true draw, without putting back, is narrower). Pairs that
+   sketches share fewer than T = 24 of K = 48 values in fewer than one pair in
+   10^6 (binomial; the true draw, without putting back, is narrower, and pairs of
+   greater similarity, or with a third document between them, are safer). Pairs that
    share T values also share one among the K - T + 1 rarest of each (the
    pigeonhole that prefix filters rest on), so a document enters the lists of its
    rarest values only, and what very many documents share makes no long lists.
@@ -16,7 +17,10 @@
    a link out are dropped, all others are verified on the full sets. Then members
    of a list that are still in different components are paired, those outside the
    list's largest component with all others, and verified in the same way. Within
-   a component nothing is left to find, so no link between components is lost.
+   a component nothing is left to find, so no link between components is lost. In
+   lists of more than LONG members, pairs are made only where they can be links: of
+   the documents in such lists, the shingles that no other of them has are counted
+   in the full sets, and they bound what two documents can share.
 
 Hot values, lists and classes are counted with partial aggregates and met by joins
 on (value) that Spark can split; nothing gathers a list, a class or a component.
@@ -40,7 +44,9 @@ from pyspark.sql import functions as F
 from orrery.llm.shingles import shingle_sets
 from orrery.llm.support import by_ids, components, cut
 
-K, T = 48, 20
+K, T = 48, 24
+#: Members of a list from which on it is paired with bounds from full sets.
+LONG = 32
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -113,6 +119,33 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
 
 
+def shared_shingles(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(doc_id, most): how many shingles of each of these documents another of them has too."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), n), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["doc_id", "g"])
+
+    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
+    every = texts.mapInArrow(spread, "doc_id long, g long").distinct()
+    twice = every.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    return every.join(twice, "g").groupBy("doc_id").agg(F.count("*").alias("most"))
+
+
+def open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a > b: pairs of a list in different components that can reach the similarity.
+
+    ``most`` bounds what a document can have in common with any other of them, and
+    so the similarity of a pair, before the pair is made.
+    """
+    one = members.where("NOT in_main").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
+    two = members.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"), "in_main")
+    can = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
+    pairs = one.join(two, (one.v == two.v) & (F.col("cx") != F.col("cy")) & can & (F.col("in_main") | (F.col("x") > F.col("y"))))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: shingles of n words, similarity of percent / 100."""
     sigs = cut(signatures(docs, n))
@@ -126,13 +159,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     found = components(links)
     members = lists.join(found, lists.doc_id == found.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    parts = members.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("m", "c")).alias("main")).where("parts > 1")
-    open_ = cut(members.join(parts, "v"))
-    outside = open_.where("c <> main").select("v", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    inside = open_.select("v", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), (F.col("c") == F.col("main")).alias("in_main"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    more = outside.join(inside, "v").where((F.col("ca") != F.col("cb")) & fits & (F.col("in_main") | (F.col("a") > F.col("b"))))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    parts = members.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), F.sum("m").alias("whole"), F.max_by("c", F.struct("m", "c")).alias("main")).where("parts > 1")
+    open_ = cut(members.join(parts, "v").select("v", "doc_id", "n", "c", (F.col("c") == F.col("main")).alias("in_main"), "whole"))
+    short = open_.where(F.col("whole") <= LONG).withColumn("most", F.col("n"))
+    long = open_.where(F.col("whole") > LONG)
+    long = long.join(shared_shingles(docs, cut(long.select("doc_id").distinct()), n), "doc_id").where(100 * F.col("most") >= percent * F.col("n"))
+    more = open_pairs(short, percent).unionByName(open_pairs(long, percent)).distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, reps, docs, n, percent))
 
     whole = components(links)
