@@ -1 +1 @@
-
+"""Scalar functions as Spark expressions."""

@@ -1 +1 @@
-
+"""The registered queries: operators applied to the driver's tables, each beside its SQL."""

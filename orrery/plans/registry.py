@@ -1,5 +1,9 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from orrery.plans import catalog, retrieval, texts
+
+QUERIES = retrieval.QUERIES | catalog.QUERIES | texts.QUERIES
+SQL = retrieval.SQL | catalog.SQL | texts.SQL
 FLAGSHIP = "rrf_hybrid_topk"

@@ -1 +1 @@
-
+"""Streams: latest states, rate limits, ingestion."""
