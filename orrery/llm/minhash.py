@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     whole = components(links)
     named = cut(classes.join(whole, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")))
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

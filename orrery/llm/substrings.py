@@ -44,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import BYTE, STEP, U64, mixed
-from orrery.llm.support import BROADCAST_IDS, cut, written
+from orrery.llm.support import cut, written
 
 L, G = 200, 100
 HOT = 4_000
+#: Array elements (about 40 bytes each) up to which what was found of the documents is broadcast.
+BROADCAST_PARTS = 2_000_000
 #: Bytes that are hashed, or sorted, together; place and hash share 64 bits in the search for anchors.
 BLOCK, PLACE = 1 << 19, 20
 BACK = pow(STEP, -1, 2**64)
@@ -153,9 +155,10 @@ def suffix_runs(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return owner[start], start - (ends - sizes)[owner[start]], np.cumsum(np.diff(whole, prepend=whole[:1]) != 0)
 
 
-def _sized(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id; ``found`` (materialised, a short row for a document) is broadcast if it is small enough."""
-    return rows.join(F.broadcast(found) if found.count() <= BROADCAST_IDS // 4 else found, "doc_id", how)
+def _sized(rows: DataFrame, found: DataFrame, how: str, parts: str) -> DataFrame:
+    """Join on doc_id; ``found`` (materialised) is broadcast if the counted elements of its arrays are few enough."""
+    size = found.agg(F.coalesce(F.sum(F.size(parts)), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(found) if size <= BROADCAST_PARTS else found, "doc_id", how)
 
 
 def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first: bool = False, hot: int = HOT) -> DataFrame:
@@ -184,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["h", "doc_id", "run", "n", "hot", "context"])
 
-    told = written(_sized(texts, by_doc, "inner").mapInArrow(contexts, "h long, doc_id long, run long, n long, hot boolean, context binary"), "contexts")
+    told = written(_sized(texts, by_doc, "inner", "x").mapInArrow(contexts, "h long, doc_id long, run long, n long, hot boolean, context binary"), "contexts")
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list[tuple]) -> pa.RecordBatch:
@@ -276,4 +279,4 @@ def removal_report(docs: DataFrame, length: int = L, gram: int = G, keep_first:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _sized(texts, spans, "left").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _sized(texts, spans, "left", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
