@@ -132,7 +132,8 @@ def contaminations(docs: DataFrame, items: DataFrame, budget: float = BUDGET) ->
         shared = spark.sparkContext.broadcast(block)  # about BLOCK characters at most
         return texts.mapInArrow(lambda batches: search(batches, shared), schema)
 
-    return reduce(DataFrame.unionByName, [one_pass(b) for b in blocks])
+    passes = [one_pass(b) for b in blocks if b]
+    return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET) -> DataFrame:
