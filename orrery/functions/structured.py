@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _leaves(value: Any, path: str = "") -> Iterator[tuple[str, Any]]:
@@ -38,7 +39,11 @@ def _load(text: str | None) -> Any:
         return None
 
 
-@F.pandas_udf("array<struct<path:string,value:string>>")
+#: Types are objects, not text, as no session runs when this module is read.
+PAIRS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.pandas_udf(PAIRS)
 def flatten_json(texts: pd.Series) -> pd.Series:
     """(path, value as text) of each scalar, in document order; invalid JSON gives null."""
 
@@ -49,6 +54,6 @@ def flatten_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def json_depth(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if _load(t) is None else _levels(_load(t))).astype("Int32")
