@@ -17,10 +17,11 @@
    a link out are dropped, all others are verified on the full sets. Then members
    of a list that are still in different components are paired, those outside the
    list's largest component with all others, and verified in the same way. Within
-   a component nothing is left to find, so no link between components is lost. In
-   lists of more than LONG members, pairs are made only where they can be links: of
-   the documents in such lists, the shingles that no other of them has are counted
-   in the full sets, and they bound what two documents can share.
+   a component nothing is left to find, so no link between components is lost. The
+   documents in lists of more than LONG members get exact lists first: their whole
+   sets, rarest shingle first, where the place of a shared shingle bounds what two
+   documents can share from there on, so that pairs are made only where they can be
+   links.
 
 Hot values, lists and classes are counted with partial aggregates and met by joins
 on (value) that Spark can split; nothing gathers a list, a class or a component.
@@ -119,8 +120,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
 
 
-def shared_shingles(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, most): how many shingles of each of these documents another of them has too."""
+def full_prefixes(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFrame:
+    """(v, doc_id, n, room): lists of whole shingle sets, of these documents alone.
+
+    The shingles of a set are put in order, rarest among these documents first. Two
+    sets of the similarity share one of the first n - ceil(percent n / 100) + 1 of
+    each, and from the first that they share on they have at most ``room`` shingles.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,18 +135,29 @@ def shared_shingles(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
     every = texts.mapInArrow(spread, "doc_id long, g long").distinct()
-    twice = every.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    return every.join(twice, "g").groupBy("doc_id").agg(F.count("*").alias("most"))
+    counted = every.join(every.groupBy("g").agg(F.count("*").alias("m")), "g")
+    ordered = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("s"))  # the shingles of one text
+    size = F.size("s")
+    first = F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
+    placed = ordered.select("doc_id", size.cast("long").alias("n"), F.posexplode(first).alias("i", "x"))
+    return placed.where("x.m > 1").select(F.col("x.g").alias("v"), "doc_id", "n", (F.col("n") - F.col("i")).alias("room"))
+
+
+def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists (v, doc_id, n, room) that hold documents of different components: adds c, in_main, whole."""
+    members = lists.join(found, lists.doc_id == found.node, "left").select(*lists.columns, F.coalesce("component", "doc_id").alias("c"))
+    parts = members.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), F.sum("m").alias("whole"), F.max_by("c", F.struct("m", "c")).alias("main")).where("parts > 1")
+    return members.join(parts, "v").select(*lists.columns, "c", (F.col("c") == F.col("main")).alias("in_main"), "whole")
 
 
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b), a > b: pairs of a list in different components that can reach the similarity.
 
-    ``most`` bounds what a document can have in common with any other of them, and
+    ``room`` bounds what a document can have in common with another of the list, and
     so the similarity of a pair, before the pair is made.
     """
-    one = members.where("NOT in_main").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
-    two = members.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"), "in_main")
+    one = members.where("NOT in_main").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("mx"))
+    two = members.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"), "in_main")
     can = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
     pairs = one.join(two, (one.v == two.v) & (F.col("cx") != F.col("cy")) & can & (F.col("in_main") | (F.col("x") > F.col("y"))))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
@@ -158,13 +175,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = verified(first, reps, docs, n, percent)
 
     found = components(links)
-    members = lists.join(found, lists.doc_id == found.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    parts = members.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), F.sum("m").alias("whole"), F.max_by("c", F.struct("m", "c")).alias("main")).where("parts > 1")
-    open_ = cut(members.join(parts, "v").select("v", "doc_id", "n", "c", (F.col("c") == F.col("main")).alias("in_main"), "whole"))
-    short = open_.where(F.col("whole") <= LONG).withColumn("most", F.col("n"))
-    long = open_.where(F.col("whole") > LONG)
-    long = long.join(shared_shingles(docs, cut(long.select("doc_id").distinct()), n), "doc_id").where(100 * F.col("most") >= percent * F.col("n"))
-    more = open_pairs(short, percent).unionByName(open_pairs(long, percent)).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = cut(open_lists(lists.withColumn("room", F.col("n")), found))
+    long = cut(open_.where(F.col("whole") > LONG).select("doc_id").distinct())
+    more = open_pairs(open_.where(F.col("whole") <= LONG), percent).unionByName(open_pairs(open_lists(full_prefixes(docs, long, n, percent), found), percent))
+    more = more.distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, reps, docs, n, percent))
 
     whole = components(links)
