@@ -33,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.support import cut
+
 #: Bytes of a block beyond which it is segmented, and of a chunk of the transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
 #: About so many bytes go into one archive, so a task can hold one.
 ARCHIVE_RECORDS = 2_000
+#: Digests (about 80 bytes each) of repeated payloads up to which they are broadcast.
+BROADCAST_DIGESTS = 500_000
 #: Fixed values of the format.
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -68,10 +72,11 @@ def chunked(payload: Column, size: int = CHUNK_BYTES) -> Column:
 
 
 def _base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 digest, from its 160 bits in groups of five."""
-    bits = F.array_join(F.transform(F.split(F.sha1(payload), ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
-    letters = F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.get(letters, F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int"))), "")
+    """Upper-case base32 of the SHA-1 digest: eight groups of 20 bits, four letters each."""
+    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    digest = F.sha1(payload)
+    groups = [F.conv(F.substring(digest, 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)]
+    return F.concat(*[F.substr(alphabet, F.shiftright(x, 5 * k).bitwiseAND(31) + 1, F.lit(1)) for x in groups for k in (3, 2, 1, 0)])
 
 
 def records_of(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -81,9 +86,9 @@ def records_of(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
         F.coalesce("url", F.lit("")).alias("url"),
         _b(F.coalesce("html", F.lit(""))).alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    # one row for each payload that several pages have; a join that Spark can split where one payload is very frequent
-    groups = rows.groupBy("sha").agg(F.max("page_id").alias("origin"), F.count("*").alias("n")).where("n > 1 AND origin IS NOT NULL").drop("n")
-    known = rows.join(groups, "sha", "left")
+    # one row for each payload that several pages have; beyond the limit, a join that Spark can split where one payload is very frequent
+    groups = cut(rows.groupBy("sha").agg(F.max("page_id").alias("origin"), F.count("*").alias("n")).where("n > 1 AND origin IS NOT NULL").drop("n"))
+    known = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_DIGESTS else groups, "sha", "left")
     revisit = F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"))
     block = F.when(F.col("revisit"), _b(head)).otherwise(F.concat(_b(head), chunked(F.col("payload"))))
@@ -202,8 +207,11 @@ def _raw(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
     return files.mapInArrow(parse, RECORD)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """name, page_id, record_type, refers_to, payload_digest, payload_bytes, payload of every page in the archives."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """name, page_id, record_type, refers_to, payload_digest, payload_bytes, payload of every page in the archives.
+
+    Without ``payloads``, they are decoded and verified just so, and left out of the result.
+    """
     segments = _raw(spark, path, True).groupBy("record_id").agg(
         *[F.max(c).alias(c) for c in ("name", "page_id", "target", "refers_to", "digest", "total")],
         F.max(F.when(F.col("number") == 1, F.col("warc_type"))).alias("warc_type"),
@@ -217,17 +225,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, found = [], []
+            bodies, found = [], []
             for kind, digest, block in zip(*[batch.column(c).to_pylist() for c in ("warc_type", "digest", "block")], strict=True):
                 payload = payload_of(block) if kind == "response" else None
                 own = digest if payload is None else base32_sha1(payload)
                 if digest is not None and own != digest:
                     raise ValueError(f"payload digest {own} isn't {digest}")
-                payloads.append(payload)
+                bodies.append(payload)
                 found.append(own)
-            sizes = [None if p is None else len(p) for p in payloads]
+            sizes = [None if p is None else len(p) for p in bodies]
+            bodies = bodies if payloads else [None] * len(bodies)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), batch.column("page_id"), batch.column("warc_type"), batch.column("refers_to"), pa.array(found, pa.string()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())],
+                [batch.column("name"), batch.column("page_id"), batch.column("warc_type"), batch.column("refers_to"), pa.array(found, pa.string()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())],
                 ["name", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"],
             )
 
@@ -236,7 +245,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def page_report(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id) from the archives."""
-    pages = read_archives(spark, path).drop("payload")
+    pages = cut(read_archives(spark, path, payloads=False).drop("payload"))
     origins = pages.where("record_type = 'response'").groupBy("name").agg(F.first("page_id").alias("of"), F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("d"))
     revisits = pages.where("record_type = 'revisit'").drop("name").join(origins, F.col("refers_to") == F.col("name"), "left")
     same = F.when(F.col("payload_digest") == F.col("d"), F.col("n"))
