@@ -105,7 +105,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(texts: list[list[int]], grades: list[int], words: list[str], ridge: float = 1e-5, steps: int = 600) -> OrdinalModel:
+def fit(texts: list[list[int]], grades: list[int], words: list[str], ridge: float = 1e-6, steps: int = 2000) -> OrdinalModel:
     """Accelerated gradient descent on the mean loss of the cumulative links, in a bounded sample.
 
     Each parameter has its own pace, from the row sums that bound the curvature.
