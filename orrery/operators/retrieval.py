@@ -64,10 +64,24 @@ def nearest(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(collection_id, chunk_id, dl, term, tf) from (collection_id, chunk_id, text)."""
+def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(collection_id, chunk_id, dl, term, tf) from (collection_id, chunk_id, text).
+
+    With ``terms`` (term, times), the few words of a query, only theirs, with their
+    times: other words are dropped before anything is shuffled.
+    """
     words = corpus.select("collection_id", "chunk_id", tokens(F.col("text")).alias("words"))
-    return words.select("collection_id", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("collection_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    each = words.select("collection_id", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    keys = ["collection_id", "chunk_id", "dl", "term"]
+    if terms is not None:
+        each, keys = each.join(F.broadcast(terms), "term"), [*keys, "times"]
+    return each.groupBy(*keys).agg(F.count("*").alias("tf"))
+
+
+def document_frequencies(corpus: DataFrame) -> DataFrame:
+    """(collection_id, term, df), counted in one aggregation with a partial step."""
+    distinct = corpus.select("collection_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return distinct.groupBy("collection_id", "term").agg(F.count("*").alias("df"))
 
 
 def corpus_sizes(corpus: DataFrame) -> DataFrame:
@@ -76,9 +90,8 @@ def corpus_sizes(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("collection_id").agg(F.count("*").alias("n"), (F.sum(length) / F.count("*")).alias("avgdl"))
 
 
-def inverse_frequencies(posted: DataFrame, sizes: DataFrame) -> DataFrame:
+def inverse_frequencies(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     """(collection_id, term, df, idf); a negative value becomes EPSILON times the mean over all terms."""
-    counted = posted.groupBy("collection_id", "term").agg(F.count("*").alias("df"))
     raw = counted.join(sizes, "collection_id").withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     floors = raw.groupBy("collection_id").agg((EPSILON * F.avg("raw")).alias("floor"))
     return raw.join(floors, "collection_id").select("collection_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -91,8 +104,9 @@ def query_terms(query: DataFrame) -> DataFrame:
 
 def bm25(corpus: DataFrame, query: DataFrame) -> DataFrame:
     """(collection_id, chunk_id, bm25) of every chunk of the corpus; no hit is 0.0."""
-    posted, sizes = postings(corpus), corpus_sizes(corpus)
-    hits = posted.join(query_terms(query), "term").join(inverse_frequencies(posted, sizes), ["collection_id", "term"]).join(sizes, "collection_id")
+    terms, sizes = query_terms(query), corpus_sizes(corpus)
+    weights = inverse_frequencies(document_frequencies(corpus), sizes).join(F.broadcast(terms.select("term")), "term", "left_semi")
+    hits = postings(corpus, terms).join(weights, ["collection_id", "term"]).join(sizes, "collection_id")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("collection_id", "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * share).alias("bm25"))
     return corpus.select("collection_id", "chunk_id").join(scored, ["collection_id", "chunk_id"], "left").fillna(0.0, ["bm25"])

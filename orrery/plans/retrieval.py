@@ -20,7 +20,7 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = model.corpus(spark, sf_dir)
-    found = R.inverse_frequencies(R.postings(corpus), R.corpus_sizes(corpus))
+    found = R.inverse_frequencies(R.document_frequencies(corpus), R.corpus_sizes(corpus))
     return found.select("collection_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
