@@ -114,3 +114,25 @@ def prompt_text(text: Column, limit: int = 6000) -> Column:
 def stale(started: Column, now: Column, limit_seconds: int) -> Column:
     """Whether processing began longer ago than the limit; a missing start isn't stale."""
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(started) >= limit_seconds, F.lit(False))
+
+
+#: Fixed value: the namespace of object identifiers, from which point ids are made.
+OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
+
+
+def point_id(name: Column) -> Column:
+    """The version 5 UUID of a name in the namespace of object identifiers."""
+    h = F.sha1(F.concat(F.unhex(F.lit(OID_NAMESPACE)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 8).cast("long")))
+    parts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)]
+    return F.concat_ws("-", *parts)
+
+
+def encoded_metadata(metadata: Column) -> Column:
+    """A struct as JSON, without its null fields."""
+    return F.to_json(metadata, {"ignoreNullFields": "true"})
+
+
+def decoded_metadata(text: Column, schema: str) -> Column:
+    """The struct again; fields that were null are null."""
+    return F.from_json(text, schema)

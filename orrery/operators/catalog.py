@@ -72,6 +72,12 @@ def documents_of_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id", "filename", "parser").agg(F.count("*").alias("chunk_count"))
 
 
+def documents_of_chunks_by_id(chunks: DataFrame) -> DataFrame:
+    """As :func:`documents_of_chunks`, one row for each document with the filename and parser of its first chunk."""
+    first = F.min_by(F.struct("filename", "parser"), "chunk_index")
+    return chunks.groupBy("document_id").agg(first.alias("f"), F.count("*").alias("chunk_count")).select("document_id", "f.filename", "f.parser", "chunk_count")
+
+
 def text_of(chunks: DataFrame, *keys: str, order: str = "chunk_index", separator: str = "\n") -> DataFrame:
     """The texts of each key joined in order."""
     parts = F.array_sort(F.collect_list(F.struct(order, "text")))  # the chunks of one document

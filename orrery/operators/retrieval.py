@@ -209,3 +209,21 @@ def effective_mode(mode: str, corpus: DataFrame, collections: DataFrame) -> Data
     """One row: the mode of the whole response. A collection without corpus makes it semantic_only."""
     covered = collections.join(corpus.select("collection_id").distinct().withColumn("has", F.lit(True)), "collection_id", "left")
     return covered.agg(F.when(F.lit(mode == "semantic") | F.bool_or(F.col("has").isNull()), "semantic_only").otherwise(F.lit(mode)).alias("mode"))
+
+
+def requested(known: DataFrame, request: DataFrame) -> DataFrame:
+    """The collections of a request (ordinal, collection_id) that exist, in its order and as often as it names them."""
+    return request.join(known.select("collection_id").distinct(), "collection_id", "left_semi")
+
+
+def with_provenance(results: DataFrame, collections: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Adds ``source``: where a result comes from, as one struct. Results are few; names come by joins on their ids."""
+    named = results.join(collections.select("collection_id", "workspace_id", F.col("name").alias("collection_name")), "collection_id")
+    named = named.join(workspaces.select("workspace_id", F.col("name").alias("workspace_name")), "workspace_id")
+    place = F.struct("collection_id", "collection_name", "workspace_id", "workspace_name", "filename")
+    return named.select(*[c for c in results.columns if c != "source"], place.alias("source"))
+
+
+def under_delivered(final: DataFrame, top_k: int) -> DataFrame:
+    """One row: whether fewer results came than were asked for."""
+    return final.agg((F.count("*") < top_k).alias("under_delivered"))

@@ -86,6 +86,18 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.collection_results(ranked, TOP_K, rerank=lambda rows: R.reranked(rows, -F.col("n_chars"), 10)).select("collection_id", "chunk_id", "rank")
 
 
+def search_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged list with the collection, workspace and file of each result."""
+    collections = model.table(spark, sf_dir, "documents").select(F.col("lang").alias("collection_id"), F.concat(F.lit("ws_"), "lang").alias("workspace_id"), F.upper("lang").alias("name")).distinct()
+    workspaces = model.workspaces(spark, sf_dir).withColumn("name", F.concat(F.lit("Workspace "), "workspace_id"))
+    shown = R.with_provenance(_multi(spark, sf_dir)[2], collections, workspaces)
+    return shown.select("chunk_id", "rank", "source.collection_name", "source.workspace_name", "source.filename")
+
+
+def search_under_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.under_delivered(search_filtered_after_rank(spark, sf_dir), TOP_K)
+
+
 def _sql(group: str, tail: str) -> str:
     """The search in SQL, with ``group`` as the collection of a document."""
     return f"""
@@ -118,7 +130,7 @@ _OUT = "c AS collection_id, doc_id AS chunk_id, vec_rank, bm25_rank"
 _ORDER = "(VALUES (0, 'fr'), (1, 'en'), (2, 'de'), (3, 'es')) AS o(ordinal, c)"
 _MERGED = f"SELECT rk.c, doc_id, rank, 1.0::DOUBLE / (60 + rank) AS score FROM rk JOIN {_ORDER} ON o.c = rk.c WHERE rank <= {TOP_K} ORDER BY score DESC, ordinal LIMIT {TOP_K}"
 
-QUERIES = {f.__name__: f for f in (knn_cosine_topk, bm25_idf, bm25_scores, rrf_hybrid_topk, search_semantic, search_bm25, search_filtered_after_rank, search_multi_collection, search_collection_stats, search_reranked)}
+QUERIES = {f.__name__: f for f in (knn_cosine_topk, bm25_idf, bm25_scores, rrf_hybrid_topk, search_semantic, search_bm25, search_filtered_after_rank, search_multi_collection, search_collection_stats, search_reranked, search_provenance, search_under_delivered)}
 
 SQL = {
     "knn_cosine_topk": f"""
@@ -138,6 +150,8 @@ SELECT * FROM (SELECT vec_id AS chunk_id, round(cosine, 6) AS cosine, row_number
         f"""SELECT o.c AS collection_id, count(rk.doc_id) AS retrieved, count(rk.doc_id) FILTER (WHERE rank <= {TOP_K}) AS returned,
   (SELECT count(*) FROM ({_MERGED}) m WHERE m.c = o.c) AS contributed FROM {_ORDER} JOIN rk ON rk.c = o.c GROUP BY o.c""",
     ),
+    "search_provenance": _sql("lang", f"SELECT doc_id AS chunk_id, rank, upper(c) AS collection_name, 'Workspace ws_' || c AS workspace_name, 'doc_' || doc_id || '.txt' AS filename FROM ({_MERGED})"),
+    "search_under_delivered": _sql("'all'", f"SELECT count(*) < {TOP_K} AS under_delivered FROM rk WHERE lang = 'fr'"),
     "search_reranked": _sql(
         "lang",
         f"SELECT * FROM (SELECT c AS collection_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY c ORDER BY (rank > 10)::INT, CASE WHEN rank <= 10 THEN n_chars END NULLS LAST, rank) AS rank FROM rk) WHERE rank <= {TOP_K}",

@@ -18,6 +18,16 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.chunks(spark, sf_dir).select("document_id", "chunk_id")
 
 
+def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.chunks(spark, sf_dir).select("document_id", X.point_id(F.col("chunk_id")).alias("point_id"))
+
+
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as stored text; a missing language leaves no key."""
+    rows = model.chunks(spark, sf_dir).select("document_id", F.struct("filename", "parser", F.when(F.col("language") != "en", F.col("language")).alias("language")).alias("m"))
+    return rows.select("document_id", X.encoded_metadata(F.col("m")).alias("metadata"))
+
+
 def row_group_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers of each nation, ten rows a chunk."""
     rows = model.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -103,13 +113,18 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_ids, row_group_chunks, line_window_chunks, sliding_window_chunks, paragraph_packing, normalize_tags, serialize_rows, json_extract_props, flatten_json, conversation_text_concat,
+        chunk_ids, point_ids, chunk_metadata, row_group_chunks, line_window_chunks, sliding_window_chunks, paragraph_packing, normalize_tags, serialize_rows, json_extract_props, flatten_json, conversation_text_concat,
         topic_latest_snapshot, token_bucket, tag_suggestions, highlighted_texts, scalar_functions,
     )
 }
 
 SQL = {
     "chunk_ids": "SELECT 'doc_' || doc_id AS document_id, sha256('doc_' || doc_id || ':0') AS chunk_id FROM documents",
+    "point_ids": """
+WITH h AS (SELECT 'doc_' || doc_id AS document_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(sha256('doc_' || doc_id || ':0'))) AS h FROM documents)
+SELECT document_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(h, 17, 1))::INT & 3), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
+    "chunk_metadata": """
+SELECT 'doc_' || doc_id AS document_id, '{"filename":"doc_' || doc_id || '.txt","parser":"txt"' || CASE WHEN lang <> 'en' THEN ',"language":"' || lang || '"' ELSE '' END || '}' AS metadata FROM documents""",
     "row_group_chunks": """
 WITH r AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS total_rows,
   'c_custkey=' || c_custkey || '; c_name=' || coalesce(c_name, '') || '; c_mktsegment=' || coalesce(c_mktsegment, '') AS t FROM customer)

@@ -190,3 +190,13 @@ def test_token_windows_with_a_public_tokenizer(spark):
     text = " ".join(f"word{i}" for i in range(200))
     rows = K.token_windows(spark.createDataFrame([(text,), ("short",), (" ",)], "text string"), public.path("byte_bpe_50k.json"), size=64, overlap=16).collect()
     assert len([r for r in rows if r.text == text]) > 5 and [r.chunk for r in rows if r.text == "short"] == ["short"]
+
+
+def test_point_ids_and_metadata(spark):
+    import uuid
+
+    assert one(spark, X.point_id(F.lit("abc"))) == str(uuid.uuid5(uuid.NAMESPACE_OID, "abc"))
+    meta = F.struct(F.lit("a").alias("filename"), F.lit(None).cast("string").alias("language"), F.array(F.lit("x")).alias("tags"))
+    assert one(spark, X.encoded_metadata(meta)) == '{"filename":"a","tags":["x"]}'
+    back = one(spark, X.decoded_metadata(X.encoded_metadata(meta), "filename string, language string, tags array<string>"))
+    assert (back.filename, back.language, back.tags) == ("a", None, ["x"])
