@@ -18,12 +18,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.structured import _leaves, _levels
 from orrery.functions.text import EXTENSION_LANGUAGE, chunk_id, extension, language_of, serialize_row
-from orrery.operators.chunking import FALLBACK_LINES, MAX_TOKENS, OVERLAP, ROWS_PER_CHUNK, line_windows, packed_paragraphs, row_groups, windows_of
+from orrery.operators.chunking import FALLBACK_LINES, MAX_TOKENS, OVERLAP, ROWS_PER_CHUNK, line_windows, packed_paragraphs, windows_of
 
 MAX_FILE_BYTES = 50 * 2**20
 #: The parser of each extension.
@@ -116,16 +116,15 @@ def _python(text: str) -> Iterator[dict]:
     """Every class and function, nested ones too, in the order of the source."""
     lines = text.splitlines()
 
-    def walk(node: ast.AST, inside_class: bool) -> Iterator[dict]:
+    def walk(node: ast.AST) -> Iterator[dict]:
         for child in ast.iter_child_nodes(node):
-            named = isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)
-            if named:
+            if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
                 kind = "class" if isinstance(child, ast.ClassDef) else "function"
                 yield {"text": "\n".join(lines[child.lineno - 1 : child.end_lineno]), "symbol_name": child.name, "symbol_type": kind, "start_line": child.lineno, "end_line": child.end_lineno}
-            yield from walk(child, isinstance(child, ast.ClassDef))
+            yield from walk(child)
 
     try:
-        yield from walk(ast.parse(text), False)
+        yield from walk(ast.parse(text))
     except SyntaxError:
         return
 
@@ -183,8 +182,6 @@ def parse_files(found: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = O
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    from pyspark.sql import Window
-
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("order")) - 1
     numbered = out.withColumn("chunk_index", index).withColumn("language", F.when(F.col("parser") == "code", language_of(F.col("path"))))
     return numbered.select(
@@ -207,6 +204,3 @@ def with_parser(found: DataFrame, parse) -> DataFrame:
 
     chunks = found.select("document_id", "content").mapInArrow(run, "document_id string, chunk_index int, text string")
     return chunks.withColumn("chunk_id", chunk_id(F.col("document_id"), F.col("chunk_index")))
-
-
-__all__ = ["csv_rows", "files", "parse_files", "parser_of", "row_groups", "with_document_id", "with_parser"]
