@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import by_ids, cut
+from orrery.llm.support import by_ids, cut, values
 
 BUDGET = 0.05
 BLOCK = 4_000_000
@@ -88,7 +88,7 @@ def contaminations(docs: DataFrame, items: DataFrame, budget: float = BUDGET) ->
         automaton.make_automaton()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), values(batch.column("text")), strict=True):
                 text = folded(text)
                 starts: dict[int, set[int]] = defaultdict(set)
                 for end, (n, places) in automaton.iter(text):

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import shingle_sets
-from orrery.llm.support import by_ids, components, cut
+from orrery.llm.support import by_ids, components, cut, values
 
 K, T = 48, 24
 #: Members of a list from which on it is paired with bounds from full sets.
@@ -56,14 +56,14 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sketches = [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), n):
+            for s in shingle_sets(values(batch.column("text")), n):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sketches.append(s[:K].view(np.int64))
+                sketches.append(s[:K].view(np.int64).copy())  # not a view, which would keep the whole set
             offsets = np.cumsum([0] + [len(s) for s in sketches], dtype=np.int32)
-            values = np.concatenate([*sketches, np.zeros(0, np.int64)])
+            flat = np.concatenate([*sketches, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
@@ -92,7 +92,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            a, b = (values(batch.column(c)) for c in ("sa", "sb"))
             keep = []
             for x, y in zip(a, b, strict=True):
                 x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
@@ -110,7 +110,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
         last: tuple[str | None, np.ndarray] = ("", np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
-            for ta, sb in zip(batch.column("ta").to_pylist(), shingle_sets(batch.column("tb").to_pylist(), n), strict=True):
+            for ta, sb in zip(values(batch.column("ta")), shingle_sets(values(batch.column("tb")), n), strict=True):
                 if last[0] != ta:
                     last = (ta, next(shingle_sets([ta], n)))
                 inter = len(np.intersect1d(last[1], sb, assume_unique=True))
@@ -130,7 +130,7 @@ def full_prefixes(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> Data
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), n), strict=True):
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(values(batch.column("text")), n), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["doc_id", "g"])
 
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -10,7 +10,7 @@ from orrery.llm.support import BLANKS
 
 U64 = np.uint64
 #: Bytes that are looked at together; longer texts are looked at alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(np.add.reduceat(terms, first) + lengths.astype(U64))
 
 
-def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(place of the first, texts as bytes) of runs of about BLOCK bytes."""
     first, run, size = 0, [], 0
     for i, text in enumerate(texts):
@@ -63,7 +63,7 @@ def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def shingle_sets(texts: Sequence[str | None], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its n-word shingles, A-Z lower-cased.
 
     A text of fewer than n words has its whole sequence as one; one without words has none.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,12 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(2**53))
 
 
+def values(column: pa.Array, run: int = 256) -> Iterator:
+    """Python values of an Arrow column, made a run at a time, so that a batch of texts isn't held twice."""
+    for at in range(0, len(column), run):
+        yield from column.slice(at, run).to_pylist()
+
+
 #: A set of ids is broadcast up to so many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import by_ids, cut
+from orrery.llm.support import by_ids, cut, values
 
 MAX_LABELLED, MAX_WORDS = 20_000, 512
 #: A word counts if the chance of so large an excess is below about 1 in 10^7 and so many texts have it.
@@ -56,7 +56,7 @@ def vocabulary(rows: DataFrame) -> list[str]:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high, low = Counter(), Counter()
-            for text, grade in zip(batch.column("text").to_pylist(), batch.column("grade").to_pylist(), strict=True):
+            for text, grade in zip(values(batch.column("text")), batch.column("grade").to_pylist(), strict=True):
                 (high if grade > 0 else low).update({p for w in set(WORD.findall((text or "").lower())) for p in parts(w)})
             every = sorted(high | low)
             yield pa.RecordBatch.from_arrays([pa.array(every), pa.array([high[x] for x in every]), pa.array([high[x] + low[x] for x in every])], ["word", "a", "c"])
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labe
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(words)
         for batch in batches:
-            found = [marks.of(t) for t in batch.column("text").to_pylist()]
+            found = [marks.of(t) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("grade"), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.int32())], ["doc_id", "grade", "marks", "shown"]
             )
@@ -161,7 +161,7 @@ def severities(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(ordinal.words if ordinal else [])
         for batch in batches:
-            found = [marks.of(t) for t in batch.column("text").to_pylist()]
+            found = [marks.of(t) for t in values(batch.column("text"))]
             sums, words = [float(ordinal.weights[m].sum()) if m else 0.0 for m, _ in found], [n for _, n in found]
             if ordinal is None:
                 severity, grade = np.zeros(len(sums)), np.zeros(len(sums), np.int32)
@@ -170,7 +170,7 @@ def severities(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
                 severity = above.sum(axis=1)
                 chance = -np.diff(np.concatenate([np.ones((len(sums), 1)), above, np.zeros((len(sums), 1))], axis=1), axis=1)
                 grade = chance.argmax(axis=1).astype(np.int32)
-            blank = np.array([t is None or not t.strip() for t in batch.column("text").to_pylist()], bool)
+            blank = np.array([t is None or not t.strip() for t in values(batch.column("text"))], bool)
             severity, grade = np.where(blank, 0.0, severity), np.where(blank, 0, grade).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(severity), pa.array(grade), pa.array(severity >= REJECT_FROM), pa.array(words, pa.int32())], ["doc_id", "severity", "grade", "toxic", "n_marks"]
