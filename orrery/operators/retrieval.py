@@ -1,9 +1,14 @@
 """Hybrid retrieval: cosine neighbours, BM25, reciprocal rank fusion, filters, merging.
 
 Every operator works on any number of collections at once: ``collection_id`` is a
-key of each table, so a request over many collections is one plan. Corpus
-statistics are grouped aggregations, candidates a ranked window with a limit that
-Spark pushes before the shuffle (one partition keeps at most k rows of a group).
+key of each table, so a request over many collections is one plan. A table of
+queries with a ``query_id`` is answered as a whole: ``query_id`` is then a key of
+every later table, too. A table without one has to be a single query; several rows
+are an error. Corpus statistics are grouped aggregations, candidates a ranked window
+with a limit before the shuffle: an Arrow batch keeps at most k rows of a group.
+
+The vectors of the queries pass through the driver, QUERIES of them at a time, and
+are sent to the tasks; chunks are never replicated.
 
 What decides ranks: candidates come from the vectors alone, BM25 only re-ranks
 them, its statistics cover the whole corpus of a collection, and filters apply
@@ -14,10 +19,16 @@ nine decimals, so the order doesn't hang on the order of floating sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orrery.functions.text import tokens
 
@@ -26,6 +37,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 DEFAULT_TOP_K, MAX_TOP_K, DEFAULT_ALPHA, DEFAULT_FAN_OUT, MAX_FAN_OUT = 5, 20, 0.7, 4, 10
 DECIMALS = 9
+#: Queries of one pass over the chunks, and those that a task scores together.
+QUERIES, BLOCK = 65_536, 256
 
 
 def check_request(top_k: int = DEFAULT_TOP_K, alpha: float = DEFAULT_ALPHA, collections: Sequence[str] = ("",)) -> None:
@@ -46,35 +59,113 @@ def search_mode(mode: str | None, hybrid: bool = True) -> str:
     return mode or ("hybrid" if hybrid else "semantic")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double precision; a zero vector gives null."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+def keys_of(rows: DataFrame, *others: str) -> list[str]:
+    """``others`` and, where there are many queries, query_id before them."""
+    return [*(["query_id"] if "query_id" in rows.columns else []), *others]
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows in double precision, filled up with zeros, and their lengths; -1 if null or with a null in it."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten()
+    if len(lengths) and lengths.min() == lengths.max() >= 0 and not flat.null_count:
+        return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(lengths), -1), lengths
+    out = np.zeros((len(lengths), max(0, lengths.max(initial=0))))
+    for i, v in enumerate(vectors.to_pylist()):
+        if v is None or None in v:
+            lengths[i] = -1
+        else:
+            out[i, : len(v)] = v
+    return out, lengths
+
+
+def _cosines(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of all rows of a with all of b, and where there is none: zero vectors, nulls, different lengths."""
+    width = min(a[0].shape[1], b[0].shape[1])
+    norm = np.sqrt((a[0] ** 2).sum(axis=1))[:, None] * np.sqrt((b[0] ** 2).sum(axis=1))[None, :]
+    none = (norm == 0) | (a[1][:, None] != b[1][None, :]) | (a[1] < 0)[:, None]
+    with np.errstate(all="ignore"):
+        return a[0][:, :width] @ b[0][:, :width].T / norm, none
+
+
+def _first(keys: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k largest; of equal ones those that come first."""
+    if keys.shape[1] <= k:
+        return np.ones(keys.shape, bool)
+    least = np.partition(keys, keys.shape[1] - k, axis=1)[:, keys.shape[1] - k, None]
+    more, equal = keys > least, keys == least
+    return more | (equal & (equal.cumsum(axis=1) <= k - more.sum(axis=1, keepdims=True)))
+
+
+def _query_blocks(query: DataFrame) -> Iterator[list]:
+    """Rows (query_id, query_vector) in lists of QUERIES; without a query_id there is one row at most."""
+    many = "query_id" in query.columns
+    block: list = []
+    for row in query.select(*(["query_id"] if many else []), "query_vector").toLocalIterator():
+        if block and not many:
+            raise ValueError("several queries need a query_id")
+        block.append((row["query_id"] if many else 0, row["query_vector"]))
+        if len(block) == QUERIES:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def nearest(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k nearest chunks of each collection: ``chunks`` (collection_id, chunk_id,
-    embedding, ...), ``query`` one row (query_vector); adds cosine and vec_rank from 1."""
-    scored = chunks.join(F.broadcast(query.limit(1)), how="cross").withColumn("cosine", cosine(F.col("embedding"), F.col("query_vector"))).drop("query_vector")
-    order = Window.partitionBy("collection_id").orderBy(F.desc_nulls_last(F.round("cosine", DECIMALS)), "chunk_id")
-    return scored.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)
+    """The k nearest chunks of each collection, for each query: ``chunks`` (collection_id,
+    chunk_id, embedding, ...), ``query`` (query_id, query_vector), or one row (query_vector).
+    Adds cosine and vec_rank from 1, and the query_id; the embedding is left out."""
+    spark, many = chunks.sparkSession, "query_id" in query.columns
+    carried = [f for f in chunks.schema if f.name != "embedding"]
+    id_field = query.schema["query_id"] if many else T.StructField("query_id", T.LongType())
+    schema = T.StructType([id_field, *carried, T.StructField("cosine", T.DoubleType()), T.StructField("_key", T.DoubleType())])
+    id_type, names = to_arrow_type(id_field.dataType), [f.name for f in carried]
+
+    def score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        ids, (lines, sizes) = pa.array(ids, id_type), _matrix(pa.array(vectors, pa.list_(pa.float64())))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = pc.sort_indices(batch.column("chunk_id"), null_placement="at_start").to_numpy()
+            group = batch.column("collection_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)[order]
+            rows, lengths = _matrix(batch.column("embedding"))
+            members = [order[group == g] for g in np.unique(group)]
+            for at in range(0, len(ids), BLOCK):
+                found = []
+                for own in members:
+                    cosines, none = _cosines((lines[at : at + BLOCK], sizes[at : at + BLOCK]), (rows[own], lengths[own]))
+                    keys = np.where(none, -np.inf, np.where(np.isnan(cosines), np.inf, np.round(cosines, DECIMALS)))
+                    q, j = np.nonzero(_first(keys, k))
+                    found.append((at + q, own[j], cosines[q, j], none[q, j], keys[q, j]))
+                q, j, cosines, none, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+                taken = batch.select(names).take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *taken.columns, pa.array(cosines, mask=none), pa.array(keys)], ["query_id", *names, "cosine", "_key"])
+
+    def one_pass(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block]))
+        return chunks.select(*names, "embedding").mapInArrow(lambda batches: score(batches, shared), schema)
+
+    passes = [one_pass(b) for b in _query_blocks(query)]
+    scored = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
+    order = Window.partitionBy("query_id", "collection_id").orderBy(F.desc("_key"), "chunk_id")
+    found = scored.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= k)
+    return found.drop("_key") if many else found.drop("_key", "query_id")
 
 
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(collection_id, chunk_id, dl, term, tf) from (collection_id, chunk_id, text).
 
     With ``terms`` (term, times), the few words of a query, only theirs, with their
-    times: other words are dropped before anything is shuffled.
+    times (and query_id): other words are dropped before anything is shuffled.
     """
     words = corpus.select("collection_id", "chunk_id", tokens(F.col("text")).alias("words"))
     each = words.select("collection_id", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     keys = ["collection_id", "chunk_id", "dl", "term"]
     if terms is not None:
-        each, keys = each.join(F.broadcast(terms), "term"), [*keys, "times"]
+        few = "query_id" not in terms.columns
+        each, keys = each.join(F.broadcast(terms) if few else terms, "term"), [*keys_of(terms, *keys), "times"]
     return each.groupBy(*keys).agg(F.count("*").alias("tf"))
 
 
@@ -98,24 +189,62 @@ def inverse_frequencies(counted: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def query_terms(query: DataFrame) -> DataFrame:
-    """(term, times) of one row (query_text); repeated words count as often."""
-    return query.limit(1).select(F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    """(query_id, term, times) of rows (query_id, query_text), or (term, times) of one row (query_text); repeated words count as often."""
+    if "query_id" not in query.columns:
+        texts = query.agg(F.collect_list(F.struct("query_text")).alias("q"))
+        one = F.when(F.size("q") <= 1, F.col("q")).otherwise(F.raise_error(F.lit("several queries need a query_id")))
+        query = texts.select(F.explode(one).alias("q")).select("q.query_text")
+    keys = keys_of(query, "term")
+    return query.select(*keys[:-1], F.explode(tokens(F.col("query_text"))).alias("term")).groupBy(*keys).agg(F.count("*").alias("times"))
+
+
+def _share() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def bm25(corpus: DataFrame, query: DataFrame) -> DataFrame:
-    """(collection_id, chunk_id, bm25) of every chunk of the corpus; no hit is 0.0."""
+    """(query_id, collection_id, chunk_id, bm25) of every chunk of the corpus, for every query; no hit is 0.0."""
     terms, sizes = query_terms(query), corpus_sizes(corpus)
-    weights = inverse_frequencies(document_frequencies(corpus), sizes).join(F.broadcast(terms.select("term")), "term", "left_semi")
+    few = "query_id" not in query.columns
+    asked = terms.select("term").distinct()
+    weights = inverse_frequencies(document_frequencies(corpus), sizes).join(F.broadcast(asked) if few else asked, "term", "left_semi")
     hits = postings(corpus, terms).join(weights, ["collection_id", "term"]).join(sizes, "collection_id")
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("collection_id", "chunk_id").agg(F.sum(F.col("times") * F.col("idf") * share).alias("bm25"))
-    return corpus.select("collection_id", "chunk_id").join(scored, ["collection_id", "chunk_id"], "left").fillna(0.0, ["bm25"])
+    keys = keys_of(query, "collection_id", "chunk_id")
+    scored = hits.groupBy(*keys).agg(F.sum(F.col("times") * F.col("idf") * _share()).alias("bm25"))
+    every = corpus.select("collection_id", "chunk_id")
+    every = every if few else every.crossJoin(query.select("query_id").distinct())
+    return every.select(*keys).join(scored, keys, "left").fillna(0.0, ["bm25"])
+
+
+def bm25_of_pairs(corpus: DataFrame, query: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, collection_id, chunk_id, bm25) of the pairs that share a word: as :func:`bm25`, with
+    the statistics of the whole corpus, without scoring all chunks for all queries."""
+    keys = ["query_id", "collection_id", "chunk_id"]
+    pairs = pairs.select(*keys).distinct()
+    terms, sizes = query_terms(query), corpus_sizes(corpus)
+    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("q")).select("query_id", F.col("q.term").alias("qt"), F.col("q.times").alias("qn"))
+    own = corpus.join(pairs.select("collection_id", "chunk_id").distinct(), ["collection_id", "chunk_id"], "left_semi")
+    said = postings(own).join(inverse_frequencies(document_frequencies(corpus), sizes), ["collection_id", "term"]).join(sizes, "collection_id")
+    said = said.groupBy("collection_id", "chunk_id").agg(F.collect_list(F.struct("term", (F.col("idf") * _share()).alias("w"))).alias("c")).select("collection_id", "chunk_id", F.col("c.term").alias("ct"), F.col("c.w").alias("cw"))
+    joined = pairs.join(asked, "query_id").join(said, ["collection_id", "chunk_id"]).select(*keys, "qt", "qn", "ct", "cw")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for at in range(0, batch.num_rows, 256):  # so that few texts are Python values at a time
+                part = batch.slice(at, 256)
+                for qt, qn, ct, cw in zip(*(part.column(c).to_pylist() for c in ("qt", "qn", "ct", "cw")), strict=True):
+                    weight = dict(zip(ct, cw, strict=True))
+                    sums.append(sum(n * weight[t] for t, n in zip(qt, qn, strict=True) if t in weight))
+            yield batch.select(keys).append_column("bm25", pa.array(sums, pa.float64()))
+
+    return joined.mapInArrow(score, T.StructType([*(joined.schema[c] for c in keys), T.StructField("bm25", T.DoubleType())]))
 
 
 def with_bm25_rank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """Adds bm25 (0.0 if the corpus lacks the chunk; it still has a rank) and bm25_rank."""
-    order = Window.partitionBy("collection_id").orderBy(F.desc(F.round("bm25", DECIMALS)), "vec_rank")
-    return candidates.join(scores, ["collection_id", "chunk_id"], "left").fillna(0.0, ["bm25"]).withColumn("bm25_rank", F.row_number().over(order))
+    order = Window.partitionBy(*keys_of(candidates, "collection_id")).orderBy(F.desc(F.round("bm25", DECIMALS)), "vec_rank")
+    return candidates.join(scores, keys_of(candidates, "collection_id", "chunk_id"), "left").fillna(0.0, ["bm25"]).withColumn("bm25_rank", F.row_number().over(order))
 
 
 def reciprocal(rank: Column, weight: float = 1.0) -> Column:
@@ -130,7 +259,7 @@ def fused(candidates: DataFrame, mode: str = "hybrid", alpha: float = DEFAULT_AL
         "semantic": (reciprocal(F.col("vec_rank")), [F.col("vec_rank")]),
         "bm25": (reciprocal(F.col("bm25_rank")), [F.col("bm25_rank")]),
     }[mode]
-    return candidates.withColumn("fused", keys[0]).withColumn("rank", F.row_number().over(Window.partitionBy("collection_id").orderBy(*keys[1])))
+    return candidates.withColumn("fused", keys[0]).withColumn("rank", F.row_number().over(Window.partitionBy(*keys_of(candidates, "collection_id")).orderBy(*keys[1])))
 
 
 def fuse_lists(semantic: DataFrame, lexical: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
@@ -156,7 +285,7 @@ def metadata_filter(filters: Mapping[str, object] | None) -> Column:
 
 def reranked(ranked: DataFrame, score: Column, top_n: int = 50) -> DataFrame:
     """The first top_n rows of each collection by ``score``, the others behind them as they were; one row stays as it is."""
-    group = Window.partitionBy("collection_id")
+    group = Window.partitionBy(*keys_of(ranked, "collection_id"))
     head = F.col("rank") <= top_n
     order = group.orderBy((~head).cast("int"), F.desc(F.when(head & (F.col("_rows") > 1), F.col("_score"))), "rank")
     return ranked.withColumn("_rows", F.count("*").over(group)).withColumn("_score", score.cast("double")).withColumn("_new", F.row_number().over(order)).drop("rank", "_rows", "_score").withColumnRenamed("_new", "rank")
@@ -164,16 +293,19 @@ def reranked(ranked: DataFrame, score: Column, top_n: int = 50) -> DataFrame:
 
 def collection_results(ranked: DataFrame, top_k: int, filters: Mapping[str, object] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Filter after ranking, renumber, rerank, cut: the rows one collection gives back."""
-    order = Window.partitionBy("collection_id").orderBy("rank")
+    order = Window.partitionBy(*keys_of(ranked, "collection_id")).orderBy("rank")
     kept = ranked.where(metadata_filter(filters)).withColumn("rank", F.row_number().over(order))
     return (rerank(kept) if rerank else kept).where(F.col("rank") <= top_k)
 
 
 def merged(results: DataFrame, collections: DataFrame, top_k: int) -> DataFrame:
-    """One list over all collections: rows are rescored by their rank and never joined,
+    """One list over all collections, for each query: rows are rescored by their rank and never joined,
     ties go to the order of the request, ``collections`` (collection_id, ordinal)."""
     scored = results.join(F.broadcast(collections), "collection_id").withColumn("score", reciprocal(F.col("rank")))
-    return scored.orderBy(F.desc("score"), "ordinal").limit(top_k)
+    if "query_id" not in results.columns:
+        return scored.orderBy(F.desc("score"), "ordinal").limit(top_k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")
+    return scored.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top_k).drop("_place")
 
 
 def search(
@@ -188,20 +320,23 @@ def search(
 ) -> DataFrame:
     """Ranked candidates of each collection: chunk columns with vec_rank, bm25_rank, fused, rank.
 
-    ``query`` is one row (query_vector, query_text).
+    ``query`` is a table (query_id, query_vector, query_text), or one row without the id.
     """
     check_request(top_k, alpha)
-    found = nearest(chunks, query.select("query_vector"), pool_size(top_k, fan_out))
-    return fused(with_bm25_rank(found, bm25(corpus, query.select("query_text"))), mode, alpha)
+    found = nearest(chunks, query.select(*keys_of(query, "query_vector")), pool_size(top_k, fan_out))
+    texts = query.select(*keys_of(query, "query_text"))
+    scores = bm25_of_pairs(corpus, texts, found) if "query_id" in query.columns else bm25(corpus, texts)
+    return fused(with_bm25_rank(found, scores), mode, alpha)
 
 
 def collection_stats(ranked: DataFrame, returned: DataFrame, contributed: DataFrame) -> DataFrame:
-    """(collection_id, retrieved, returned, contributed): before filters, after them, in the final list."""
+    """(query_id, collection_id, retrieved, returned, contributed): before filters, after them, in the final list."""
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("collection_id").agg(F.count("*").alias(name))
+        return rows.groupBy(*keys).agg(F.count("*").alias(name))
 
-    out = counts(ranked, "retrieved").join(counts(returned, "returned"), "collection_id", "left").join(counts(contributed, "contributed"), "collection_id", "left")
+    keys = keys_of(ranked, "collection_id")
+    out = counts(ranked, "retrieved").join(counts(returned, "returned"), keys, "left").join(counts(contributed, "contributed"), keys, "left")
     return out.fillna(0, ["returned", "contributed"])
 
 
@@ -224,6 +359,9 @@ def with_provenance(results: DataFrame, collections: DataFrame, workspaces: Data
     return named.select(*[c for c in results.columns if c != "source"], place.alias("source"))
 
 
-def under_delivered(final: DataFrame, top_k: int) -> DataFrame:
-    """One row: whether fewer results came than were asked for."""
-    return final.agg((F.count("*") < top_k).alias("under_delivered"))
+def under_delivered(final: DataFrame, top_k: int, query: DataFrame | None = None) -> DataFrame:
+    """One row: whether fewer results came than were asked for; with ``query`` (query_id), a row for each query."""
+    if query is None:
+        return final.agg((F.count("*") < top_k).alias("under_delivered"))
+    came = final.groupBy("query_id").agg(F.count("*").alias("n"))
+    return query.select("query_id").distinct().join(came, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) < top_k).alias("under_delivered"))

@@ -67,6 +67,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERY_TEXT = "the of and the"
 
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query_vector, query_text): every row whose id is divisible by EVERY, its vector and its document's text, if it has one."""
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    texts = table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    return vectors.join(texts, "query_id", "left")
+
+
+EVERY = 20
+
 TAGS = {"high quality": "quality = 1", "toxic": "toxic = 1"}
 
 

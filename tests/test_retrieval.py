@@ -117,3 +117,36 @@ def test_limits_and_modes(spark, corpus):
 def test_plan_limits_before_the_shuffle(spark, chunks, corpus):
     plan = R.nearest(chunks, query(spark).select("query_vector"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_several_queries_are_all_answered(spark, chunks, corpus):
+    asked = {1: ("python", (1.0, 0.0)), 2: ("cooking the cooking", (0.0, 1.0)), 3: (None, (0.0, 0.0)), 4: ("dinner", (1.0, 0.0, 0.0))}
+    queries = spark.createDataFrame([(i, list(v), t) for i, (t, v) in asked.items()], "query_id long, query_vector array<float>, query_text string")
+    columns = ["chunk_id", "vec_rank", "bm25_rank", "fused", "rank"]
+    for mode in ("hybrid", "bm25"):
+        found = R.collection_results(R.search(chunks, corpus, queries, mode=mode, top_k=1, fan_out=3), 3)
+        for i, (text, vector) in asked.items():
+            one = R.collection_results(R.search(chunks, corpus, query(spark, text or "", vector), mode=mode, top_k=1, fan_out=3), 3)
+            expected = sorted(tuple(r) for r in one.select(*columns).collect())
+            assert len(expected) == 3 and sorted(tuple(r) for r in found.where(f"query_id = {i}").select(*columns).collect()) == expected
+    scores = {(r.query_id, r.chunk_id): r.bm25 for r in R.bm25(corpus, queries).collect()}
+    assert len(scores) == 12 and scores[1, "c1"] > 0 and scores[2, "c2"] > scores[2, "c1"] == 0.0
+    request = spark.createDataFrame([(0, "col")], "ordinal int, collection_id string")
+    assert R.merged(found, request, 2).groupBy("query_id").count().where("count = 2").count() == 4
+    assert {r.query_id: r.under_delivered for r in R.under_delivered(found.where("query_id > 1"), 3, queries).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_several_queries_without_ids_are_an_error(spark, chunks, corpus):
+    two = query(spark).union(query(spark, "dinner", (0.0, 1.0)))
+    with pytest.raises(ValueError, match="query_id"):
+        R.nearest(chunks, two, 2)
+    with pytest.raises(Exception, match="query_id"):
+        R.bm25(corpus, two).collect()
+
+
+def test_blocks_of_queries_and_ties(spark, chunks, monkeypatch):
+    monkeypatch.setattr(R, "QUERIES", 2)
+    same = spark.createDataFrame([("x", i, [1.0, 1.0]) for i in range(50, 0, -1)], "collection_id string, chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "query_id long, query_vector array<float>")
+    found = sorted((r.query_id, r.vec_rank, r.chunk_id) for r in R.nearest(same, queries, 3).collect())
+    assert found == [(q, n, n) for q in range(5) for n in (1, 2, 3)]
