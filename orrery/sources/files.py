@@ -166,7 +166,7 @@ def parse_files(found: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = O
         """Sections, the long ones cut into windows of words."""
         one = rows.select(*keys, F.posexplode("sections").alias("s", "meta"))
         cut = one.select(*keys, "s", "meta", F.posexplode(windows_of(F.col("meta.text"), max_tokens, overlap)).alias("w", "text"))
-        return cut.select(*keys, (F.col("s") * 1_000_000 + F.col("w")).alias("order"), "text", "meta")
+        return cut.select(*keys, (F.col("s").cast("long") * 2**31 + F.col("w")).alias("order"), "text", "meta")
 
     def whole(rows: DataFrame) -> DataFrame:
         return rows.select(*keys, F.posexplode("sections").alias("order", "meta")).select(*keys, "order", F.col("meta.text").alias("text"), "meta")

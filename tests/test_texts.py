@@ -200,3 +200,10 @@ def test_point_ids_and_metadata(spark):
     assert one(spark, X.encoded_metadata(meta)) == '{"filename":"a","tags":["x"]}'
     back = one(spark, X.decoded_metadata(X.encoded_metadata(meta), "filename string, language string, tags array<string>"))
     assert (back.filename, back.language, back.tags) == ("a", None, ["x"])
+
+
+def test_many_sections_keep_their_order(spark, tmp_path):
+    (tmp_path / "long.md").write_text("\n".join(f"# T{i}\n\nbody {i}" for i in range(3000)))
+    found = files.with_document_id(files.files(spark, str(tmp_path)))
+    rows = files.parse_files(found).orderBy("chunk_index").select("heading_path").collect()
+    assert [r.heading_path for r in rows] == [f"T{i}" for i in range(3000)]
