@@ -46,6 +46,8 @@ from orrery.llm.shingles import shingle_sets
 from orrery.llm.support import by_ids, components, cut, values
 
 K, T = 48, 24
+#: The similarity that T and the bound of small sets are made for.
+LEAST_PERCENT = 80
 #: Members of a list from which on it is paired with bounds from full sets.
 LONG = 32
 
@@ -164,7 +166,9 @@ def open_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row: shingles of n words, similarity of percent / 100."""
+    """doc_id, n_shingles, component_id, kept of every row: shingles of n words, similarity of percent / 100, from 80 on."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent has to be {LEAST_PERCENT} to 100: T and K would lose links below")
     sigs = cut(signatures(docs, n))
     classes = sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = cut(sigs.join(classes, (sigs.digest == classes.digest) & (sigs.doc_id == classes.rep)).select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id", "n"]))
