@@ -28,10 +28,10 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import by_ids, cut, values
+from orrery.llm.support import values
 
 BUDGET = 0.05
 BLOCK = 4_000_000
@@ -72,71 +72,100 @@ def best_match(item: str, text: str) -> tuple[int, int]:
     return best
 
 
+#: An item: its id, its folded text and its budget.
+Item = tuple[int, str, int]
+
+
+def blocks_of(items: DataFrame, budget: float) -> list[list[Item]]:
+    blocks: list[list[Item]] = [[]]
+    size = 0
+    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+        item = folded(row["text"])
+        if item:
+            if size > BLOCK:
+                blocks.append([])
+                size = 0
+            blocks[-1].append((row["item_id"], item, int(budget * len(item))))
+            size += len(item)
+    return [b for b in blocks if b]
+
+
+def automaton_of(texts: list[Item]) -> ahocorasick.Automaton:
+    hooks: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for i, (_, item, errors) in enumerate(texts):
+        for offset, piece in pieces(item, errors):
+            hooks[piece].append((i, offset))
+    automaton = ahocorasick.Automaton()
+    for piece, places in hooks.items():
+        automaton.add_word(piece, (len(piece), places))
+    automaton.make_automaton()
+    return automaton
+
+
+def matches(text: str | None, texts: list[Item], automaton: ahocorasick.Automaton) -> Iterator[tuple[int, int, int, int]]:
+    """(item_id, distance, budget, n_places) of each item found in a text."""
+    text = folded(text)
+    starts: dict[int, set[int]] = defaultdict(set)
+    for end, (n, places) in automaton.iter(text):
+        for i, offset in places:
+            starts[i].add(end + 1 - n - offset)
+    for i, found in starts.items():
+        item_id, item, errors = texts[i]
+        near, n_places, edge = None, 0, None
+        found = sorted(found)
+        for k, at in enumerate(found):
+            if edge is None:
+                edge = at
+            if k + 1 < len(found) and found[k + 1] - at <= 2 * errors:
+                continue
+            if edge == at and text.startswith(item, max(at, 0)) and at >= 0:
+                distance = 0
+            else:
+                distance = best_match(item, text[max(0, edge - errors) : at + len(item) + errors])[0]
+            edge = None
+            if distance <= errors:
+                n_places += 1
+                near = distance if near is None else min(near, distance)
+        if near is not None:
+            yield item_id, near, errors, n_places
+
+
 def contaminations(docs: DataFrame, items: DataFrame, budget: float = BUDGET) -> DataFrame:
     """(doc_id, item_id, distance, budget, n_places) of each item found in a document, with its closest place."""
     schema = "doc_id long, item_id long, distance int, budget int, n_places int"
 
     def search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        texts: list[tuple[int, str, int]] = shared.value
-        hooks: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, item, errors) in enumerate(texts):
-            for offset, piece in pieces(item, errors):
-                hooks[piece].append((i, offset))
-        automaton = ahocorasick.Automaton()
-        for piece, places in hooks.items():
-            automaton.add_word(piece, (len(piece), places))
-        automaton.make_automaton()
+        texts: list[Item] = shared.value
+        automaton = automaton_of(texts)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), values(batch.column("text")), strict=True):
-                text = folded(text)
-                starts: dict[int, set[int]] = defaultdict(set)
-                for end, (n, places) in automaton.iter(text):
-                    for i, offset in places:
-                        starts[i].add(end + 1 - n - offset)
-                for i, found in starts.items():
-                    item_id, item, errors = texts[i]
-                    near, n_places, edge = None, 0, None
-                    found = sorted(found)
-                    for k, at in enumerate(found):
-                        if edge is None:
-                            edge = at
-                        if k + 1 < len(found) and found[k + 1] - at <= 2 * errors:
-                            continue
-                        if edge == at and text.startswith(item, max(at, 0)) and at >= 0:
-                            distance = 0
-                        else:
-                            distance = best_match(item, text[max(0, edge - errors) : at + len(item) + errors])[0]
-                        edge = None
-                        if distance <= errors:
-                            n_places += 1
-                            near = distance if near is None else min(near, distance)
-                    if near is not None:
-                        rows.append((doc_id, item_id, near, errors, n_places))
+                rows.extend((doc_id, *found) for found in matches(text, texts, automaton))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "budget", "n_places"])
 
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks: list[list[tuple[int, str, int]]] = [[]]
-    size = 0
-    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        item = folded(row["text"])
-        if item:
-            if size > BLOCK:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((row["item_id"], item, int(budget * len(item))))
-            size += len(item)
 
-    def one_pass(block: list[tuple[int, str, int]]) -> DataFrame:
+    def one_pass(block: list[Item]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)  # about BLOCK characters at most
         return texts.mapInArrow(lambda batches: search(batches, shared), schema)
 
-    passes = [one_pass(b) for b in blocks if b]
+    passes = [one_pass(b) for b in blocks_of(items, budget)]
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
-    found = contaminations(docs, items, budget).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return by_ids(docs, cut(found), "left_anti")
+    """The rows of ``docs`` in which no item is found, each judged by its own text, whatever its id."""
+
+    def leak(shared) -> Column:
+        def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            texts: list[Item] = shared.value
+            automaton = automaton_of(texts)
+            for batch in batches:
+                yield pa.array([any(True for _ in matches(text, texts, automaton)) for text in values(batch)], pa.bool_())
+
+        return F.arrow_udf(search, "boolean")("text")
+
+    for block in blocks_of(items, budget):
+        docs = docs.where(~leak(docs.sparkSession.sparkContext.broadcast(block)))
+    return docs

@@ -154,6 +154,24 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labe
     return fit([r["marks"] for r in sparse], grades, words)
 
 
+def judged(texts: pa.Array, ordinal: OrdinalModel | None, marks: Marks) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Severity, most likely grade and number of marked words of each text."""
+    found, blank = [], []
+    for t in values(texts):
+        found.append(marks.of(t))
+        blank.append(t is None or not t.strip())
+    sums, words = [float(ordinal.weights[m].sum()) if m else 0.0 for m, _ in found], [n for _, n in found]
+    if ordinal is None:
+        severity, grade = np.zeros(len(sums)), np.zeros(len(sums), np.int32)
+    else:
+        above = ordinal.above(np.array(sums, float))
+        severity = above.sum(axis=1)
+        chance = -np.diff(np.concatenate([np.ones((len(sums), 1)), above, np.zeros((len(sums), 1))], axis=1), axis=1)
+        grade = chance.argmax(axis=1).astype(np.int32)
+    blank = np.array(blank, bool)
+    return np.where(blank, 0.0, severity), np.where(blank, 0, grade).astype(np.int32), words
+
+
 def severities(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     """doc_id, severity (expected grade), grade (the most likely one), toxic of every row."""
     ordinal = model
@@ -161,17 +179,7 @@ def severities(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(ordinal.words if ordinal else [])
         for batch in batches:
-            found = [marks.of(t) for t in values(batch.column("text"))]
-            sums, words = [float(ordinal.weights[m].sum()) if m else 0.0 for m, _ in found], [n for _, n in found]
-            if ordinal is None:
-                severity, grade = np.zeros(len(sums)), np.zeros(len(sums), np.int32)
-            else:
-                above = ordinal.above(np.array(sums, float))
-                severity = above.sum(axis=1)
-                chance = -np.diff(np.concatenate([np.ones((len(sums), 1)), above, np.zeros((len(sums), 1))], axis=1), axis=1)
-                grade = chance.argmax(axis=1).astype(np.int32)
-            blank = np.array([t is None or not t.strip() for t in values(batch.column("text"))], bool)
-            severity, grade = np.where(blank, 0.0, severity), np.where(blank, 0, grade).astype(np.int32)
+            severity, grade, words = judged(batch.column("text"), ordinal, marks)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(severity), pa.array(grade), pa.array(severity >= REJECT_FROM), pa.array(words, pa.int32())], ["doc_id", "severity", "grade", "toxic", "n_marks"]
             )
@@ -184,6 +192,14 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
-    found = toxicity_report(docs, labels)
-    return by_ids(docs, cut(found.where("toxic AND doc_id IS NOT NULL").select("doc_id").distinct()), "left_anti")
+    """The rows of ``docs`` that are not rejected, each by its own text, whatever its id."""
+    ordinal = learn(docs, labels)
+    if ordinal is None:
+        return docs
+
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        marks = Marks(ordinal.words)
+        for texts in batches:
+            yield pa.array(judged(texts, ordinal, marks)[0] >= REJECT_FROM)
+
+    return docs.where(~F.arrow_udf(toxic, "boolean")("text"))
