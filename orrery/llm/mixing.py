@@ -3,29 +3,34 @@
 Each source has a weight and may be repeated at most ``max_epochs`` times. The
 wanted total is poured over the sources in proportion to their weights; a source
 that reaches its cap is clamped, and what it could not take is poured over the
-others by weight, until no source is above its cap. With the sources in order of
-cap / weight, the clamped ones are a prefix, so the level of the rest comes from
-two running sums over one row per source.
+others by weight, until no source is above its cap. Each round is one aggregation
+over a table of one row per source; the level of the water only rises, so it ends
+when a round clamps no further source. Sources are numbered by range partitions,
+so a source column of very many values isn't gathered in one task.
 
 A target is met by whole repetitions of all documents of the source and a seeded
 fraction of one more: documents stand in the order of a seeded hash, and one more
 copy is taken of those whose middle lies within the fraction. Running sums over
 the documents of a source are never needed: sizes are summed by (source, slice of
-the hash), one slice per source is found to hold the border, and only the
-documents of that slice (one in ``SLICES``) are put in order.
+the hash), one slice per source is found to hold the border, and only the keys
+and sizes of that slice (one in ``SLICES``) are put in order. What is found is the
+border itself, one (key, size) per source, so the rows of the corpus, with their
+texts, only meet one row of their source: by a broadcast of the counted sources,
+and beyond ``BROADCAST_SOURCES`` in a join that Spark can split at a hot source.
 
 Defined cases: null texts have size 0; a null source is a source of its own and
 comes last; a source without words has target 0 and nothing is taken; repeated
 rows and equal ids stand next to each other in the order and count as rows of
-their own; an empty table gives an empty result; columns of the input are kept in
-a struct, so their names can't clash.
+their own; a very long text is one row that is taken or left as a whole; an empty
+table gives an empty result; columns of the input are kept in a struct, so their
+names can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.support import cut, word_count
@@ -33,6 +38,17 @@ from orrery.llm.support import cut, word_count
 #: Hex digits of the hash that name a slice, and so the number of slices.
 DIGITS = 3
 SLICES = 16**DIGITS
+#: Sources (about 150 bytes each) up to which their plan is broadcast.
+BROADCAST_SOURCES = 100_000
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` (one row per source) with place: their number in code point order, null last, from 0."""
+    dealt = cut(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").count()  # one row per partition
+    ahead = parts.withColumn("ahead", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.join(F.broadcast(ahead), "part").withColumn("place", F.col("ahead") + own).drop("part", "ahead")
 
 
 def water_fill(sizes: DataFrame, share: float, weights: Sequence[float], max_epochs: float) -> DataFrame:
@@ -40,21 +56,59 @@ def water_fill(sizes: DataFrame, share: float, weights: Sequence[float], max_epo
 
     Weights are given to the sources in code point order, null last, and repeat.
     """
-    every = Window.partitionBy()
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    order = Window.orderBy("ratio", "place")
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    ranked = (
-        sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    filled = cut(
+        numbered(sizes)
         .withColumn("weight", weight)
         .withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("wanted", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("level", (F.col("wanted") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-        .withColumn("first_free", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "place", "level"))).over(every))
     )
-    clamped = F.col("first_free").isNull() | (F.struct("ratio", "place") < F.struct(F.col("first_free.ratio"), F.col("first_free.place")))
-    return ranked.select("source", "source_size", F.when(clamped, F.col("cap")).otherwise(F.col("first_free.level") * F.col("weight")).alias("target"))
+    wanted = float(filled.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, clamped = float("-inf"), -1
+    while True:
+        under = F.col("ratio") <= F.lit(level)
+        now = filled.agg(F.count_if(under).alias("n"), F.sum(F.when(under, F.col("cap"))).alias("caps"), F.sum(F.when(~under, F.col("weight"))).alias("free")).first()
+        if now["n"] == clamped or now["free"] is None:
+            break
+        clamped, level = now["n"], (wanted - (now["caps"] or 0.0)) / now["free"]
+    return filled.select("source", "source_size", F.when(F.col("ratio") <= F.lit(level), F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
+
+
+def _per_source(sums: DataFrame, keyed: DataFrame, share: float, weights: Sequence[float], max_epochs: float) -> DataFrame:
+    """One row per source: source_size, target, whole (repetitions of all), at (slice and border of the part).
+
+    ``sums`` (source, slice, slice_size) and ``keyed`` (source, slice, key, text), the latter one row per document.
+    """
+    targets = water_fill(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    targets = targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
+    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
+    placed = sums.withColumn("ahead", F.coalesce(F.sum("slice_size").over(upto), F.lit(0)))
+    crossed = placed.join(targets, F.col("source").eqNullSafe(F.col("of"))).where(F.col("ahead") + F.col("slice_size") > F.col("part"))
+    borders = cut(crossed.groupBy("of").agg(F.first("part").alias("part"), F.min(F.struct("slice", "ahead")).alias("at")))
+
+    # the documents of the border slices, in order: the first whose middle lies beyond the part, and how many rows like it come before
+    if borders.count() > BROADCAST_SOURCES:  # then rows are shuffled, and sizes are narrower than texts
+        keyed = keyed.withColumn("size", word_count(F.col("text"))).drop("text")
+    here = _met(keyed, borders, F.col("slice") == F.col("at.slice"))
+    here = here if "size" in keyed.columns else here.withColumn("size", word_count(F.col("text"))).drop("text")
+    order = Window.partitionBy("of").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    lying = here.withColumn("lying", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("at.ahead"))
+    taken = 2 * F.col("lying") + F.col("size") <= 2 * F.col("part")
+    tuple_ = F.struct("key", "size")
+    first = lying.groupBy("of").agg(F.min(F.when(~taken, tuple_)).alias("border"))
+    equal = lying.where(taken).groupBy("of", "key", "size").agg(F.count("*").alias("like")).select(F.col("of").alias("o"), F.struct("key", "size").alias("b"), "like")
+    found = first.join(equal, F.col("of").eqNullSafe(F.col("o")) & (F.col("border") == F.col("b")), "left").select("of", "border", F.coalesce("like", F.lit(0)).alias("like"))
+    at = borders.select("of", F.col("at.slice").alias("slice")).alias("x").join(found.alias("y"), F.col("x.of").eqNullSafe(F.col("y.of")), "left")
+    at = at.select(F.col("x.of").alias("o"), F.struct("x.slice", "y.border", F.coalesce("y.like", F.lit(0)).alias("like")).alias("at"))
+    return cut(targets.join(at, F.col("of").eqNullSafe(F.col("o")), "left").select("of", "source_size", "target", "whole", "at"))
+
+
+def _met(rows: DataFrame, of_sources: DataFrame, also: Column | None = None) -> DataFrame:
+    """``rows`` with the row of their source; a broadcast if the counted sources are few enough."""
+    on = F.col("source").eqNullSafe(F.col("of"))
+    side = F.broadcast(of_sources) if of_sources.count() <= BROADCAST_SOURCES else of_sources
+    return rows.join(side, on if also is None else on & also)
 
 
 def plan_epochs(
@@ -71,38 +125,25 @@ def plan_epochs(
     """One row per input row: ``row`` (the input row as a struct), size, source,
     source_size, target, copies (whole repetitions and perhaps one more)."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        key.alias("key"),
-        F.substring(key, 1, DIGITS).alias("slice"),
-        F.col(id_col).alias("tie"),
-    )
-    sums = cut(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")))  # at most SLICES rows per source
-    targets = water_fill(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, weights, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    targets = targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumn("ahead", F.coalesce(F.sum("slice_size").over(upto), F.lit(0)))
-    joined = placed.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-    border = joined.where(F.col("ahead") + F.col("slice_size") > F.col("part"))
-    borders = border.groupBy("t.source").agg(
-        *[F.first(c).alias(c) for c in ("source_size", "target", "whole", "part")],
-        F.min(F.struct("slice", "ahead")).alias("at"),
-    )
-    # A source with no border takes the part from all its documents (the part is then its whole size).
-    per_source = targets.alias("t").join(borders.select("source", "at").alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select("t.*", "b.at")
-    per_source = cut(per_source.withColumnRenamed("source", "of"))
-    decided = rows.join(per_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    here = F.col("at").isNotNull() & (F.col("slice") == F.col("at.slice"))
+    size = word_count(F.col(text_col))
+    source = F.col(source_col).alias("source")
+    keyed = docs.select(source, F.substring(key, 1, DIGITS).alias("slice"), key.alias("key"), F.col(text_col).alias("text"))
+    sums = cut(keyed.groupBy("source", "slice").agg(F.sum(word_count(F.col("text"))).alias("slice_size")))  # at most SLICES rows per source
+    plan = _per_source(sums, keyed, share, weights, max_epochs)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source, key.alias("key"), size.alias("size"))
+    decided = _met(rows, plan)
+    place, slice_ = F.struct("key", "size"), F.substring("key", 1, DIGITS)
+    before = F.col("at").isNull() | (slice_ < F.col("at.slice")) | ((slice_ == F.col("at.slice")) & (F.col("at.border").isNull() | (place < F.col("at.border"))))
+    # rows equal to the border, of which some are taken and others not: only where ids are repeated or null
+    shared = F.coalesce((F.col("at.like") > 0) & (place == F.col("at.border")), F.lit(False))
     out = ["row", "source", "size", "source_size", "target"]
-    clear = decided.where(~here).select(*out, (F.col("whole") + F.when(F.col("at").isNull() | (F.col("slice") < F.col("at.slice")), 1).otherwise(0)).alias("copies"))
-    order = Window.partitionBy("source").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    lying = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("at.ahead")
-    near = decided.where(here).withColumn("lying", lying)
-    near = near.select(*out, (F.col("whole") + F.when(2 * F.col("lying") + F.col("size") <= 2 * F.col("part"), 1).otherwise(0)).alias("copies"))
-    return clear.unionByName(near)
+    clear = decided.where(~shared).select(*out, (F.col("whole") + before.cast("int")).alias("copies"))
+    if plan.where("at.like > 0").isEmpty():
+        return clear
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(f"row.{text_col}")))
+    equal = decided.where(shared).withColumn("nth", nth)
+    return clear.unionByName(equal.select(*out, (F.col("whole") + (F.col("nth") <= F.col("at.like")).cast("int")).alias("copies")))
 
 
 def mixture_report(docs: DataFrame, **options) -> DataFrame:

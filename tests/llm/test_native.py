@@ -151,6 +151,24 @@ def test_mixing_meets_targets(spark, docs):
     assert Counter((r.doc_id, r.taken) for r in out) == Counter((r.doc_id, r.taken) for r in again)
 
 
+def test_mixing_beyond_the_broadcast_and_with_shared_ids(spark, docs, monkeypatch):
+    expected = Counter((r.doc_id, r.size, r.taken) for r in mixing.mixture_report(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert Counter((r.doc_id, r.size, r.taken) for r in mixing.mixture_report(docs).collect()) == expected
+    # rows without an id share one place in the order: the border runs through them
+    same = corpus(spark, [(None, f"one two three {i}", "en", "a") for i in range(100)] + [(i, "four five", "en", "b") for i in range(50)])
+    out = mixing.mixture_report(same, share=0.5).collect()
+    taken = sum(r.taken for r in out if r.doc_id is None)
+    assert abs(taken - next(r.target for r in out if r.doc_id is None)) <= 4 and len({r.taken for r in out if r.doc_id is None}) == 2
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    names = [f"s{i:04d}" for i in range(500)] + ["é", "Z", ""]
+    sources = spark.createDataFrame([(n,) for n in names] + [(None,)], "source string")
+    got = {r.source: r.place for r in mixing.numbered(sources).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda x: x.encode()))} | {None: len(names)}
+
+
 def test_mixed_rows_are_repetitions(spark, docs):
     took = Counter()
     for r in mixing.plan_epochs(docs).collect():
