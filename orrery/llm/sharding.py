@@ -1,10 +1,12 @@
 """Sharding by a k-d tree over document metadata, in Spark expressions.
 
-The tree starts with one node that has to become ``ceil(bytes / target_bytes)``
-shards. Each level splits every node of two or more shards along the dimension in
-which it is widest (its range against the range of the whole table) at the
-weighted median of the bytes; a node of an odd number of shards is split at the
-fitting quantile instead. So leaves reach the target size together.
+The tree starts with one node. Each level splits every node of more than
+``target_bytes`` along the dimension in which it is widest (its range against the
+range of the whole table) at the weighted median of the bytes, until all leaves
+reach the target; a node of one row is a leaf, whatever its size. With ``shards``
+instead, the number of leaves is fixed: the target is the bytes divided by it, and
+a node that has to become an odd number of shards is split at the fitting quantile
+instead of the median. Leaves are numbered in the order of the tree.
 
 A median is found by histograms: one aggregation counts the bytes of every open
 node in ``BINS`` bins, a window over the bins picks the one that holds the median,
@@ -21,12 +23,13 @@ row number inside each slice, so no task has to number a whole shard.
 Defined cases: a null text has size 1 and the checksum of an empty text; null
 metadata counts as 0; repeated rows are rows of their own; fewer rows than
 shards leave shards empty; an empty table gives an empty result; only the
-needed columns are read, so others can't clash.
+needed columns are read, so others can't clash. A text is one row, however long: it
+makes its leaf larger than the target where it is larger itself. Of equal texts,
+those of equal metadata stay together where a split within SLACK allows it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,11 +66,19 @@ def points_of(docs: DataFrame, dims: Sequence[Column]) -> DataFrame:
     )
 
 
+def _rows(points: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals, so that no Python worker has to start for them."""
+    fields = [f.split() for f in schema.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
+    return points.sparkSession.range(1).select(F.inline(F.array(*structs)))
+
+
 def _states(points: DataFrame, nodes: list[dict]) -> DataFrame:
     """One row for each open node; there are fewer than shards."""
-    return points.sparkSession.createDataFrame(
-        [(n["lo"], n["dim"], n["key"], n["from"], n["to"], n["is0"], n["is1"], n["below"], n["goal"]) for n in nodes],
-        "node int, dim int, key int, v0 double, v1 double, is0 double, is1 double, below double, goal double",
+    return _rows(
+        points,
+        [(n["node"], n["dim"], n["key"], n["from"], n["to"], n["is0"], n["is1"], n["below"], n["goal"]) for n in nodes],
+        "node long, dim int, key int, v0 double, v1 double, is0 double, is1 double, below double, goal double",
     )
 
 
@@ -91,7 +102,7 @@ def _zoom(points: DataFrame, nodes: list[dict]) -> list[dict]:
 
 def _split(points: DataFrame, nodes: list[dict]) -> None:
     """Adds the cut of each node: dim, key, is0, is1, value, inclusive."""
-    open_ = {n["lo"]: n for n in nodes}
+    open_ = {n["node"]: n for n in nodes}
     while open_:
         for r in _zoom(points, list(open_.values())):
             n = open_[r["node"]]
@@ -108,9 +119,10 @@ def _split(points: DataFrame, nodes: list[dict]) -> None:
 
 
 def _assign(points: DataFrame, nodes: list[dict]) -> DataFrame:
-    cuts = points.sparkSession.createDataFrame(
-        [(n["lo"], n["lo"] + n["left"], n["dim"], n["key"], n["is0"], n["is1"], n["value"], n["inclusive"]) for n in nodes],
-        "node int, right int, dim int, key int, is0 double, is1 double, value double, inclusive boolean",
+    cuts = _rows(
+        points,
+        [(n["node"], n["dim"], n["key"], n["is0"], n["is1"], n["value"], n["inclusive"]) for n in nodes],
+        "node long, dim int, key int, is0 double, is1 double, value double, inclusive boolean",
     )
     at = points.join(F.broadcast(cuts), "node", "left")  # fewer rows than shards
     first, bound = F.get("dims", F.col("dim")), F.col("value")
@@ -121,42 +133,61 @@ def _assign(points: DataFrame, nodes: list[dict]) -> DataFrame:
         .when(F.col("key") == 1, (first < F.col("is0")) | ((first == F.col("is0")) & within))
         .otherwise((first < F.col("is0")) | ((first == F.col("is0")) & ((F.col("by_text") < F.col("is1")) | ((F.col("by_text") == F.col("is1")) & within))))
     )
-    return at.withColumn("node", F.when(F.col("right").isNull() | left, F.col("node")).otherwise(F.col("right"))).select(*points.columns)
+    child = 2 * F.col("node") + F.when(left, 0).otherwise(1)
+    return at.withColumn("node", F.when(F.col("key").isNull(), F.col("node")).otherwise(child)).select(*points.columns)
 
 
-def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, dims: Sequence[Column] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row; give ``shards`` or ``target_bytes``."""
-    points = cut(points_of(docs, default_dimensions() if dims is None else dims).withColumn("node", F.lit(0)))
-    n_dims = len(default_dimensions() if dims is None else dims)
+def kd_tree(points: DataFrame, n_dims: int, shards: int | None, target_bytes: int | None) -> tuple[DataFrame, list[dict], list[int], int]:
+    """(points with their leaf as node, the cuts, the leaves in order, number of rows).
+
+    The children of node i are 2 i and 2 i + 1. The driver sees one row per node.
+    """
+    points = cut(points.withColumn("node", F.lit(1).cast("long")))
     whole: list[float] = []
-    rows, level, todo = 0, 0, {0: shards or 0}
+    rows, level, goal, cuts, leaves, had = 0, 0, {1: shards or 0}, [], set(), dict[int, int]()
     while True:
         spans = [f(F.get("dims", F.lit(i))).alias(f"{k}{i}") for i in range(n_dims) for k, f in (("mn", F.min), ("mx", F.max))]
         stats = points.groupBy("node").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *spans).collect()  # one row per node
         if not level and stats:
             rows = stats[0]["n"]
-            todo[0] = shards or max(1, math.ceil(stats[0]["bytes"] / target_bytes))
             whole = [stats[0][f"mx{i}"] - stats[0][f"mn{i}"] or 1.0 for i in range(n_dims)]
         nodes = []
         for s in stats:
-            lo, m = s["node"], todo[s["node"]]
-            if m < 2:
+            node = s["node"]
+            whole_parent = not shards and had.get(node // 2) == s["n"]  # rows that are equal in everything can't be split
+            if s["n"] < 2 or whole_parent or (goal[node] < 2 if shards else s["bytes"] <= target_bytes):
+                leaves.add(node)
+            if node in leaves:
                 continue
-            width, dim = max(((s[f"mx{i}"] - s[f"mn{i}"]) / whole[i], -i) for i in range(n_dims))
-            left = (m + 1) // 2
-            nodes.append({"lo": lo, "left": left, "dim": -dim, "key": 0, "is0": None, "is1": None, "from": s[f"mn{-dim}"], "to": s[f"mx{-dim}"], "below": 0.0, "goal": s["bytes"] * left / m, "bytes": s["bytes"]})
-            todo |= {lo: left, lo + left: m - left}
+            had[node] = s["n"]
+            _, dim = max(((s[f"mx{i}"] - s[f"mn{i}"]) / whole[i], -i) for i in range(n_dims))
+            left = (goal[node] + 1) // 2
+            share = left / goal[node] if shards else 0.5
+            goal |= {2 * node: left, 2 * node + 1: goal[node] - left}
+            nodes.append({"node": node, "dim": -dim, "key": 0, "is0": None, "is1": None, "from": s[f"mn{-dim}"], "to": s[f"mx{-dim}"], "below": 0.0, "goal": s["bytes"] * share, "bytes": s["bytes"]})
         if not nodes:
             break
         _split(points, nodes)
+        cuts += nodes
         points = _assign(points, nodes)
         level += 1
-        if level % 4 == 0:
+        if level % 3 == 0:
             points = cut(points)
-    return _numbered(points.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"), "by_id"), max(1, todo[0]), rows)
+    deepest = max((x.bit_length() for x in leaves), default=1)
+    return points, cuts, sorted(leaves, key=lambda x: x << (deepest - x.bit_length())), rows
+
+
+def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, dims: Sequence[Column] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row; give ``shards`` or ``target_bytes``."""
+    if (shards is None) == (target_bytes is None):
+        raise ValueError("give either shards or target_bytes")
+    dims = default_dimensions() if dims is None else dims
+    points, _, leaves, rows = kd_tree(points_of(docs, dims), len(dims), shards, target_bytes)
+    shard = F.array_position(F.array(*[F.lit(x).cast("long") for x in leaves]).cast("array<bigint>"), F.col("node")) - 1
+    return _numbered(points.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "by_id"), rows)
 
 
-def _numbered(placed: DataFrame, shards: int, rows: int) -> DataFrame:
+def _numbered(placed: DataFrame, rows: int) -> DataFrame:
     slices = 16 + rows // SLICE_ROWS
     placed = placed.withColumn("slice", F.floor(F.col("by_id") * slices).cast("int"))
     upto = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

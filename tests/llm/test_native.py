@@ -48,8 +48,44 @@ def test_shards_balance_bytes_and_one_value(spark):
     rows = [(i, "one text for all of them", "en", "s") for i in range(1000)]
     sizes = Counter(r.shard for r in sharding.shard_report(corpus(spark, rows), shards=8).collect())
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 10
-    by_target = sharding.kd_shards(corpus(spark, rows), target_bytes=25 * 334).collect()
-    assert len({r.shard for r in by_target}) == 3
+    sizes = Counter(r.shard for r in sharding.kd_shards(corpus(spark, rows), target_bytes=25 * 260).collect())
+    assert set(sizes) == {0, 1, 2, 3} and max(sizes.values()) <= 260
+    same = corpus(spark, [(1, "one row many times", "en", "s")] * 50)
+    assert {r.shard for r in sharding.kd_shards(same, target_bytes=100).collect()} == {0}
+
+
+@pytest.mark.parametrize("shards,target", [(6, None), (None, 9_000)])
+def test_cuts_are_weighted_medians_of_the_widest_dimension(spark, docs, shards, target):
+    dims = sharding.default_dimensions()
+    points, cuts, leaves, n = sharding.kd_tree(sharding.points_of(docs, dims), len(dims), shards, target)
+    rows = [(r.node, tuple(r.dims), r.by_text, r.by_id, r.size) for r in points.collect()]
+    assert n == len(rows) and {r[0] for r in rows} <= set(leaves)
+    spans = [max(r[1][i] for r in rows) - min(r[1][i] for r in rows) for i in range(len(dims))]
+
+    def under(node):
+        return [r for r in rows if r[0].bit_length() >= node.bit_length() and r[0] >> (r[0].bit_length() - node.bit_length()) == node]
+
+    for c in cuts:
+        inside, left, right = (under(x) for x in (c["node"], 2 * c["node"], 2 * c["node"] + 1))
+        widths = [(max(r[1][i] for r in inside) - min(r[1][i] for r in inside)) / spans[i] for i in range(len(dims))]
+        assert widths[c["dim"]] == max(widths) and sorted(left + right) == sorted(inside)
+        place = lambda r, d=c["dim"]: (r[1][d], r[2], r[3])
+        assert not left or not right or max(map(place, left)) <= min(map(place, right))
+        total = sum(r[4] for r in inside)
+        nearest = min(abs(sum(r[4] for r in inside if place(r) <= place(x)) - c["goal"]) for x in inside)
+        assert abs(sum(r[4] for r in left) - c["goal"]) <= max(nearest, sharding.SLACK * total) + 1e-6
+    for leaf in leaves:
+        if target is not None:
+            assert sum(r[4] for r in under(leaf)) <= target or len({r[1:4] for r in under(leaf)}) == 1
+    assert shards is None or len(leaves) <= shards  # one text is larger than a shard should be
+
+
+def test_shards_are_of_equal_bytes(spark):
+    rows = [(i, "ab " * (1 + i * 7919 % 50), "en" if i % 3 else "de", "s") for i in range(3000)]
+    sizes = Counter()
+    for r in sharding.shard_report(corpus(spark, rows), shards=8).collect():
+        sizes[r.shard] += r.size
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8 + 151
 
 
 def test_shards_of_nothing(spark, docs):
