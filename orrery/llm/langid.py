@@ -4,19 +4,22 @@ A text is folded to lower-case letters with one space between words. Its n-grams
 of 1 to 3 characters are hashed into BUCKETS cells. Training counts cells by
 language on the executors; what comes back are the summed counts (languages x
 cells). The matrix of log-probabilities is broadcast, and tasks score batches of
-texts: the rows of the matrix that a batch hits are summed by text, which is the
-product of the sparse count matrix with it. The score is the posterior of the
-language, with equal priors.
+texts at once: a batch is one sparse matrix of counts, in compressed rows (text by
+text the cells it has, and how often), and its product with the dense matrix gives
+the scores of all its texts. The score is the posterior of the language, with
+equal priors.
 
 ``MAX_TRAINING`` bounds the texts that the counts come from (a seeded sample by a
-hash of the id; texts are read whole). ``MAX_LANGUAGES`` bounds the matrix; more
-languages raise an error, as labels of that many values are no languages.
+hash of the id; texts are read whole). ``MAX_LANGUAGES`` bounds the matrix: of more
+labels than that, those with the most training texts are learned (ties by code
+point), so a column of dirty labels doesn't stop a job.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as
 are all texts if there is nothing to learn from; a null id is neither held out nor
 learned from; equal scores go to the language that comes first by code point;
-repeated rows get equal results; an empty table gives an empty result; only
-doc_id, text and lang are read, so other columns can't clash.
+repeated rows get equal results; a very long text is counted in runs of bounded
+length; an empty table gives an empty result; only doc_id, text and lang are read,
+so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.support import cut, small_batches, values
+
 BUCKETS = 1 << 15
 MAX_TRAINING = 20_000
 MAX_LANGUAGES = 500
-#: Characters that are looked at together.
-BLOCK = 1 << 18
+#: Characters that are looked at together, and numbers that one step of the product holds.
+BLOCK, STEP = 1 << 18, 1 << 21
 KNUTH = np.uint32(2654435761)
 
 
@@ -59,17 +64,56 @@ def folded(text: str | None, table: np.ndarray) -> np.ndarray:
     return low[~(space & np.concatenate([[False], space[:-1]]))]
 
 
-def cells(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Cells of the n-grams, in runs of bounded length."""
-    for at in range(0, len(codes), BLOCK):
-        part = codes[at : at + BLOCK + 2]
-        own = min(BLOCK, len(codes) - at)
-        h = np.zeros(own, np.uint32)
-        for j in range(min(3, len(part))):
-            n = min(own, len(part) - j)
-            h = (h[:n] + part[j : j + n] + np.uint32(1)) * KNUTH
-            h ^= h >> np.uint32(15)
-            yield (h & np.uint32(BUCKETS - 1)).astype(np.int64)
+def stretches(codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, texts they belong to, whether an n-gram may begin there): folded texts in runs of about BLOCK characters.
+
+    A longer text is cut into parts; each part also shows the two characters after it.
+    """
+    held: list[tuple[int, np.ndarray, int]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = [len(p) for _, p, _ in held]
+        own = np.concatenate([np.arange(len(p)) < n for _, p, n in held])
+        return np.concatenate([p for _, p, _ in held]), np.repeat([i for i, _, _ in held], lengths), own
+
+    for i, c in enumerate(codes):
+        for at in range(0, len(c), BLOCK):
+            held.append((i, c[at : at + BLOCK + 2], min(BLOCK, len(c) - at)))
+            size += len(held[-1][1])
+            if size >= BLOCK:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def sparse(codes: np.ndarray, owner: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The count matrix of a run of texts: (text, cell, count) of its entries, in the order of texts and cells."""
+    h, found = np.zeros(len(codes), np.uint32), []
+    for j in range(3):
+        if len(codes) <= j:
+            break
+        n = len(codes) - j
+        h = (h[:n] + codes[j:] + np.uint32(1)) * KNUTH
+        h ^= h >> np.uint32(15)
+        inside = (owner[:n] == owner[j:]) & own[:n]
+        found.append(owner[:n][inside] * BUCKETS + (h[inside] & np.uint32(BUCKETS - 1)).astype(np.int64))
+    entries, counts = np.unique(np.concatenate(found), return_counts=True)
+    return entries // BUCKETS, entries % BUCKETS, counts
+
+
+def product(n_texts: int, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], dense: np.ndarray) -> np.ndarray:
+    """The sparse count matrix of n texts, given in parts, times the dense matrix (cells x languages)."""
+    out = np.zeros((n_texts, dense.shape[1]))
+    step = max(1, STEP // max(1, dense.shape[1]))
+    for text, cell, count in parts:
+        for at in range(0, len(text), step):
+            row = text[at : at + step]
+            terms = dense.take(cell[at : at + step], axis=0) * count[at : at + step, None]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[first]] += np.add.reduceat(terms, first, axis=0, dtype=np.float64)
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,10 +126,15 @@ def counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = folding(), dict[str, np.ndarray]()
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for run in cells(folded(text, table)):
-                    total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    total[lang] += np.bincount(run, minlength=BUCKETS)
+            coded = batch.column("lang").dictionary_encode()
+            names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            for part in stretches([folded(t, table) for t in values(batch.column("text"))]):
+                text, cell, n = sparse(*part)
+                lang = codes[text]
+                for i in np.unique(lang):
+                    own = lang == i
+                    sums = np.bincount(cell[own], n[own], BUCKETS).astype(np.int64)
+                    total[names[i]] = total[names[i]] + sums if names[i] in total else sums
         for lang, n in total.items():
             hit = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit), pa.array(n[hit])], ["lang", "cell", "n"])
@@ -93,15 +142,14 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, max_training: int = MAX_TRAINING) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, max_training: int = MAX_TRAINING, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log-probabilities (cells x languages), from (doc_id, text, lang)."""
     ready = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    n, langs = ready.select("doc_id", "lang").agg(F.count("*"), F.count_distinct("lang")).first()
-    if langs > MAX_LANGUAGES:
-        raise ValueError(f"{langs} languages; at most {MAX_LANGUAGES} fit the matrix")
+    n = ready.select("doc_id").count()
     if n > max_training:
         ready = ready.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * max_training / n))
-    found = counts(ready).toPandas()  # at most MAX_LANGUAGES x BUCKETS rows
+    common = cut(ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages))  # the bound of the matrix
+    found = counts(ready.join(F.broadcast(common.select("lang")), "lang", "left_semi")).toPandas()  # at most max_languages x BUCKETS rows
     names = sorted(found["lang"].unique())
     matrix = np.full((BUCKETS, len(names)), 0.5)
     for i, name in enumerate(names):
@@ -118,19 +166,18 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
         table, logs = folding(), shared.value
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                codes = folded(text, table)
-                if not names or not (codes != 32).any():
-                    langs.append("und")
-                    scores.append(0.0)
+            for at in range(0, batch.num_rows, 256):
+                codes = [folded(t, table) for t in values(batch.column("text").slice(at, 256))]
+                lettered = [bool(names) and bool((c != 32).any()) for c in codes]
+                if not names:
+                    langs += ["und"] * len(codes)
+                    scores += [0.0] * len(codes)
                     continue
-                total = np.zeros(len(names))
-                for run in cells(codes):
-                    hits = np.bincount(run, minlength=BUCKETS) if len(run) > BUCKETS else None
-                    total += hits @ logs if hits is not None else logs.take(run, axis=0).sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                langs.append(names[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+                total = product(len(codes), (sparse(*p) for p in stretches(codes)), logs)
+                best = total.argmax(axis=1)
+                chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                langs += [names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
+                scores += np.where(lettered, chance, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
@@ -138,6 +185,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
 
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; what is held out is not learned from."""
+    small_batches(docs.sparkSession)
     names, matrix = learn(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
     found = predict(docs, names, matrix)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
