@@ -14,29 +14,33 @@ bytes; instead, only those are sorted that can be repeated.
    aggregates, so passages and copies of any number collapse before the shuffle.
 3. What is left are contexts of their own that share an anchor with others: the ends
    of repeated passages. The contexts of an anchor, one for each class, go to one
-   task, which sorts their suffixes by doubling ranks up to L bytes. In that order
-   suffixes that agree on L bytes are neighbours. The longest previous factor of a
-   suffix is the longer of its matches with the nearest smaller positions before and
-   after it in the order; it reaches L just if the run of neighbours that agree on L
-   bytes has a smaller position, and a later match reaches L just if the run has a
-   larger one. An anchor with more than HOT contexts isn't gathered: its strings are
-   told apart by hashes of all their bytes, as rows of their own.
+   task, which puts their strings in suffix order, by ranks that double their length
+   up to L bytes, with the common prefixes of neighbours. From that come the arrays
+   of factors: the longest previous factor of a string is the longer of its matches
+   with the nearest smaller positions before and after it in suffix order, the longest
+   next factor that with the nearest larger ones. A string whose previous factor
+   reaches L bytes is a later copy, one whose next factor does has a copy behind it.
+   An anchor with more than HOT contexts isn't gathered in a task: its strings become
+   rows of their own, grouped by their bytes, and a group's smallest position tells
+   the first from the later ones.
 
 ``keep_first`` removes later copies only and keeps the first, in the order of
 (doc_id, place); without it, every copy goes.
 
 Defined cases: a null text has no bytes; texts shorter than L keep all; equal rows
 are copies of each other (with ``keep_first``, both keep what the first keeps); of
-different texts under one id, each loses the stretches found in any of them; a null
-id is left as it is and matches nothing; an empty table gives an empty result; only
-doc_id and text are read, so other columns can't clash. A text is held in a task as a whole, as any row
-is; its entries are found in runs of bounded length.
+different texts under one id, each loses the stretches found in any of them; rows
+without an id take part like others, under a hash of their text; an empty table gives
+an empty result; only doc_id and text are read, so other columns can't clash. A text
+is held in a task as a whole, as any row is; its entries are found in runs of bounded
+length. Classes rest on 64 bits of the anchor and 64 of the context: that two of 10^15
+pairs of different contexts with one anchor agree has a chance below 10^-4.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +48,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import BYTE, STEP, U64, mixed
-from orrery.llm.support import cut, written
+from orrery.llm.support import cut, small_batches, values, written
 
 L, G = 200, 100
-HOT = 4_000
+#: Contexts of an anchor that one task puts in order.
+HOT = 1_000
 #: Array elements (about 40 bytes each) up to which what was found of the documents is broadcast.
 BROADCAST_PARTS = 2_000_000
 #: Bytes that are hashed, or sorted, together; place and hash share 64 bits in the search for anchors.
 BLOCK, PLACE = 1 << 19, 20
+#: Bytes of contexts that are put in order together, but for the last anchor's.
+ORDERED = 1 << 17
 BACK = pow(STEP, -1, 2**64)
 #: An entry's run is packed as first start * 2^16 + strings * 2^8 + offset of the anchor from the first start.
 RUN = "doc_id long, run long"
@@ -74,13 +81,13 @@ class Hasher:
         return (sums[end] - sums[start]) * self.down[start]
 
 
-def stretches(ids: list[int | None], texts: list[str | None], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def stretches(ids: Iterable[int], texts: Iterable[str | None], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(ids, places, bytes) to look at together: whole texts, or overlapping parts of long ones."""
     out: tuple[list[int], list[int], list[bytes]] = ([], [], [])
     size = 0
     for i, text in zip(ids, texts, strict=True):
         data = (text or "").encode()
-        if i is None or len(data) < length:
+        if len(data) < length:
             continue
         for at in range(0, len(data) - length + 1, BLOCK - length):
             part = data[at : at + BLOCK - 1]
@@ -129,7 +136,7 @@ def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(BLOCK + 1)
         for batch in batches:
-            for ids, places, parts in stretches(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), length):
+            for ids, places, parts in stretches(values(batch.column("doc_id")), values(batch.column("text")), length):
                 part, first, strings, offset, h, c = entries_of(parts, hasher, length, gram)
                 run = ((first + np.array(places)[part]) << 16) | (strings << 8) | offset
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[part]), pa.array(run), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["doc_id", "run", "h", "c"])
@@ -137,22 +144,62 @@ def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(find, RUN + ", h long, c long")
 
 
-def suffix_runs(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings of ``length`` bytes in suffix order: (context, start in it, number of the run of equal strings)."""
+def suffix_order(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of ``length`` bytes of the contexts in suffix order: (context, start in it, position, common).
+
+    Positions run through the contexts in their order; ``common`` is the prefix that a string has in common
+    with the one before it, in bytes.
+    """
     sizes = np.array([len(x) for x in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    rank, reach = data.astype(np.int64), 1
-    while 2 * reach <= length:
-        pair = rank[: len(rank) - reach] * (int(rank.max()) + 1) + rank[reach:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        reach *= 2
+    ranks = [data.astype(np.int32)]  # ranks[k] orders stretches of 2^k bytes
+    while 2 << len(ranks) - 1 <= length:
+        rank, reach = ranks[-1].astype(np.int64), 1 << len(ranks) - 1
+        pair = rank[: len(rank) - reach] * (int(rank.max(initial=0)) + 1) + rank[reach:]
+        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    start = np.flatnonzero(np.arange(len(data)) + length <= ends[owner])
-    whole = rank[start] * (int(rank.max()) + 1) + rank[start + length - reach]
+    at = np.flatnonzero(np.arange(len(data)) + length <= ends[owner])
+    top = ranks[-1].astype(np.int64)
+    whole = top[at] * (int(top.max(initial=0)) + 1) + top[at + length - (1 << len(ranks) - 1)]
     order = np.argsort(whole, kind="stable")
-    start, whole = start[order], whole[order]
-    return owner[start], start - (ends - sizes)[owner[start]], np.cumsum(np.diff(whole, prepend=whole[:1]) != 0)
+    at, whole = at[order], whole[order]
+    common = np.zeros(len(at), np.int32)
+    one, two = at[:-1], at[1:]
+    for k in reversed(range(len(ranks))):
+        i, j = one + common[1:], two + common[1:]
+        inside = np.maximum(i, j) < len(ranks[k])
+        last = len(ranks[k]) - 1
+        common[1:] += ((ranks[k][np.minimum(i, last)] == ranks[k][np.minimum(j, last)]) & inside).astype(np.int32) << k
+    common[1:][whole[1:] == whole[:-1]] = length
+    return owner[at], at - (ends - sizes)[owner[at]], at, np.minimum(common, length)
+
+
+def match_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each string in suffix order, the match with the nearest one before it of a smaller position; 0 if there is none.
+
+    Minima over stretches of 2^k strings let all of them step back together, in log2(n) steps.
+    """
+    n = len(position)
+    low, match = [position.astype(np.int32)], [common]
+    while 2 << len(low) - 1 <= n:
+        half = 1 << len(low) - 1
+        for table in (low, match):
+            table.append(np.minimum(table[-1][half:], table[-1][:-half]))  # of the stretch that begins here
+    back, found = np.arange(-1, n - 1), common.copy()
+    for k in reversed(range(len(low))):
+        start = back - (1 << k) + 1
+        over = np.flatnonzero(start >= 0)
+        over = over[low[k][start[over]] > position[over]]
+        found[over] = np.minimum(found[over], match[k][start[over]])
+        back[over] -= 1 << k
+    return np.where(back >= 0, found, 0)
+
+
+def longest_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each string in suffix order, up to the length of the strings."""
+    after = np.append(common[1:], 0)[::-1] if len(common) else common
+    return np.maximum(match_before(position, common), match_before(position[::-1], after)[::-1])
 
 
 def _sized(rows: DataFrame, found: DataFrame, how: str, parts: str) -> DataFrame:
@@ -161,17 +208,25 @@ def _sized(rows: DataFrame, found: DataFrame, how: str, parts: str) -> DataFrame
     return rows.join(F.broadcast(found) if size <= BROADCAST_PARTS else found, "doc_id", how)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text): doc_id is ``own``, or a hash of the text where that is null."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.xxhash64("text")).alias("doc_id"), own.alias("own"), "text")
+
+
 def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first: bool = False, hot: int = HOT) -> DataFrame:
-    """(doc_id, spans array<struct<start, end>>): the disjoint repeated stretches of each text that has any."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = entries(texts, length, gram)
-    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    """(doc_id, spans array<struct<start, end>>): the disjoint repeated stretches of each text that has any (ids as in :func:`keyed`)."""
+    small_batches(docs.sparkSession)
+    texts = keyed(docs).select("doc_id", "text")
+    every = written(entries(texts, length, gram), "entries")
+    # what is joined on an anchor is a table of its own, so that Spark can split the entries of a frequent one
+    often = cut(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     shared = written(every.join(often, "h"), "shared-anchors")
 
     place = F.struct("doc_id", "run")
     classes = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("at"))
     classes = cut(classes.select("h", "n", "at.doc_id", "at.run"))
-    sizes = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1")
+    sizes = cut(classes.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1"))
     open_ = sizes if keep_first else sizes.where("least = 1")
     wanted = classes.join(open_, "h").select("doc_id", F.struct("run", "h", "n", (F.col("contexts") > hot).alias("hot")).alias("x"))
     by_doc = cut(wanted.groupBy("doc_id").agg(F.collect_list("x").alias("x")))  # some entries of one text
@@ -179,7 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "x")], strict=True):
+            for doc_id, text, found in zip(*[values(batch.column(c)) for c in ("doc_id", "text", "x")], strict=True):
                 data = (text or "").encode()
                 for x in found:
                     at, strings = x["run"] >> 16, x["run"] >> 8 & 255
@@ -192,10 +247,10 @@ def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first:
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: list[tuple]) -> pa.RecordBatch:
             rows = sorted(set(rows), key=lambda r: (r[0], r[1], r[2]))  # places in order, anchor by anchor
-            owner, start, run = suffix_runs([r[4] for r in rows], length) if rows else (np.zeros(0, int),) * 3
-            smallest = np.full(run.max(initial=-1) + 1, len(rows))
-            np.minimum.at(smallest, run, owner)
-            hit = smallest[run] < owner if keep_first else np.bincount(run)[run] > 1
+            owner, start, position, common = suffix_order([r[4] for r in rows], length) if rows else (np.zeros(0, np.int64),) * 4
+            hit = longest_factors(position, common) >= length
+            if not keep_first:  # copies behind count as well: positions the other way round
+                hit |= longest_factors(position.max(initial=0) - position, common) >= length
             found: dict[int, list[int]] = {i: [] for i, r in enumerate(rows) if keep_first or r[3] == 1}
             for i, s in zip(owner[hit].tolist(), start[hit].tolist(), strict=True):
                 if i in found:
@@ -208,7 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first:
         size = 0
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("h", "doc_id", "run", "n", "context")], strict=True):
-                if size > BLOCK and held[-1][0] != row[0]:
+                if size > ORDERED and held[-1][0] != row[0]:
                     yield judged(held)
                     held, size = [], 0
                 held.append(row)
@@ -222,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first:
         for batch in batches:
             for h, doc_id, run, n, context in zip(*[batch.column(c).to_pylist() for c in ("h", "doc_id", "run", "n", "context")], strict=True):
                 m = len(context) - length + 1
-                keys = [hashlib.blake2b(context[s : s + length], digest_size=16).digest() for s in range(m)]
+                keys = [context[s : s + length] for s in range(m)]
                 yield pa.RecordBatch.from_arrays([pa.array([v] * m, pa.int64()) for v in (h, doc_id, run, n)] + [pa.array(range(m), pa.int32()), pa.array(keys, pa.binary())], ["h", "doc_id", "run", "n", "s", "key"])
 
     single = told.where("hot").select("h", "doc_id", "run", "n", "context").mapInArrow(strings_of, "h long, doc_id long, run long, n long, s int, key binary")
@@ -268,7 +323,7 @@ def removal_report(docs: DataFrame, length: int = L, gram: int = G, keep_first:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")], strict=True):
+            for doc_id, text, found in zip(*[values(batch.column(c)) for c in ("own", "text", "spans")], strict=True):
                 data, kept, at = (text or "").encode(), hashlib.sha256(), 0
                 for s in found or []:
                     kept.update(data[at : s["start"]])
@@ -278,5 +333,4 @@ def removal_report(docs: DataFrame, length: int = L, gram: int = G, keep_first:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _sized(texts, spans, "left", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _sized(keyed(docs), spans, "left", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
