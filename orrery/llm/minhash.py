@@ -23,18 +23,24 @@
    documents can share from there on, so that pairs are made only where they can be
    links.
 
-Hot values, lists and classes are counted with partial aggregates and met by joins
-on (value) that Spark can split; nothing gathers a list, a class or a component.
+Hot values, lists and classes are counted with partial aggregates; the counts are
+written before they are joined on a value, so Spark can split the join at a frequent
+one. Nothing gathers a list, a class or a component. Pairs of a list are made within
+neighbouring bands of set sizes only.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing;
-rows that share an id are one node, linked wherever one of their texts is; a null
-id is never linked, and its row is kept; an empty table gives an empty result;
-only doc_id and text are read, so other columns can't clash.
+rows that share an id are one document: :func:`near_duplicates` links it wherever one
+of its texts is, :func:`deduplicated` judges each row by its own text and drops no
+text that isn't like another; a null id is never linked, and its row is kept; repeated
+rows (id and text) are one; texts of any length are whole sets in the exact steps; an
+empty table gives an empty result; only doc_id and text are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import shingle_sets
-from orrery.llm.support import by_ids, components, cut, values
+from orrery.llm.support import by_ids, components, cut, small_batches, values, written
 
 K, T = 48, 24
 #: The similarity that T and the bound of small sets are made for.
@@ -53,7 +59,7 @@ LONG = 32
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set; null if empty), sketch of every row."""
+    """doc_id, t (hash of the text), n_shingles, digest (of the whole set; null if empty), sketch of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,30 +71,38 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             offsets = np.cumsum([0] + [len(s) for s in sketches], dtype=np.int32)
             flat = np.concatenate([*sketches, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [batch.column("doc_id"), batch.column("t"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["doc_id", "t", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return _texts(docs).mapInArrow(sign, "doc_id long, t long, n_shingles long, digest binary, sketch array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def rare_values(reps: DataFrame) -> DataFrame:
-    """(v, doc_id, n): the inverted lists, each document in those of its rarest values."""
-    have = F.size("sketch")
+    """(v, node, n): the inverted lists, each text in those of its rarest values."""
+    entries = reps.select("node", "n", F.explode("sketch").alias("v"))
+    often = cut(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = entries.join(often, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
+    have = F.least(F.col("n"), F.lit(K)).cast("int")
     least = F.when(F.col("n") >= K, F.lit(T)).otherwise(F.least(F.lit(T), F.ceil(F.col("n") * 0.8).cast("int")))
-    entries = reps.select("doc_id", "n", (have - least + 1).alias("prefix"), have.alias("have"), F.explode("sketch").alias("v"))
-    often = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(often, "v").groupBy("doc_id", "n", "prefix", "have").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
-    # values of one document alone come first in the order, and lead to no one
-    room = F.col("prefix") - (F.col("have") - F.size("s"))
-    return shared.where(room > 0).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select("x.v", "doc_id", "n")
+    # values of one text alone come first in the order, and lead to no one
+    room = have - least + 1 - (have - F.size("s"))
+    return shared.where(room > 0).select("node", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select("x.v", "node", "n")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node, doc_id, t), already materialised."""
+    return by_ids(_texts(docs), nodes, "inner", ["doc_id", "t"]).select("node", "text")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the similarity: estimate first, then exact."""
-    sketches = reps.select("doc_id", "n", "sketch")
-    one = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b")
     in_size = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("sa", "sb")) >= F.least(F.lit(T), F.ceil(F.least("na", "nb") * 0.8)))
 
@@ -104,15 +118,15 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     likely = cut(joined.where(in_size).mapInArrow(estimated, "a long, b long"))
-    ids = cut(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
-    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
-    both = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    nodes = cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(reps.select("node", "doc_id", "t"), "node"))
+    texts = texts_of(docs, nodes)
+    both = likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = ("", np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
-            for ta, sb in zip(values(batch.column("ta")), shingle_sets(values(batch.column("tb")), n), strict=True):
+            for ta, sb in zip(values(batch.column("ta"), 64), shingle_sets(values(batch.column("tb"), 64), n), strict=True):
                 if last[0] != ta:
                     last = (ta, next(shingle_sets([ta], n)))
                 inter = len(np.intersect1d(last[1], sb, assume_unique=True))
@@ -122,79 +136,103 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
 
 
-def full_prefixes(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFrame:
-    """(v, doc_id, n, room): lists of whole shingle sets, of these documents alone.
+def full_prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(v, node, n, room): lists of whole shingle sets, of these texts alone.
 
-    The shingles of a set are put in order, rarest among these documents first. Two
+    The shingles of a set are put in order, rarest among these texts first. Two
     sets of the similarity share one of the first n - ceil(percent n / 100) + 1 of
     each, and from the first that they share on they have at most ``room`` shingles.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(values(batch.column("text")), n), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(s), pa.int64()), pa.array(s.view(np.int64))], ["doc_id", "g"])
+            for node, s in zip(batch.column("node").to_pylist(), shingle_sets(values(batch.column("text"), 64), n), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], ["node", "g"])
 
-    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
-    every = texts.mapInArrow(spread, "doc_id long, g long").distinct()
-    counted = every.join(every.groupBy("g").agg(F.count("*").alias("m")), "g")
-    ordered = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("s"))  # the shingles of one text
+    every = written(texts_of(docs, nodes).mapInArrow(spread, "node long, g long"), "shingles").distinct()
+    counted = every.join(cut(every.groupBy("g").agg(F.count("*").alias("m"))), "g")
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("s"))  # the shingles of one text
     size = F.size("s")
     first = F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
-    placed = ordered.select("doc_id", size.cast("long").alias("n"), F.posexplode(first).alias("i", "x"))
-    return placed.where("x.m > 1").select(F.col("x.g").alias("v"), "doc_id", "n", (F.col("n") - F.col("i")).alias("room"))
+    placed = ordered.select("node", size.cast("long").alias("n"), F.posexplode(first).alias("i", "x"))
+    return cut(placed.where("x.m > 1").select(F.col("x.g").alias("v"), "node", "n", (F.col("n") - F.col("i")).alias("room")))
 
 
 def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Lists (v, doc_id, n, room) that hold documents of different components: adds c, in_main, whole."""
-    members = lists.join(found, lists.doc_id == found.node, "left").select(*lists.columns, F.coalesce("component", "doc_id").alias("c"))
+    """Lists (v, node, n, room) that hold texts of different components: adds c, in_main, whole."""
+    members = lists.join(found.withColumnRenamed("component", "c"), "node", "left").select(*lists.columns, F.coalesce("c", "node").alias("c"))
     parts = members.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), F.sum("m").alias("whole"), F.max_by("c", F.struct("m", "c")).alias("main")).where("parts > 1")
-    return members.join(parts, "v").select(*lists.columns, "c", (F.col("c") == F.col("main")).alias("in_main"), "whole")
+    return cut(members.join(cut(parts), "v").select(*lists.columns, "c", (F.col("c") == F.col("main")).alias("in_main"), "whole"))
 
 
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b), a > b: pairs of a list in different components that can reach the similarity.
 
-    ``room`` bounds what a document can have in common with another of the list, and
-    so the similarity of a pair, before the pair is made.
+    Sizes of such a pair differ by the similarity at most, so they lie in neighbouring
+    bands of a log scale, and pairs are made within those alone. ``room`` bounds what a
+    text can have in common with another of the list, and so the similarity of a pair,
+    before the pair is made.
     """
-    one = members.where("NOT in_main").select("v", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("mx"))
-    two = members.select("v", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"), "in_main")
+    band = F.floor(F.ln("n") / math.log(100 / min(percent, 99))).cast("int")
+    one = members.where("NOT in_main").select("v", F.explode(F.sequence(band - 1, band + 1)).alias("band"), F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("mx"))
+    two = members.select(F.col("v").alias("w"), band.alias("band_y"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"), "in_main")
     can = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
-    pairs = one.join(two, (one.v == two.v) & (F.col("cx") != F.col("cy")) & can & (F.col("in_main") | (F.col("x") > F.col("y"))))
+    pairs = one.join(two, (F.col("v") == F.col("w")) & (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & can & (F.col("in_main") | (F.col("x") > F.col("y"))))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row: shingles of n words, similarity of percent / 100, from 80 on."""
+def linked_classes(docs: DataFrame, n: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(signatures, named): ``named`` has for each digest its text's place (doc_id, t) and that of its whole
+    group, ``first``, as the smallest structs (doc_id, t). With ``by_id``, texts that share an id are linked."""
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent has to be {LEAST_PERCENT} to 100: T and K would lose links below")
+    small_batches(docs.sparkSession)
     sigs = cut(signatures(docs, n))
-    classes = sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = cut(sigs.join(classes, (sigs.digest == classes.digest) & (sigs.doc_id == classes.rep)).select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id", "n"]))
+    known = sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # one node for each class of equal sets: its text of the smallest (doc_id, t)
+    classes = cut(known.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("at")).withColumn("node", F.monotonically_increasing_id()))
+    own = F.struct("doc_id", "t")
+    reps = known.join(classes, "digest").where(own == F.col("at")).select("node", "doc_id", "t", F.col("n_shingles").alias("n"), "sketch")
+    reps = cut(reps.dropDuplicates(["node"]))  # repeated rows
     lists = cut(rare_values(reps))
 
-    hubs = lists.groupBy("v").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).where("m > 1")
-    first = lists.join(hubs, "v").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    hubs = cut(lists.groupBy("v").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    first = cut(lists.join(hubs, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     links = verified(first, reps, docs, n, percent)
 
     found = components(links)
-    open_ = cut(open_lists(lists.withColumn("room", F.col("n")), found))
-    long = cut(open_.where(F.col("whole") > LONG).select("doc_id").distinct())
+    open_ = open_lists(lists.withColumn("room", F.col("n")), found)
+    long = cut(open_.where(F.col("whole") > LONG).select("node").distinct().join(reps.select("node", "doc_id", "t"), "node"))
     more = open_pairs(open_.where(F.col("whole") <= LONG), percent).unionByName(open_pairs(open_lists(full_prefixes(docs, long, n, percent), found), percent))
-    more = more.distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(more.distinct().join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(more, reps, docs, n, percent))
+    if by_id:
+        shared = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+        nodes = known.join(cut(shared), "doc_id").select("doc_id", "digest").distinct().join(classes, "digest").select(known.doc_id, "node")
+        links = links.unionByName(nodes.join(cut(nodes.groupBy("doc_id").agg(F.min("node").alias("b"))), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
+
+    whole = cut(classes.join(components(links), "node", "left").select("digest", "at", F.coalesce("component", "node").alias("component")))
+    groups = cut(whole.groupBy("component").agg(F.min("at").alias("first")))
+    return sigs, cut(whole.join(groups, "component").select("digest", "at", "first"))
+
 
-    whole = components(links)
-    named = cut(classes.join(whole, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")))
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row: shingles of n words, similarity of percent / 100, from 80 on."""
+    sigs, named = linked_classes(docs, n, percent, by_id=True)
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of one document of each group, the one with the smallest id."""
-    found = cut(near_duplicates(docs, n, percent).select("doc_id", "kept"))
-    rest = by_ids(docs, cut(found.where("NOT kept").select("doc_id").distinct()), "left_anti")
-    twice = cut(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    return by_ids(rest, twice, "left_anti").unionByName(by_ids(rest, twice, "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of one text of each group, that of the smallest id; of rows equal in id and text one stays."""
+    sigs, named = linked_classes(docs, n, percent, by_id=False)
+    own = F.struct("doc_id", "t")
+    judged = sigs.where("doc_id IS NOT NULL").select("doc_id", "t", "digest").join(named.select("digest", "first"), "digest", "left")
+    gone = cut(judged.where(F.col("first").isNotNull() & (own != F.col("first"))).select("doc_id", "t").distinct())
+    twice = cut(sigs.where("doc_id IS NOT NULL").groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t"))
+    keys = ["doc_id", "t"]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    rest = by_ids(held, gone, "left_anti", keys)
+    once = by_ids(rest, twice, "left_anti", keys).select("row.*")
+    return once if twice.isEmpty() else once.unionByName(by_ids(rest, twice, "left_semi", keys).dropDuplicates(keys).select("row.*"))

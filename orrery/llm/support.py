@@ -23,9 +23,17 @@ def _ensure_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most: a worker holds one and what it makes of it, and texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
@@ -62,7 +70,7 @@ def values(column: pa.Array, run: int = 256) -> Iterator:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
     """``rows`` joined with ``ids`` (already materialised): broadcast if their counted number allows it."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
@@ -71,10 +79,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component has its smallest node's id.
 
     Alternates large-star and small-star steps until nothing changes, which takes
-    about log2 of the longest chain. Minima are aggregated before they are joined,
-    so a node with very many neighbours is never gathered anywhere.
+    about log2 of the longest chain. Minima are aggregated, with a partial step, and
+    written before they are joined: so neither a hub's neighbours are gathered nor is
+    the join fused with the aggregate, and Spark can split it at a hub. Steps are
+    written as tables: a checkpoint carries the constraints of its plan along, which
+    multiply from step to step.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def least_of(edges: DataFrame, least: Column) -> DataFrame:
+        return written(edges.groupBy("a").agg(least.alias("m")), "least")
+
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(2**40 - 1))).first()
@@ -82,11 +97,11 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = least_of(both, F.least(F.min("b"), F.first("a")))
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = least_of(large, F.min("b"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        e = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
