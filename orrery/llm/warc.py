@@ -9,9 +9,9 @@ this is built by Spark expressions on binary columns; a record is written as one
 WARC record, so archives go through any file system that Spark writes, gzipped,
 under its commit protocol.
 
-Reading. Archives are read as binary files, bounded in size by the writer, and
+Reading. Archives are read once, as binary files bounded in size by the writer, and
 parsed by the lengths in their headers. Whole records are decoded where they are
-found. Segments are grouped by the record id of their origin, ordered by segment
+found; segments are set aside. Segments are grouped by the record id of their origin, ordered by segment
 number, joined, and checked against the total length that the last one states; then
 the chunked framing is decoded and the SHA-1 digest of the payload is verified.
 Revisits take the length of the payload from the record that they refer to.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.support import cut
+from orrery.llm.support import cut, values, written
 
 #: Bytes of a block beyond which it is segmented, and of a chunk of the transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
@@ -177,34 +177,44 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-RECORD = "record_id string, name string, page_id long, warc_type string, target string, refers_to string, digest string, number int, total long, block binary"
 PAGE = "name string, page_id long, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+SEGMENT = PAGE + ", record_id string, number int, total long, block binary"
+KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _raw(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
-    """The records of the archives that are segments, or that aren't."""
-    import gzip
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], KINDS[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _decoded(name, page_id, kind, refers_to, digest, block: bytes, payloads: bool) -> tuple:
+    """A record as a row of PAGE; the payload is verified."""
+    payload = payload_of(block) if kind == "response" else None
+    own = digest if payload is None else base32_sha1(payload)
+    if digest is not None and own != digest:
+        raise ValueError(f"payload digest {own} isn't {digest}")
+    return name, page_id, kind, refers_to, own, None if payload is None else len(payload), payload if payloads else None
 
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
+
+def _parsed(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """Rows of SEGMENT: whole records, decoded, and segments (with their number), as they stand in the archives."""
+    import gzip
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 data, rows = content.as_py(), []
                 for f, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    if ("warc-segment-number" in f) == segmented:
-                        page, total = f.get("warc-page-id"), f.get("warc-segment-total-length")
-                        rows.append(
-                            (
-                                f.get("warc-segment-origin-id", f["warc-record-id"]), f.get("warc-name"), int(page) if page else None, f["warc-type"], f.get("warc-target-uri"),
-                                f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(f.get("warc-segment-number", 1)), int(total) if total else None, block,
-                            )
-                        )
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    page, total = f.get("warc-page-id"), f.get("warc-segment-total-length")
+                    head = (f.get("warc-name"), int(page) if page else None, f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None)
+                    if "warc-segment-number" in f:
+                        rows.append((*head, None, None, f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), int(total) if total else None, block))
+                    else:
+                        rows.append((*_decoded(*head, block, payloads), None, None, None, None))
+                yield _batch(rows, SEGMENT)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(parse, RECORD)
+    return files.mapInArrow(parse, SEGMENT)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -212,35 +222,24 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     Without ``payloads``, they are decoded and verified just so, and left out of the result.
     """
-    segments = _raw(spark, path, True).groupBy("record_id").agg(
-        *[F.max(c).alias(c) for c in ("name", "page_id", "target", "refers_to", "digest", "total")],
-        F.max(F.when(F.col("number") == 1, F.col("warc_type"))).alias("warc_type"),
+    found = written(_parsed(spark, path, payloads), "records")
+    columns = [f.split()[0] for f in PAGE.split(", ")]
+    segments = found.where("number IS NOT NULL").groupBy("record_id").agg(
+        *[F.max(c).alias(c) for c in ("name", "page_id", "refers_to", "payload_digest", "total")],
+        F.max(F.when(F.col("number") == 1, F.col("record_type"))).alias("record_type"),
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),  # the segments of one record
     )
     joined = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     in_order = F.col("parts.number") == F.sequence(F.lit(1), F.size("parts"))
     whole = segments.withColumn("block", joined)
     whole = whole.withColumn("block", F.when(in_order & (F.octet_length("block") == F.col("total")), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), "record_id"))))
-    columns = ["name", "page_id", "warc_type", "refers_to", "digest", "block"]
+    taken = ["name", "page_id", "record_type", "refers_to", "payload_digest", "block"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, found = [], []
-            for kind, digest, block in zip(*[batch.column(c).to_pylist() for c in ("warc_type", "digest", "block")], strict=True):
-                payload = payload_of(block) if kind == "response" else None
-                own = digest if payload is None else base32_sha1(payload)
-                if digest is not None and own != digest:
-                    raise ValueError(f"payload digest {own} isn't {digest}")
-                bodies.append(payload)
-                found.append(own)
-            sizes = [None if p is None else len(p) for p in bodies]
-            bodies = bodies if payloads else [None] * len(bodies)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), batch.column("page_id"), batch.column("warc_type"), batch.column("refers_to"), pa.array(found, pa.string()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())],
-                ["name", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"],
-            )
-
-    return _raw(spark, path, False).select(columns).unionByName(whole.select(columns)).mapInArrow(decode, PAGE)
+            yield _batch([_decoded(*row, payloads) for row in zip(*[values(batch.column(c)) for c in taken], strict=True)], PAGE)
+
+    return found.where("number IS NULL").select(columns).unionByName(whole.select(taken).mapInArrow(decode, PAGE))
 
 
 def page_report(spark: SparkSession, path: str) -> DataFrame:
