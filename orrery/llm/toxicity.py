@@ -8,19 +8,23 @@ high grades: of the labelled rows Spark counts, for every feature, the texts tha
 have it, and those with the most significant excess (log-likelihood ratio) among
 texts of grade 1 and more are kept.
 
-The labels are binary. The ordered grades of the query are 0 (not toxic), 1
-(toxic) and 2 (toxic, with SEVERE or more different words that show a feature).
+Grades are what the label column says, if it has more values than 0 and 1: 0 is clean,
+and each value above it a threshold more. Binary labels tell toxic from clean only;
+then the grade of a toxic text comes from its labelled words: 1, or 2 with SEVERE or
+more different words that show a feature. So the second threshold says how dense the
+marks are, not what a person graded; ``grades_from`` in the report says which it was.
 
 ``MAX_LABELLED`` bounds the labelled rows the model is fitted on (a seeded sample
-by a hash of the id, texts whole) and ``MAX_WORDS`` the vocabulary; only the sparse
-rows of that sample reach the driver, which fits some hundred weights by gradient
-steps. Scoring covers all rows, in Arrow batches.
+by a hash of the id, texts whole); only the sparse rows of that sample, and those
+features of it that are significant, reach the driver, which fits their weights by
+gradient steps. Scoring covers all rows, in Arrow batches.
 
 Defined cases: a null or wordless text has severity 0 and is not rejected; null
-labels are ignored and of repeated labels the highest counts; without two grades
-nothing is rejected; repeated rows get equal results; an empty table gives an
-empty result; only doc_id and text are read of the documents, so other columns
-can't clash.
+labels and labels without an id are ignored, and of repeated labels the highest
+counts; labels below 0 count as 0; without two grades nothing is rejected; a row
+without an id is scored like others; repeated rows get equal results; a very long
+text is scored as a whole; an empty table gives an empty result; only doc_id and text
+are read of the documents, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -34,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import by_ids, cut, values
+from orrery.llm.support import by_ids, cut, small_batches, values
 
-MAX_LABELLED, MAX_WORDS = 20_000, 512
+MAX_LABELLED = 20_000
 #: A word counts if the chance of so large an excess is below about 1 in 10^7 and so many texts have it.
 LEAST_RATIO, LEAST_TEXTS = 28.0, 5
 SEVERE = 3
@@ -73,7 +77,7 @@ def vocabulary(rows: DataFrame) -> list[str]:
     a, c = F.col("a"), F.col("c")
     ratio = 2 * (part(a, c * m / n) + part(c - a, c * (n - m) / n) + part(m - a, (n - c) * m / n) + part(n - m - c + a, (n - c) * (n - m) / n))
     marked = each.where((c >= LEAST_TEXTS) & (a * n > c * m)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    return [r["word"] for r in marked.orderBy(F.desc("ratio"), "word").limit(MAX_WORDS).collect()]
+    return [r["word"] for r in marked.orderBy(F.desc("ratio"), "word").collect()]  # features of a bounded sample
 
 
 class Marks:
@@ -97,8 +101,8 @@ class Marks:
 class OrdinalModel:
     """Weights of the words and the ordered thresholds."""
 
-    def __init__(self, words: list[str], weights: np.ndarray, thresholds: np.ndarray):
-        self.words, self.weights, self.thresholds = words, weights, thresholds
+    def __init__(self, words: list[str], weights: np.ndarray, thresholds: np.ndarray, grades_from: str = "labels"):
+        self.words, self.weights, self.thresholds, self.grades_from = words, weights, thresholds, grades_from
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and k."""
@@ -131,12 +135,13 @@ def fit(texts: list[list[int]], grades: list[int], words: list[str], ridge: floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> OrdinalModel | None:
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("label"))
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
     labelled = by_ids(docs.select("doc_id", "text"), cut(known), "inner")
-    rows = cut(labelled.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("label").cast("int")).alias("grade")))  # a copy shows nothing new
+    rows = cut(labelled.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.greatest(F.max(F.col("label").cast("int")), F.lit(0)).alias("grade")))  # a copy shows nothing new
     words = vocabulary(rows)
     if not words:
         return None
@@ -150,8 +155,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labe
             )
 
     sparse = rows.mapInArrow(marked, "doc_id long, grade int, marks array<int>, shown int").orderBy("doc_id").collect()  # at most max_labelled short rows
-    grades = [int(r["grade"] > 0) + int(r["grade"] > 0 and r["shown"] >= SEVERE) for r in sparse]
-    return fit([r["marks"] for r in sparse], grades, words)
+    graded = max(r["grade"] for r in sparse) > 1
+    grades = [r["grade"] if graded else int(r["grade"] > 0) + int(r["grade"] > 0 and r["shown"] >= SEVERE) for r in sparse]
+    model = fit([r["marks"] for r in sparse], grades, words)
+    model.grades_from = "labels" if graded else "labels and marked words"
+    return model
 
 
 def judged(texts: pa.Array, ordinal: OrdinalModel | None, marks: Marks) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -188,7 +196,8 @@ def severities(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return severities(docs, learn(docs, labels))
+    model = learn(docs, labels)
+    return severities(docs, model).withColumn("grades_from", F.lit(model.grades_from if model else "labels"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -93,6 +94,47 @@ def test_language_is_learned_without_held_out(spark):
     assert langid.language_report(docs.limit(0)).count() == 0
 
 
+def test_counts_probabilities_and_posterior_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEP", 64)
+    monkeypatch.setattr(langid, "BLOCK", 40)  # texts are cut into parts, and parts of several texts are looked at together
+    texts = [("aa", "Ein  Haus"), ("aa", "zu Hause! " * 12), ("bb", "une maison, é"), ("bb", ""), ("cc", "\U00010400\U00010428 \U0001f600 x")]
+    docs = spark.createDataFrame([(i, t, lang, "s") for i, (lang, t) in enumerate(texts)], DOC)
+
+    def grams(text):
+        low = re.sub(r" +", " ", "".join(chr(langid.fold(ord(c))) for c in text))
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                h = 0
+                for c in low[i : i + n]:
+                    h = (h + ord(c) + 1) * 2654435761 % 2**32
+                    h ^= h >> 15
+                yield h % langid.BUCKETS
+
+    seen = {}
+    for lang, t in texts:
+        seen.setdefault(lang, Counter()).update(grams(t))
+    found = {(r.lang, r.cell): r.n for r in langid.counts(docs).collect()}
+    assert found == {(lang, c): n for lang, cells in seen.items() for c, n in cells.items()}
+    names, matrix = langid.learn(docs)
+    assert names == ["aa", "bb", "cc"]
+    log = [[math.log((seen[lang][c] + 0.5) / (sum(seen[lang].values()) + 0.5 * langid.BUCKETS)) for c in range(langid.BUCKETS)] for lang in names]
+    assert abs(matrix.T - log).max() < 1e-5
+    for r in langid.predict(docs, names, matrix).collect():
+        sums = [sum(n * log[k][c] for c, n in Counter(grams(texts[r.doc_id][1])).items()) for k in range(3)]
+        if not any(c.isalpha() for c in texts[r.doc_id][1]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == names[sums.index(max(sums))] and r.score == pytest.approx(1 / sum(math.exp(s - max(sums)) for s in sums), rel=1e-2)
+
+
+def test_dirty_labels_and_equal_scores(spark):
+    rows = [(i, "lorem ipsum dolor", f"junk{i}", "s") for i in range(40)] + [(100 + i, "lorem ipsum dolor", ("bb", "aa")[i % 2], "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOC)
+    names, matrix = langid.learn(docs, max_languages=2)
+    assert names == ["aa", "bb"]
+    assert {r.lang_pred for r in langid.predict(docs, names, matrix).collect()} == {"aa"}
+
+
 # Toxicity
 
 
@@ -124,6 +166,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.without_toxic(docs, known).columns == docs.columns
 
 
+def test_graded_labels_and_the_loss(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(400):
+        grade = i % 4
+        marks = ["mild"] * (grade > 0) + ["harsh"] * (grade > 1) + ["vile"] * (grade > 2)
+        rows.append((i, " ".join(prose(rng, 20).split() + marks), "en", "s"))
+        labels.append((i, grade))
+    labels += [(0, -1), (5, None), (None, 3), (4, 0), (4, 0)]
+    docs = spark.createDataFrame(rows + [rows[3], (None, rows[3][1], "en", "s")], DOC)
+    out = toxicity.toxicity_report(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(out) == 402 and {r.grades_from for r in out} == {"labels"}
+    assert all(r.grade == (3 if r.doc_id is None else r.doc_id % 4) for r in out)
+    by = [[r.severity for r in out if r.grade == g] for g in range(4)]
+    assert all(max(a) < min(b) for a, b in zip(by, by[1:], strict=False))
+
+    # the fit is a minimum of the cumulative-link loss: no small step makes it smaller
+    np = toxicity.np
+    texts = [[k for k in range(3) if rng.random() < 0.5] for _ in range(60)]
+    grades = [min(2, max(0, len(t) - 1 + (rng.random() < 0.3))) for t in texts]
+    model = toxicity.fit(texts, grades, ["a", "b", "c"], ridge=1e-3)
+
+    def loss(params):
+        total = 1e-3 / 2 * sum(w * w for w in params[:3])
+        for t, g in zip(texts, grades, strict=True):
+            for k in range(2):
+                p = 1 / (1 + math.exp(params[3 + k] - sum(params[i] for i in t)))
+                total -= math.log(p if g > k else 1 - p) / len(texts)
+        return total
+
+    best = np.concatenate([model.weights, model.thresholds])
+    assert list(model.thresholds) == sorted(model.thresholds)
+    assert all(loss(best + d * np.eye(5)[k]) >= loss(best) - 1e-9 for k in range(5) for d in (-0.01, 0.01))
+
+
 # Near-duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -195,6 +272,15 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id(spark):
+    a, b, c = "the first text has these words", "an other text of quite other words", "something else again in a third"
+    docs = frame(spark, [(3, a), (5, a), (5, b), (9, b), (7, c), (7, a + " x"), (7, None)])
+    out = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 1).collect())
+    assert out == {(3, 3): 1, (5, 3): 2, (9, 3): 1, (7, 3): 2, (7, 7): 1}
+    kept = sorted((r.doc_id, r.text or "") for r in minhash.deduplicated(docs, 1).collect())
+    assert kept == [(3, a), (5, b), (7, ""), (7, c)]
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -235,8 +321,8 @@ def test_contaminations_against_dynamic_programming(spark):
         for k, item in items:
             a, b = decontam.folded(item), decontam.folded(text)
             if a and i != 73:
-                d = edit_distance_within(a, b)
-                if d <= int(decontam.BUDGET * len(a)):
+                d = edit_distance_within(f" {a} ", f" {b} ")
+                if d <= int(decontam.BUDGET * len(a)) and (len(a) >= decontam.SHORT or a == b):
                     expected[i, k] = d
     assert {k: v for k, v in out.items() if k[0] != 73} == expected
     assert out[73, 0] == 0
@@ -247,6 +333,15 @@ def test_contaminations_against_dynamic_programming(spark):
     assert decontam.contaminations(docs, none).count() == 0 and decontam.contaminations(docs.limit(0), none).count() == 0
 
 
+def test_short_items_and_word_edges(spark):
+    items = spark.createDataFrame([(1, "no"), (2, "a b"), (3, "seventeen letters"), (4, "whole words of a longer item")], "item_id long, text string")
+    texts = ["I know it", "alpha beta", "NO!", "it says seventeen letters here", "Seventeen letters.", "x whole words of a longer item y", "unwhole words of a longer items", "nothing"]
+    docs = frame(spark, list(enumerate(texts)) + [(2, "no"), (None, "a, b")])
+    out = Counter((r.doc_id, r.item_id, r.distance) for r in decontam.contaminations(docs, items).collect())
+    assert out == {(2, 1, 0): 2, (None, 2, 0): 1, (4, 3, 0): 1, (5, 4, 0): 1}
+    assert sorted(r.text for r in decontam.decontaminated(docs, items).collect()) == sorted(texts[i] for i in (0, 1, 3, 6, 7))
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, f"benchmark item number {k} with some words") for k in range(30)], "item_id long, text string")
     docs = frame(spark, [(i, f"xx benchmark item number {i} with some words yy") for i in range(40)])
@@ -302,6 +397,25 @@ def test_removals_against_all_substrings(spark, keep_first, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_removals(texts, 40, keep_first)
 
 
+def test_factors_against_all_pairs():
+    rng = random.Random(9)
+    for length, alphabet in ((5, b"ab"), (8, b"abc"), (20, b"a"), (16, b"abcdefgh")):
+        contexts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(length, 3 * length))) for _ in range(12)]
+        contexts[5] = contexts[2]
+        owner, start, position, common = substrings.suffix_order(contexts, length)
+        strings = [contexts[o][s : s + length] for o, s in zip(owner, start, strict=True)]
+        assert strings == sorted(strings) and len(strings) == sum(len(c) - length + 1 for c in contexts)
+
+        def match(a, b, length=length):
+            return next((i for i in range(length) if a[i] != b[i]), length)
+
+        assert list(common[1:]) == [match(a, b) for a, b in zip(strings, strings[1:], strict=False)]
+        for sign in (1, -1):
+            expected = [max((match(x, y) for y, q in zip(strings, position, strict=True) if sign * q < sign * p), default=0) for x, p in zip(strings, position, strict=True)]
+            places = position if sign > 0 else position.max() - position
+            assert list(substrings.longest_factors(places, common)) == expected
+
+
 def test_long_texts_are_cut_into_stretches(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 600)
     texts = [(i, t) for i, t in substring_texts()] + [(200, prose(random.Random(6), 700))]
@@ -313,5 +427,7 @@ def test_removals_of_nothing_and_repeated_rows(spark):
     text = prose(random.Random(7), 60)
     docs = frame(spark, [(1, text), (1, text), (None, text)])
     out = sorted((str(r.doc_id), r.n_removed) for r in substrings.removal_report(docs).collect())
-    assert out == [("1", len(text)), ("1", len(text)), ("None", 0)]
+    assert out == [("1", len(text)), ("1", len(text)), ("None", len(text))]
+    alone = frame(spark, [(1, "other"), (None, text), (2, text[20:]), (None, None)])
+    assert sorted((str(r.doc_id), r.n_removed) for r in substrings.removal_report(alone).collect()) == [("1", 0), ("2", len(text) - 20), ("None", 0), ("None", len(text) - 20)]
     assert substrings.removal_report(docs.limit(0)).count() == 0
