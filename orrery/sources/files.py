@@ -6,6 +6,10 @@ apart by extension. Text and line formats are cut by Spark expressions; formats
 that need a grammar (Markdown headings, CSV quoting, JSON, Python symbols) pass
 through small parsers in Arrow batches. A table too large for one file's row is
 read with :func:`csv_rows` instead, which Spark splits.
+
+A folder may hold anything. Bytes that aren't UTF-8 are replaced; a file that can't be
+parsed (too large, of an unknown kind, of a kind without a parser here, malformed) gives
+no chunks and one row of :func:`rejected_files`, and stops no other.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ import csv
 import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,21 +33,26 @@ from orrery.operators.chunking import FALLBACK_LINES, MAX_TOKENS, OVERLAP, ROWS_
 MAX_FILE_BYTES = 50 * 2**20
 #: The parser of each extension.
 PARSERS = {".txt": "txt", ".md": "markdown", ".markdown": "markdown", ".csv": "csv", ".json": "json", ".pdf": "pdf", ".docx": "docling", ".pptx": "docling"} | dict.fromkeys(EXTENSION_LANGUAGE, "code")
-SECTION = "array<struct<text:string,heading_path:string,heading_level:int,symbol_name:string,symbol_type:string,start_line:int,end_line:int,row_range:string,total_rows:int,columns:array<string>,json_shape:string,depth:int,key_count:int>>"
+SECTION = "array<struct<text:string,heading_path:string,heading_level:int,symbol_name:string,symbol_type:string,start_line:int,end_line:int,row_range:string,total_rows:int,columns:array<string>,json_shape:string,depth:int,key_count:int,page_number:int,total_pages:int>>"
 FIELDS = re.findall(r"(\w+):(array<string>|\w+)", SECTION.removeprefix("array<struct<"))
 
 
+#: A parser from the bytes of a file to dicts with a text and, if known, page_number and the like.
+Parser = Callable[[bytes], Iterable[dict]]
+
+
 def parser_of(path: Column) -> Column:
-    """The parser's name; an unknown extension is an error."""
+    """The parser's name; null for an unknown extension."""
     known = F.create_map(*[F.lit(x) for pair in PARSERS.items() for x in pair])
-    ext = extension(path)
-    return F.coalesce(F.element_at(known, ext), F.raise_error(F.concat(F.lit("no parser for "), ext)).cast("string"))
+    return F.element_at(known, extension(path))
 
 
 def files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, filename, file_size, modified, content) of the files up to a size."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
+    """(path, filename, file_size, modified, content) of all files; larger ones aren't read, their content is null."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    columns = ["path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified")]
+    small = found.where(F.col("length") <= max_bytes).select(*columns, "content")
+    return small.unionByName(found.where(F.col("length") > max_bytes).select(*columns, F.lit(None).cast("binary").alias("content")))
 
 
 def with_document_id(found: DataFrame) -> DataFrame:
@@ -129,38 +139,85 @@ def _python(text: str) -> Iterator[dict]:
         return
 
 
-def _sections(found: DataFrame, parse, *args) -> DataFrame:
-    """``found`` with ``sections``, by a parser from text to dicts."""
+def _sections(found: DataFrame, parse: Callable[..., Iterable[dict]], *args, raw: bool = False) -> DataFrame:
+    """``found`` with ``sections`` and ``error``, by a parser from text (or bytes, if ``raw``) to dicts."""
     kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
     struct = pa.struct([(name, kinds[kind]) for name, kind in FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for content in batch.column("content").to_pylist():
-                text = (content or b"").decode("utf-8", "replace")
-                out.append([{name: s.get(name) for name, _ in FIELDS} for s in parse(text, *args)])
-            yield batch.drop_columns(["content"]).append_column("sections", pa.array(out, pa.list_(struct)))
+            out, errors = [], []
+            for content in batch.column("content"):
+                data, error = content.as_py() or b"", None
+                try:
+                    own = [{name: s.get(name) for name, _ in FIELDS} for s in parse(data if raw else data.decode("utf-8", "replace"), *args)]
+                except Exception as e:  # whatever a parser raises concerns this file alone
+                    own, error = [], f"{type(e).__name__}: {e}"[:500]
+                out.append(own)
+                errors.append(error)
+            yield batch.drop_columns(["content"]).append_column("sections", pa.array(out, pa.list_(struct))).append_column("error", pa.array(errors, pa.string()))
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "content")
-    return found.mapInArrow(run, f"{columns}, sections {SECTION}")
+    return found.mapInArrow(run, f"{columns}, sections {SECTION}, error string")
 
 
 META = [name for name, _ in FIELDS if name != "text"]
 
 
-def parse_files(found: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, rows_per_chunk: int = ROWS_PER_CHUNK, fallback_lines: int = FALLBACK_LINES) -> DataFrame:
+def _shown(parsers: Mapping[str, Parser]) -> Callable[[str], Parser]:
+    def of(name: str) -> Parser:
+        return lambda data: (s for s in parsers[name](data) if s["text"].strip())
+
+    return of
+
+
+def _parsed(found: DataFrame, rows_per_chunk: int, parsers: Mapping[str, Parser]) -> dict[str, DataFrame]:
+    """Files of each parser that needs a grammar, with sections and error."""
+    base = found.where("content IS NOT NULL").select("document_id", "path", "filename", "content").withColumn("parser", parser_of(F.col("path")))
+
+    def of(name: str) -> DataFrame:
+        return base.where(F.col("parser") == name)
+
+    out = {"markdown": _sections(of("markdown"), _markdown), "csv": _sections(of("csv"), _csv, rows_per_chunk), "json": _sections(of("json"), _json, rows_per_chunk)}
+    shown = _shown(parsers)
+    return out | {name: _sections(of(name), shown(name), raw=True) for name in sorted(parsers)}
+
+
+def rejected_files(found: DataFrame, parsers: Mapping[str, Parser] | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """(document_id, path, filename, reason) of the files that :func:`parse_files` gives no chunks for, though they may have some."""
+    parsers = parsers or {}
+    own = [n for n in ("pdf", "docling") if n not in parsers]
+    name, ext = parser_of(F.col("path")), extension(F.col("path"))
+    reason = (
+        F.when(name.isNull(), F.concat(F.lit("no parser for "), F.when(ext == "", "a name without extension").otherwise(ext)))
+        .when(F.col("content").isNull(), F.lit("too large"))
+        .when(name.isin(own), F.concat(F.lit("needs a parser of its own: "), name))
+    )
+    keys = ["document_id", "path", "filename"]
+    out = found.select(*keys, reason.alias("reason")).where("reason IS NOT NULL")
+    for rows in _parsed(found, rows_per_chunk, parsers).values():
+        out = out.unionByName(rows.where("error IS NOT NULL").select(*keys, F.concat(F.lit("malformed: "), "error").alias("reason")))
+    return out
+
+
+def parse_files(
+    found: DataFrame,
+    max_tokens: int = MAX_TOKENS,
+    overlap: int = OVERLAP,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    fallback_lines: int = FALLBACK_LINES,
+    parsers: Mapping[str, Parser] | None = None,
+) -> DataFrame:
     """Chunks of files (document_id, path, filename, content): chunk_id, document_id, filename, parser, chunk_index, language, text, and what the parser knows.
 
-    PDF and office files need a parser of their own; pass them through
-    :func:`with_parser` with a function from bytes to dicts.
+    PDF ("pdf") and office files ("docling") need parsers of their own, in ``parsers``;
+    one for a name of PARSERS that has a parser here replaces it.
     """
-    base = found.select("document_id", "path", "filename", "content").withColumn("parser", parser_of(F.col("path")))
+    parsers = parsers or {}
+    base = found.where("content IS NOT NULL").select("document_id", "path", "filename", "content").withColumn("parser", parser_of(F.col("path")))
     keys = ["document_id", "path", "filename", "parser"]
     empty = F.from_json(F.lit(None).cast("string"), SECTION.removeprefix("array<")[:-1])
-
-    texts = base.where("parser = 'txt'").withColumn("text", F.decode("content", "UTF-8"))
-    txt = packed_paragraphs(texts.select(*keys, "text"), size=max_tokens, overlap=overlap).select(*keys, F.col("chunk_index").alias("order"), F.col("chunk").alias("text"), empty.alias("meta"))
+    decoded = F.make_valid_utf8(F.col("content").cast("string"))
 
     def pieces(rows: DataFrame) -> DataFrame:
         """Sections, the long ones cut into windows of words."""
@@ -171,18 +228,20 @@ def parse_files(found: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = O
     def whole(rows: DataFrame) -> DataFrame:
         return rows.select(*keys, F.posexplode("sections").alias("order", "meta")).select(*keys, "order", F.col("meta.text").alias("text"), "meta")
 
-    def of(name: str) -> DataFrame:
-        return base.where(F.col("parser") == name)
-
-    code = of("code")
-    python = whole(_sections(code.where(extension(F.col("path")) == ".py"), _python))
-    plain = code.join(python.select("document_id").distinct(), "document_id", "left_anti").withColumn("text", F.decode("content", "UTF-8"))
-    lines = line_windows(plain.select(*keys, "text"), lines=fallback_lines).select(*keys, F.col("chunk_index").alias("order"), F.col("chunk").alias("text"), empty.alias("meta"))
-    parts = [txt, pieces(_sections(of("markdown"), _markdown)), whole(_sections(of("csv"), _csv, rows_per_chunk)), pieces(_sections(of("json"), _json, rows_per_chunk)), python, lines]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("order")) - 1
+    parts = []
+    if "txt" not in parsers:
+        texts = base.where("parser = 'txt'").withColumn("text", decoded)
+        parts.append(packed_paragraphs(texts.select(*keys, "text"), size=max_tokens, overlap=overlap).select(*keys, F.col("chunk_index").alias("order"), F.col("chunk").alias("text"), empty.alias("meta")))
+    if "code" not in parsers:
+        code = base.where("parser = 'code'")
+        python = whole(_sections(code.where(extension(F.col("path")) == ".py"), _python))
+        plain = code.join(python.select("document_id").distinct(), "document_id", "left_anti").withColumn("text", decoded)
+        lines = line_windows(plain.select(*keys, "text"), lines=fallback_lines)
+        parts += [python, lines.select(*keys, F.col("chunk_index").alias("order"), F.col("chunk").alias("text"), empty.alias("meta"))]
+    for name, rows in _parsed(found, rows_per_chunk, parsers).items():
+        parts.append(whole(rows) if name == "csv" else pieces(rows))
+    out = reduce(DataFrame.unionByName, parts)
+    index = F.row_number().over(Window.partitionBy("document_id").orderBy("order")) - 1  # the chunks of one file
     numbered = out.withColumn("chunk_index", index).withColumn("language", F.when(F.col("parser") == "code", language_of(F.col("path"))))
     return numbered.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "path", "filename", "parser", "chunk_index", "language", F.char_length("text").alias("char_count"), "text", *[F.col(f"meta.{m}").alias(m) for m in META]

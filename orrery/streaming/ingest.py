@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from orrery.sources import files as source
 from orrery.sources import snapshots
 
 STALE_SECONDS = 1800 + 60
+RETRIES, BACKOFF_SECONDS = 3, 1.0
 
 
 def runnable(jobs: DataFrame, now: Column, limit: int = STALE_SECONDS) -> DataFrame:
@@ -27,27 +30,70 @@ def phases(job: Column) -> Column:
     return F.transform(F.array(*[F.lit(p) for p in ("parsing", "embedding", "storing", "done")]), lambda p: F.struct(job.alias("document_id"), p.alias("phase")))
 
 
-def ingest(spark: SparkSession, new: DataFrame, chunks_root: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+def ingest(
+    spark: SparkSession,
+    new: DataFrame,
+    chunks_root: str,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    *,
+    parsers: Mapping[str, source.Parser] | None = None,
+    rejected_root: str | None = None,
+    progress_root: str | None = None,
+) -> int:
     """Parses files and commits the chunk table with them in place of earlier chunks of their documents.
 
-    Vectors and corpus both come from this one snapshot, so they can't differ.
+    Vectors and corpus both come from this one snapshot, so they can't differ. Files
+    are parsed once, into a table beside the snapshots. Rejected files are appended to
+    ``rejected_root``, and the phases that each document went through to ``progress_root``.
     """
-    chunks = source.parse_files(source.with_document_id(new))
-    chunks = embed(chunks) if embed else chunks
+    new = source.with_document_id(new)
+    staged = f"{chunks_root}/staged-{uuid.uuid4().hex}"
+    chunks = source.parse_files(new, parsers=parsers)
+    (embed(chunks) if embed else chunks).write.parquet(staged)
+    chunks = spark.read.parquet(staged)
+    done = chunks.select("document_id").distinct()
     if snapshots.versions(spark, chunks_root):
-        old = snapshots.current(spark, chunks_root).join(chunks.select("document_id").distinct(), "document_id", "left_anti")
+        old = snapshots.current(spark, chunks_root).join(done, "document_id", "left_anti")
         chunks = upsert(old, chunks, "chunk_id")
-    return snapshots.commit(chunks, chunks_root)
-
-
-def ingest_stream(spark: SparkSession, inbox: str, chunks_root: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
-    """A stream over a folder; the checkpoint remembers which files are done, and a batch that fails runs again."""
+    version = snapshots.commit(chunks, chunks_root)
+    if rejected_root:
+        source.rejected_files(new, parsers).write.mode("append").parquet(rejected_root)
+    if progress_root:
+        done.select(F.explode(phases(F.col("document_id"))).alias("p")).select("p.*", F.lit(version).alias("version")).write.mode("append").parquet(progress_root)
+    return version
+
+
+def retried(work: Callable[[], object], retries: int = RETRIES, backoff: float = BACKOFF_SECONDS) -> object:
+    """The result of ``work``, tried again after a failure, up to ``retries`` times, with a pause that doubles."""
+    for attempt in range(retries + 1):
+        try:
+            return work()
+        except Exception:
+            if attempt == retries:
+                raise
+            time.sleep(backoff * 2**attempt)
+
+
+def ingest_stream(
+    spark: SparkSession,
+    inbox: str,
+    chunks_root: str,
+    checkpoint: str,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    *,
+    retries: int = RETRIES,
+    backoff: float = BACKOFF_SECONDS,
+    **options,
+) -> DataStreamWriter:
+    """A stream over a folder; the checkpoint remembers which files are done. A batch that fails is tried
+    again here, and after that when the stream starts again. Further options are those of :func:`ingest`."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     arriving = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(inbox)
-    shaped = arriving.where(F.col("length") <= source.MAX_FILE_BYTES).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    content = F.when(F.col("length") <= source.MAX_FILE_BYTES, F.col("content")).alias("content")
+    shaped = arriving.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), content)
 
     def batch(rows: DataFrame, _: int) -> None:
         if not rows.isEmpty():
-            ingest(spark, rows, chunks_root, embed)
+            retried(lambda: ingest(spark, rows, chunks_root, embed, **options), retries, backoff)
 
     return shaped.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -121,15 +121,68 @@ def test_files_become_chunks(spark, folder):
     assert [(r.symbol_name, r.symbol_type, r.start_line, r.end_line) for r in by["f.py"]] == [("greet", "function", 1, 2), ("Greeter", "class", 4, 6), ("hello", "function", 5, 6)]
     assert len(by["g.go"]) == 2 and {r.language for r in by["g.go"]} == {"go"} and by["h.py"][0].text == "x = 1"
     assert all(r.chunk_id == hashlib.sha256(f"{r.document_id}:{r.chunk_index}".encode()).hexdigest() for rows in by.values() for r in rows)
-    unknown = spark.createDataFrame([("x.zip",)], "path string").select(files.parser_of(F.col("path")))
-    with pytest.raises(Exception, match="no parser"):
-        unknown.collect()
+    assert files.rejected_files(found).count() == 0
     rows = files.csv_rows(spark, str(folder / "c.csv")).collect()
     assert [r.text for r in rows] == ["name=Alice; age=30", "name=Bob, jr; age="]
     pages = files.with_parser(found.where("filename = 'a.txt'"), lambda data: [{"text": "p1"}, {"text": " "}, {"text": "p2"}])
     assert [(r.chunk_index, r.text) for r in pages.orderBy("chunk_index").collect()] == [(0, "p1"), (1, "p2")]
 
 
+def test_a_dirty_folder_stops_nothing(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("caf\u00e9 au lait".encode("latin-1"))
+    (tmp_path / "b.json").write_text("[{")
+    (tmp_path / "c.json").write_text(json.dumps([{"i": i} for i in range(30_000)]))
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4 page one\fpage two")
+    (tmp_path / "e.docx").write_bytes(b"PK")
+    (tmp_path / "f.zip").write_bytes(b"PK")
+    (tmp_path / "noext").write_bytes(b"x")
+    (tmp_path / "g.txt").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "h.go").write_bytes(b"// \xff\nok")
+    found = files.with_document_id(files.files(spark, str(tmp_path), max_bytes=2_000_000))
+    rejects = {r.filename: r.reason for r in files.rejected_files(found).collect()}
+    assert set(rejects) == {"b.json", "d.pdf", "e.docx", "f.zip", "noext", "g.txt"}
+    assert rejects["f.zip"] == "no parser for .zip" and rejects["g.txt"] == "too large" and rejects["d.pdf"] == "needs a parser of its own: pdf" and rejects["b.json"].startswith("malformed")
+    chunks = files.parse_files(found).select("filename", "chunk_index", "text").collect()
+    assert {r.filename for r in chunks} == {"a.txt", "c.json", "h.go"}
+    assert [r.text for r in chunks if r.filename == "a.txt"] == ["caf\ufffd au lait"]
+    rows = sorted((r.chunk_index, r.text) for r in chunks if r.filename == "c.json")
+    assert len(rows) == 3000 and rows[2999] == (2999, "\n".join(f"i={i}" for i in range(29_990, 30_000)))
+
+    def pages(data):
+        if not data.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        texts = data.decode().split("\f")
+        return [{"text": t, "page_number": i + 1, "total_pages": len(texts)} for i, t in enumerate(texts)]
+
+    parsers = {"pdf": pages, "docling": pages}
+    got = files.parse_files(found, parsers=parsers).where("parser = 'pdf'").orderBy("chunk_index").collect()
+    assert [(r.text, r.page_number, r.total_pages) for r in got] == [("%PDF-1.4 page one", 1, 2), ("page two", 2, 2)]
+    assert {r.filename: r.reason for r in files.rejected_files(found, parsers).collect()}["e.docx"] == "malformed: ValueError: no PDF"
+
+
+def test_ingest_reports_and_retries(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("one text")
+    (inbox / "b.json").write_text("{")
+    out = {k: str(tmp_path / k) for k in ("chunks", "rejected", "progress", "check")}
+    tries = []
+
+    def embed(chunks):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("the model isn't there yet")
+        return chunks
+
+    stream = ingest.ingest_stream(spark, str(inbox), out["chunks"], out["check"], embed, backoff=0.01, rejected_root=out["rejected"], progress_root=out["progress"])
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert len(tries) == 3 and snapshots.current(spark, out["chunks"]).count() == 1
+    assert [r.filename for r in spark.read.parquet(out["rejected"]).collect()] == ["b.json"]
+    assert sorted(r.phase for r in spark.read.parquet(out["progress"]).collect()) == ["done", "embedding", "parsing", "storing"]
+    with pytest.raises(OSError):
+        ingest.retried(lambda: embed(tries.clear()), retries=1, backoff=0.01)
+
+
 def test_snapshots_and_corpus(spark, tmp_path):
     root = str(tmp_path / "table")
     assert snapshots.versions(spark, root) == []
