@@ -50,6 +50,11 @@ def check_request(top_k: int = DEFAULT_TOP_K, alpha: float = DEFAULT_ALPHA, coll
         raise ValueError("at least one collection is needed")
 
 
+def clamped_top_k(top_k: int, most: int = MAX_TOP_K) -> int:
+    """For callers that aren't refused: the nearest number of results that is allowed."""
+    return max(1, min(top_k, most))
+
+
 def pool_size(top_k: int, fan_out: int = DEFAULT_FAN_OUT) -> int:
     return top_k * min(max(fan_out, 1), MAX_FAN_OUT)
 
@@ -169,16 +174,31 @@ def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return each.groupBy(*keys).agg(F.count("*").alias("tf"))
 
 
-def document_frequencies(corpus: DataFrame) -> DataFrame:
-    """(collection_id, term, df), counted in one aggregation with a partial step."""
-    distinct = corpus.select("collection_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return distinct.groupBy("collection_id", "term").agg(F.count("*").alias("df"))
+def corpus_statistics(corpus: DataFrame) -> DataFrame:
+    """(collection_id, term, df, words): the chunks that have a term; the row of no term counts all chunks and their words.
+
+    One pass over the texts and one aggregation with a partial step. A corpus that doesn't
+    change may keep it as a snapshot of its version, and give it to :func:`search`.
+    """
+    words = corpus.select("collection_id", tokens(F.col("text")).alias("w"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("long").alias("words")))
+    each = F.concat(whole, F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("words"))))
+    return words.select("collection_id", F.explode(each).alias("x")).groupBy("collection_id", "x.term").agg(F.count("*").alias("df"), F.sum("x.words").alias("words"))
+
 
+def document_frequencies(statistics: DataFrame) -> DataFrame:
+    """(collection_id, term, df) of :func:`corpus_statistics`."""
+    return statistics.where("term IS NOT NULL").select("collection_id", "term", "df")
 
-def corpus_sizes(corpus: DataFrame) -> DataFrame:
-    """(collection_id, n, avgdl); chunks without words count in both."""
-    length = F.size(tokens(F.col("text")))
-    return corpus.groupBy("collection_id").agg(F.count("*").alias("n"), (F.sum(length) / F.count("*")).alias("avgdl"))
+
+def corpus_sizes(statistics: DataFrame) -> DataFrame:
+    """(collection_id, n, avgdl) of :func:`corpus_statistics`; chunks without words count in both.
+
+    It is grouped, not filtered, so that it reads the same shuffled table as the frequencies do.
+    """
+    of_all = F.col("term").isNull()
+    sums = statistics.groupBy("collection_id").agg(F.max(F.when(of_all, F.col("df"))).alias("n"), F.max(F.when(of_all, F.col("words"))).alias("words"))
+    return sums.select("collection_id", "n", (F.col("words") / F.col("n")).alias("avgdl"))
 
 
 def inverse_frequencies(counted: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -204,10 +224,11 @@ def _share() -> Column:
 
 def bm25(corpus: DataFrame, query: DataFrame) -> DataFrame:
     """(query_id, collection_id, chunk_id, bm25) of every chunk of the corpus, for every query; no hit is 0.0."""
-    terms, sizes = query_terms(query), corpus_sizes(corpus)
+    terms, statistics = query_terms(query), corpus_statistics(corpus)
+    sizes = corpus_sizes(statistics)
     few = "query_id" not in query.columns
     asked = terms.select("term").distinct()
-    weights = inverse_frequencies(document_frequencies(corpus), sizes).join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    weights = inverse_frequencies(document_frequencies(statistics), sizes).join(F.broadcast(asked) if few else asked, "term", "left_semi")
     hits = postings(corpus, terms).join(weights, ["collection_id", "term"]).join(sizes, "collection_id")
     keys = keys_of(query, "collection_id", "chunk_id")
     scored = hits.groupBy(*keys).agg(F.sum(F.col("times") * F.col("idf") * _share()).alias("bm25"))
@@ -216,15 +237,17 @@ def bm25(corpus: DataFrame, query: DataFrame) -> DataFrame:
     return every.select(*keys).join(scored, keys, "left").fillna(0.0, ["bm25"])
 
 
-def bm25_of_pairs(corpus: DataFrame, query: DataFrame, pairs: DataFrame) -> DataFrame:
+def bm25_of_pairs(corpus: DataFrame, query: DataFrame, pairs: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """(query_id, collection_id, chunk_id, bm25) of the pairs that share a word: as :func:`bm25`, with
-    the statistics of the whole corpus, without scoring all chunks for all queries."""
+    the statistics of the whole corpus, without scoring all chunks for all queries. Only the
+    texts of the pairs are cut into words again; ``statistics`` may be kept ones."""
     keys = ["query_id", "collection_id", "chunk_id"]
     pairs = pairs.select(*keys).distinct()
-    terms, sizes = query_terms(query), corpus_sizes(corpus)
+    terms, statistics = query_terms(query), corpus_statistics(corpus) if statistics is None else statistics
+    sizes = corpus_sizes(statistics)
     asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("q")).select("query_id", F.col("q.term").alias("qt"), F.col("q.times").alias("qn"))
     own = corpus.join(pairs.select("collection_id", "chunk_id").distinct(), ["collection_id", "chunk_id"], "left_semi")
-    said = postings(own).join(inverse_frequencies(document_frequencies(corpus), sizes), ["collection_id", "term"]).join(sizes, "collection_id")
+    said = postings(own).join(inverse_frequencies(document_frequencies(statistics), sizes), ["collection_id", "term"]).join(sizes, "collection_id")
     said = said.groupBy("collection_id", "chunk_id").agg(F.collect_list(F.struct("term", (F.col("idf") * _share()).alias("w"))).alias("c")).select("collection_id", "chunk_id", F.col("c.term").alias("ct"), F.col("c.w").alias("cw"))
     joined = pairs.join(asked, "query_id").join(said, ["collection_id", "chunk_id"]).select(*keys, "qt", "qn", "ct", "cw")
 
@@ -263,7 +286,10 @@ def fused(candidates: DataFrame, mode: str = "hybrid", alpha: float = DEFAULT_AL
 
 
 def fuse_lists(semantic: DataFrame, lexical: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
-    """(chunk_id, score, rank) of two ranked lists (chunk_id, rank) that may lack each other's rows."""
+    """(chunk_id, score, rank) of two ranked lists (chunk_id, rank) that may lack each other's rows.
+
+    The lists are those of one collection and one query, at most a pool of candidates each, so one task ranks them.
+    """
     s, b = semantic.select("chunk_id", F.col("rank").alias("s")), lexical.select("chunk_id", F.col("rank").alias("b"))
     score = F.coalesce(reciprocal(F.col("s"), alpha), F.lit(0.0)) + F.coalesce(reciprocal(F.col("b"), 1 - alpha), F.lit(0.0))
     joined = s.join(b, "chunk_id", "full").withColumn("score", score)
@@ -317,16 +343,27 @@ def search(
     top_k: int = DEFAULT_TOP_K,
     alpha: float = DEFAULT_ALPHA,
     fan_out: int = DEFAULT_FAN_OUT,
+    request: DataFrame | None = None,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked candidates of each collection: chunk columns with vec_rank, bm25_rank, fused, rank.
 
     ``query`` is a table (query_id, query_vector, query_text), or one row without the id.
+    With ``request`` (ordinal, collection_id), a few rows, only its collections are read.
+    Candidates come first; BM25 is worked out for them alone.
     """
     check_request(top_k, alpha)
+    if request is not None:
+        check_request(top_k, alpha, [r[0] for r in request.select("collection_id").limit(1).collect()])
+        only = F.broadcast(request.select("collection_id").distinct())
+        chunks, corpus = (t.join(only, "collection_id", "left_semi") for t in (chunks, corpus))
+    many = "query_id" in query.columns
     found = nearest(chunks, query.select(*keys_of(query, "query_vector")), pool_size(top_k, fan_out))
     texts = query.select(*keys_of(query, "query_text"))
-    scores = bm25_of_pairs(corpus, texts, found) if "query_id" in query.columns else bm25(corpus, texts)
-    return fused(with_bm25_rank(found, scores), mode, alpha)
+    if not many:
+        found, texts = (t.withColumn("query_id", F.lit(0).cast("long")) for t in (found, texts))
+    ranked = fused(with_bm25_rank(found, bm25_of_pairs(corpus, texts, found, statistics)), mode, alpha)
+    return ranked if many else ranked.drop("query_id")
 
 
 def collection_stats(ranked: DataFrame, returned: DataFrame, contributed: DataFrame) -> DataFrame:
@@ -355,7 +392,9 @@ def with_provenance(results: DataFrame, collections: DataFrame, workspaces: Data
     """Adds ``source``: where a result comes from, as one struct. Results are few; names come by joins on their ids."""
     named = results.join(collections.select("collection_id", "workspace_id", F.col("name").alias("collection_name")), "collection_id")
     named = named.join(workspaces.select("workspace_id", F.col("name").alias("workspace_name")), "workspace_id")
-    place = F.struct("collection_id", "collection_name", "workspace_id", "workspace_name", "filename")
+    missing = {"document_id": "string", "filename": "string", "page_number": "int"}
+    known = [F.col(c) if c in results.columns else F.lit(None).cast(kind).alias(c) for c, kind in missing.items()]
+    place = F.struct("collection_id", "collection_name", "workspace_id", "workspace_name", *known)
     return named.select(*[c for c in results.columns if c != "source"], place.alias("source"))
 
 

@@ -52,7 +52,7 @@ def vectors(spark: SparkSession, sf_dir: str, by: str = "lang") -> DataFrame:
     """Chunks that have a vector, keyed by doc_id as chunk_id: collection_id (the ``by`` column), chunk_id, language, filename, embedding."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select(
-        F.col(by).alias("collection_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("language"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("filename"), "source", "embedding"
+        F.col(by).alias("collection_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("language"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("document_id"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("filename"), "source", "embedding"
     )
 
 

@@ -19,8 +19,8 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = model.corpus(spark, sf_dir)
-    found = R.inverse_frequencies(R.document_frequencies(corpus), R.corpus_sizes(corpus))
+    statistics = R.corpus_statistics(model.corpus(spark, sf_dir))
+    found = R.inverse_frequencies(R.document_frequencies(statistics), R.corpus_sizes(statistics))
     return found.select("collection_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -29,8 +29,8 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("collection_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str, mode: str = "hybrid", by: str = "lang", top_k: int = TOP_K) -> DataFrame:
-    return R.search(model.vectors(spark, sf_dir, by), model.corpus(spark, sf_dir, by), model.query(spark, sf_dir), mode=mode, top_k=top_k)
+def _ranked(spark: SparkSession, sf_dir: str, mode: str = "hybrid", request: DataFrame | None = None) -> DataFrame:
+    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.query(spark, sf_dir), mode=mode, top_k=TOP_K, request=request)
 
 
 def _shown(results: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def _request(spark: SparkSession) -> DataFrame:
 
 def _multi(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     request = _request(spark)
-    ranked = _ranked(spark, sf_dir).join(F.broadcast(request), "collection_id", "left_semi")  # a request's few collections
+    ranked = _ranked(spark, sf_dir, request=request)
     results = R.collection_results(ranked, TOP_K, {"filename": None})
     return ranked, results, R.merged(results, request, TOP_K)
 
@@ -91,7 +91,7 @@ def search_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     collections = model.table(spark, sf_dir, "documents").select(F.col("lang").alias("collection_id"), F.concat(F.lit("ws_"), "lang").alias("workspace_id"), F.upper("lang").alias("name")).distinct()
     workspaces = model.workspaces(spark, sf_dir).withColumn("name", F.concat(F.lit("Workspace "), "workspace_id"))
     shown = R.with_provenance(_multi(spark, sf_dir)[2], collections, workspaces)
-    return shown.select("chunk_id", "rank", "source.collection_name", "source.workspace_name", "source.filename")
+    return shown.select("chunk_id", "rank", "source.document_id", "source.collection_name", "source.workspace_name", "source.filename", "source.page_number")
 
 
 def search_under_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ def search_under_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The searches over many queries: every row whose id is divisible by model.EVERY against all rows.
 
 
-def _ranked_each(spark: SparkSession, sf_dir: str, mode: str = "hybrid") -> DataFrame:
-    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.queries(spark, sf_dir), mode=mode, top_k=TOP_K)
+def _ranked_each(spark: SparkSession, sf_dir: str, mode: str = "hybrid", request: DataFrame | None = None) -> DataFrame:
+    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.queries(spark, sf_dir), mode=mode, top_k=TOP_K, request=request)
 
 
 def _shown_each(results: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def search_filtered_after_rank_each(spark: SparkSession, sf_dir: str) -> DataFra
 
 def _multi_each(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     request = _request(spark)
-    ranked = _ranked_each(spark, sf_dir).join(F.broadcast(request), "collection_id", "left_semi")
+    ranked = _ranked_each(spark, sf_dir, request=request)
     results = R.collection_results(ranked, TOP_K, {"filename": None})
     return ranked, results, R.merged(results, request, TOP_K)
 
@@ -172,10 +172,43 @@ def search_under_delivered_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.under_delivered(search_filtered_after_rank_each(spark, sf_dir), TOP_K, model.queries(spark, sf_dir))
 
 
-def _sql(group: str, tail: str) -> str:
-    """The search in SQL, with ``group`` as the collection of a document."""
+def search_partial_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus lacks every third document: such a candidate scores 0 and keeps its place among the zeros."""
+    corpus = model.corpus(spark, sf_dir).where("chunk_id % 3 <> 0")
+    return _shown(R.search(model.vectors(spark, sf_dir), corpus, model.query(spark, sf_dir), top_k=TOP_K))
+
+
+def search_tags_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that carry all wanted tags, filtered after ranking."""
+    names = model.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"), F.array(F.lit("high quality"), F.lit("seen")).alias("tags"))
+    ranked = _ranked(spark, sf_dir).join(names, "chunk_id", "left")
+    return _shown(R.collection_results(ranked, TOP_K, {"tags": ["high quality", "seen"]}))
+
+
+def search_effective_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection without a corpus makes the whole response semantic; one with all of them is as asked."""
+    corpus, collections = model.corpus(spark, sf_dir), _request(spark).select("collection_id")
+    partial = R.effective_mode("hybrid", corpus.where("collection_id <> 'es'"), collections).select(F.lit("partial").alias("corpus"), "mode")
+    return partial.unionByName(R.effective_mode("hybrid", corpus, collections).select(F.lit("whole").alias("corpus"), "mode"))
+
+
+def search_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collections of a request that exist, in its order, repeated ones too."""
+    request = spark.sql("SELECT posexplode(array('fr', 'xx', 'en', 'fr')) AS (ordinal, collection_id)")
+    return R.requested(model.corpus(spark, sf_dir).select("collection_id").distinct(), request).select("ordinal", "collection_id")
+
+
+def fused_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ranked lists of documents that share only some of their rows."""
+    ids = model.table(spark, sf_dir, "documents").where("doc_id <= 60").select("doc_id")
+    lists = [ids.where(f"doc_id % {m} = 0").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") / m).cast("int").alias("rank")) for m in (2, 3)]
+    return R.fuse_lists(*lists).select("chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+def _sql(group: str, tail: str, corpus: str = "true") -> str:
+    """The search in SQL, with ``group`` as the collection of a document, and a condition for those in the corpus."""
     return f"""
-WITH tok AS (SELECT {group} AS c, doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+WITH tok AS (SELECT {group} AS c, doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE {corpus}),
 st AS (SELECT c, count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM tok GROUP BY c),
 tf AS (SELECT c, doc_id, dl, term, count(*) AS tf FROM (SELECT c, doc_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
 dfs AS (SELECT c, term, count(*) AS df FROM tf GROUP BY c, term),
@@ -193,7 +226,7 @@ cos AS (
   FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, qv),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(cosine, 9) DESC NULLS LAST, doc_id) AS vec_rank FROM cos) WHERE vec_rank <= {POOL}),
 both_ AS (
-  SELECT cand.*, row_number() OVER (PARTITION BY cand.c ORDER BY round(bm25, 9) DESC, vec_rank) AS bm25_rank FROM cand JOIN bm ON bm.doc_id = cand.doc_id),
+  SELECT cand.*, row_number() OVER (PARTITION BY cand.c ORDER BY round(coalesce(bm25, 0.0), 9) DESC, vec_rank) AS bm25_rank FROM cand LEFT JOIN bm ON bm.doc_id = cand.doc_id),
 sc AS (SELECT *, 0.7::DOUBLE * (1.0::DOUBLE / (60 + vec_rank)) + 0.30000000000000004::DOUBLE * (1.0::DOUBLE / (60 + bm25_rank)) AS hybrid,
   1.0::DOUBLE / (60 + vec_rank) AS semantic, 1.0::DOUBLE / (60 + bm25_rank) AS lexical FROM both_),
 rk AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY hybrid DESC, bm25_rank) AS rank FROM sc)
@@ -204,9 +237,21 @@ _OUT = "c AS collection_id, doc_id AS chunk_id, vec_rank, bm25_rank"
 _ORDER = "(VALUES (0, 'fr'), (1, 'en'), (2, 'de'), (3, 'es')) AS o(ordinal, c)"
 _MERGED = f"SELECT rk.c, doc_id, rank, 1.0::DOUBLE / (60 + rank) AS score FROM rk JOIN {_ORDER} ON o.c = rk.c WHERE rank <= {TOP_K} ORDER BY score DESC, ordinal LIMIT {TOP_K}"
 
-QUERIES = {f.__name__: f for f in (knn_cosine_topk, bm25_idf, bm25_scores, rrf_hybrid_topk, search_semantic, search_bm25, search_filtered_after_rank, search_multi_collection, search_collection_stats, search_reranked, search_provenance, search_under_delivered)}
+QUERIES = {f.__name__: f for f in (knn_cosine_topk, bm25_idf, bm25_scores, rrf_hybrid_topk, search_semantic, search_bm25, search_filtered_after_rank, search_multi_collection, search_collection_stats, search_reranked, search_provenance, search_under_delivered, search_partial_corpus, search_tags_filter, search_effective_mode, search_requested, fused_lists)}
 
 SQL = {
+    "search_partial_corpus": _sql("lang", f"SELECT {_OUT}, round(hybrid, 9) AS fused, rank FROM rk", "doc_id % 3 <> 0"),
+    "search_tags_filter": _sql(
+        "lang",
+        f"""SELECT * FROM (SELECT {_OUT}, round(hybrid, 9) AS fused, row_number() OVER (PARTITION BY c ORDER BY rank) AS rank FROM rk
+  WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE rank <= {TOP_K}""",
+    ),
+    "search_effective_mode": "SELECT 'partial' AS corpus, 'semantic_only' AS mode UNION ALL SELECT 'whole', CASE WHEN count(DISTINCT lang) FILTER (WHERE lang IN ('fr', 'en', 'de', 'es')) = 4 THEN 'hybrid' ELSE 'semantic_only' END FROM documents",
+    "search_requested": "SELECT ordinal, c AS collection_id FROM (VALUES (0, 'fr'), (1, 'xx'), (2, 'en'), (3, 'fr')) AS r(ordinal, c) WHERE c IN (SELECT lang FROM documents)",
+    "fused_lists": """
+WITH s AS (SELECT doc_id, doc_id / 2 AS s FROM documents WHERE doc_id <= 60 AND doc_id % 2 = 0), b AS (SELECT doc_id, doc_id / 3 AS b FROM documents WHERE doc_id <= 60 AND doc_id % 3 = 0),
+f AS (SELECT coalesce(s.doc_id, b.doc_id) AS chunk_id, s, b, coalesce(0.7::DOUBLE * (1.0::DOUBLE / (60 + s)), 0) + coalesce(0.30000000000000004::DOUBLE * (1.0::DOUBLE / (60 + b)), 0) AS score FROM s FULL JOIN b ON s.doc_id = b.doc_id)
+SELECT chunk_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, b NULLS LAST, s NULLS LAST) AS rank FROM f""",
     "knn_cosine_topk": f"""
 WITH qv AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 7),
 s AS (SELECT vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), v)
@@ -224,7 +269,7 @@ SELECT * FROM (SELECT vec_id AS chunk_id, round(cosine, 6) AS cosine, row_number
         f"""SELECT o.c AS collection_id, count(rk.doc_id) AS retrieved, count(rk.doc_id) FILTER (WHERE rank <= {TOP_K}) AS returned,
   (SELECT count(*) FROM ({_MERGED}) m WHERE m.c = o.c) AS contributed FROM {_ORDER} JOIN rk ON rk.c = o.c GROUP BY o.c""",
     ),
-    "search_provenance": _sql("lang", f"SELECT doc_id AS chunk_id, rank, upper(c) AS collection_name, 'Workspace ws_' || c AS workspace_name, 'doc_' || doc_id || '.txt' AS filename FROM ({_MERGED})"),
+    "search_provenance": _sql("lang", f"SELECT doc_id AS chunk_id, rank, 'doc_' || doc_id AS document_id, CAST(NULL AS INTEGER) AS page_number, upper(c) AS collection_name, 'Workspace ws_' || c AS workspace_name, 'doc_' || doc_id || '.txt' AS filename FROM ({_MERGED})"),
     "search_under_delivered": _sql("'all'", f"SELECT count(*) < {TOP_K} AS under_delivered FROM rk WHERE lang = 'fr'"),
     "search_reranked": _sql(
         "lang",

@@ -93,6 +93,25 @@ def tag_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("id", "name", "confidence", "rank")
 
 
+def tag_suggestions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as JSON: arrays of objects with their own confidences, bad ones too, or arrays of names in prose."""
+    part = model.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.element_at(F.split("p_name", " "), 1).alias("first"))
+    objects = F.format_string('Sure: [{"name": "%s", "confidence": 0.9}, {"name": "%s", "confidence": "high"}, {"name": " %s ", "confidence": 1.5}]', "first", "p_brand", "p_type")
+    replies = part.select("id", F.when(F.col("id") % 2 == 0, objects).otherwise(F.format_string('["%s", "%s", "%s"]', "first", "p_brand", "first")).alias("reply"))
+    return T.parse_suggestions(replies).select("id", "name", "confidence", "position")
+
+
+def json_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = model.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"p": '), "props", F.lit("}"))).otherwise(F.lit("[1")).alias("t"))
+    return rows.select("event_id", structured.json_depth("t").alias("depth"))
+
+
+def metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored metadata read back; fields that were left out are null."""
+    meta = chunk_metadata(spark, sf_dir).select("document_id", X.decoded_metadata(F.col("metadata"), "filename string, parser string, language string").alias("m"))
+    return meta.select("document_id", "m.*")
+
+
 def highlighted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.table(spark, sf_dir, "documents").select("doc_id", X.highlighted(F.col("text"), "the and a").alias("marked"))
     return rows.select("doc_id", F.length("marked").alias("n"), F.md5("marked").alias("marked_md5"))
@@ -105,8 +124,8 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.progress_percent(F.col("o_orderkey") % 41, F.col("o_custkey") % 40).alias("pct"),
         F.round(X.heat_share(F.col("o_custkey"), F.col("o_orderkey")), 6).alias("heat"),
         X.topic_parts(F.concat_ws(":", "o_orderpriority", "o_custkey"))["collection"].alias("collection"),
-        X.clamped(F.concat(F.lit("0."), F.col("o_custkey").cast("string"))).alias("confidence"),
-        X.symbol_kind(F.concat("o_orderpriority", F.lit("_definition"))).alias("kind"),
+        X.clamped(F.when(F.col("o_orderkey") % 5 == 0, "high").when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("-"), F.col("o_custkey").cast("string"))).when(F.col("o_orderkey") % 5 == 2, "7.5").otherwise(F.concat(F.lit("0."), F.col("o_custkey").cast("string")))).alias("confidence"),
+        X.symbol_kind(F.element_at(F.array(*[F.lit(t) for t in ("Method_declaration", "struct_item", "function_item", "constructor", "impl_item", "call")]), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("kind"),
     )
 
 
@@ -114,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_ids, point_ids, chunk_metadata, row_group_chunks, line_window_chunks, sliding_window_chunks, paragraph_packing, normalize_tags, serialize_rows, json_extract_props, flatten_json, conversation_text_concat,
-        topic_latest_snapshot, token_bucket, tag_suggestions, highlighted_texts, scalar_functions,
+        topic_latest_snapshot, token_bucket, tag_suggestions, tag_suggestions_json, json_depths, metadata_round_trip, highlighted_texts, scalar_functions,
     )
 }
 
@@ -150,9 +169,44 @@ e AS (SELECT id, brand, unnest(names) AS name, unnest(range(0, len(names))) AS i
 f AS (SELECT id, brand, name, min(i) AS i FROM e GROUP BY ALL),
 c AS (SELECT id, name, i, round(greatest(0.3::DOUBLE, 0.95::DOUBLE - i * 0.07::DOUBLE), 3) AS confidence FROM f WHERE name <> brand)
 SELECT id, name, confidence, CAST(row_number() OVER (PARTITION BY id ORDER BY confidence DESC, i) AS INTEGER) AS rank FROM c WHERE confidence >= 0.7""",
+    "tag_suggestions_json": """
+WITH n AS (SELECT p_partkey AS id, lower(string_split(p_name, ' ')[1]) AS first, lower(p_brand) AS brand, lower(p_type) AS kind FROM part),
+e AS (
+  SELECT id, unnest([first, brand, kind]) AS name, unnest([0.9::DOUBLE, 0.0, 1.0]) AS confidence, unnest([0, 1, 2]) AS position FROM n WHERE id % 2 = 0
+  UNION ALL SELECT id, unnest([first, brand]), unnest([0.95::DOUBLE, 0.88]), unnest([0, 1]) FROM n WHERE id % 2 <> 0)
+SELECT id, name, arg_min(confidence, position) AS confidence, min(position) AS position FROM e GROUP BY id, name""",
+    "json_depths": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS depth FROM events",
+    "metadata_round_trip": "SELECT 'doc_' || doc_id AS document_id, 'doc_' || doc_id || '.txt' AS filename, 'txt' AS parser, CASE WHEN lang <> 'en' THEN lang END AS language FROM documents",
     "highlighted_texts": "SELECT doc_id, CAST(length(m) AS INTEGER) AS n, md5(m) AS marked_md5 FROM (SELECT doc_id, regexp_replace(text, '(and|the)', '<mark>\\1</mark>', 'gi') AS m FROM documents)",
     "scalar_functions": """
 SELECT o_orderkey, CASE WHEN o_custkey % 40 <> 0 THEN CAST(round_even(100.0::DOUBLE * (o_orderkey % 41) / (o_custkey % 40), 0) AS INTEGER) END AS pct,
   round(CASE WHEN o_orderkey > 0 THEN o_custkey::DOUBLE / o_orderkey ELSE 0 END, 6) AS heat, CAST(o_custkey AS VARCHAR) AS collection,
-  CAST('0.' || o_custkey AS DOUBLE) AS confidence, 'function' AS kind FROM orders""",
+  CASE o_orderkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 ELSE CAST('0.' || o_custkey AS DOUBLE) END AS confidence,
+  ['method', 'class', 'function', 'method', 'class', 'function'][CAST(o_orderkey % 6 + 1 AS BIGINT)] AS kind FROM orders""",
+    "paragraph_packing": r"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+t AS (SELECT doc_id, unnest(range(len(l))) AS j, regexp_replace(unnest(l), '^\s+|\s+$', '', 'g') AS t FROM l),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, t, string_split_regex(t, '\s+') AS w FROM t WHERE t <> ''),
+s AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS held, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS done FROM documents
+  UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN len(w) > 64 THEN '' WHEN n + len(w) > 64 OR held = '' THEN t ELSE held || chr(10) || t END,
+    CASE WHEN len(w) > 64 THEN 0 WHEN n + len(w) > 64 THEN len(w) ELSE n + len(w) END,
+    list_concat(CASE WHEN held <> '' AND n + len(w) > 64 THEN [held] ELSE [] END,
+      CASE WHEN len(w) > 64 THEN list_transform(range(0, CAST(ceil((len(w) - 64) / 56.0) * 56 AS BIGINT) + 1, 56), lambda b: array_to_string(w[b + 1:b + 64], ' ')) ELSE [] END)
+  FROM s JOIN p ON p.doc_id = s.doc_id AND p.i = s.i + 1),
+o AS (
+  SELECT doc_id, i, unnest(range(len(done))) AS k, unnest(done) AS c FROM s
+  UNION ALL SELECT doc_id, i + 1, 0, held FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM s) WHERE r = 1 AND held <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS chunk_index, md5(c) AS chunk_md5 FROM o""",
+    "token_bucket": """
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS BIGINT) AS key, epoch_us(ts) / 1e6::DOUBLE AS seconds, CAST(event_id AS BIGINT) AS request_id,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (
+  SELECT key, i, seconds, request_id, true AS allowed, 1.0::DOUBLE AS tokens FROM e WHERE i = 1
+  UNION ALL
+  SELECT key, i, seconds, request_id, t >= 1.0, CASE WHEN t >= 1.0 THEN t - 1.0 ELSE t END
+  FROM (SELECT e.*, least(2.0::DOUBLE, s.tokens + (e.seconds - s.seconds) * 2.0::DOUBLE / 60.0::DOUBLE) AS t FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1))
+SELECT key, seconds, request_id, allowed FROM s""",
 }
