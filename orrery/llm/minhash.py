@@ -236,3 +236,21 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rest = by_ids(held, gone, "left_anti", keys)
     once = by_ids(rest, twice, "left_anti", keys).select("row.*")
     return once if twice.isEmpty() else once.unionByName(by_ids(rest, twice, "left_semi", keys).dropDuplicates(keys).select("row.*"))
+
+
+SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sized AS (SELECT s.*, n.n FROM s JOIN n ON n.doc_id = s.doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sized x JOIN sized y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_ AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, t.doc_id = c AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN least_ ON least_.a = t.doc_id
+"""

@@ -11,13 +11,15 @@ list becomes one ordered CASE expression over the statistics.
 
 ``MAX_LABELLED`` bounds the labelled rows that the list is learned from (a seeded
 sample of them, by a hash of the id); the statistics and the verdict cover all
-rows.
+rows. A list has no bound of its own: it ends when the next rule isn't precise, and a
+rule when no condition tells more.
 
 Defined cases: a null text has no words and fails the base rule; labels that are
 null are ignored and of repeated labels the lowest counts; without labelled rows,
 or if all are of one class, the list is empty and the base rule decides; repeated
-rows get equal results; an empty table gives an empty result; of the input, only
-doc_id and text are read, so other columns can't clash.
+rows get equal results; a very long text is one row, worked on as a whole; an empty
+table gives an empty result; of the input, only doc_id and text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 from orrery.llm.support import cut, words_of
 
 MAX_LABELLED = 100_000
-MAX_RULES, MAX_CONDITIONS = 8, 3
 #: A rule has to be right for so many of the rows it covers, and cover so many.
 PRECISION, LEAST_COVER = 0.9, 5
 QUANTILES = [i / 40 for i in range(1, 40)] + [0.99, 0.995]
@@ -159,9 +160,9 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_l
 
     rules: list[list[tuple[str, bool, int]]] = []
     left = F.lit(True)
-    while len(rules) < MAX_RULES:
+    while True:
         rule: list[tuple[str, bool, int]] = []
-        while len(rule) < MAX_CONDITIONS:
+        while True:
             have = counts(F.col("grow") & left & met(rule))
             bad, n = (sum(x[i] for x in have[names[0]].values()) for i in (0, 1))
             if not bad or bad == n:
@@ -200,3 +201,25 @@ def judge(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Dat
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def statistics_report(docs: DataFrame) -> DataFrame:
+    """The part of :func:`quality_report` that isn't learned."""
+    stats = text_statistics(docs.select("doc_id", "text")).withColumn("base_failed", base_failed())
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+#: Of the statistics and the base rule; the list itself is learned, which SQL can't express.
+SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS g FROM t WHERE len(w) > 2),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+s AS (
+  SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN lines ON lines.doc_id = t.doc_id LEFT JOIN covered ON covered.doc_id = t.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""

@@ -58,6 +58,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base rule of op2, which SQL can express."""
+    return quality_rules.statistics_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_kd_tree_shards": op1_kd_tree_shards,
     "op2_quality_decision_list": op2_quality_decision_list,
@@ -69,10 +74,14 @@ QUERIES: dict[str, Query] = {
     "op8_pigeonhole_decontamination": op8_pigeonhole_decontamination,
     "op9_suffix_order_dedup": op9_suffix_order_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "quality_statistics": quality_statistics,
 }
 
 SQL: dict[str, str] = {
     "op3_warc_segments": warc.SQL,
     "op5_chat_formatting": chat.SQL,
+    "op7_bottom_k_near_dedup": minhash.SQL,
+    "op9_suffix_order_dedup": substrings.SQL,
     "op10_source_mixing": mixing.SQL,
+    "quality_statistics": quality_rules.SQL,
 }
