@@ -75,20 +75,21 @@ def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+#: Edges up to which what is known of their nodes (16 bytes each, two nodes at most for an edge) is broadcast, and the partitions they then have.
+BROADCAST_EDGES, SMALL_PARTS = 500_000, 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component has its smallest node's id.
 
     Alternates large-star and small-star steps until nothing changes, which takes
-    about log2 of the longest chain. Minima are aggregated, with a partial step, and
-    written before they are joined: so neither a hub's neighbours are gathered nor is
-    the join fused with the aggregate, and Spark can split it at a hub. Steps are
+    about log2 of the longest chain. Minima are aggregated with a partial step, so a
+    hub's neighbours are never gathered. Counted edges of up to BROADCAST_EDGES have
+    minima that can be broadcast; beyond, minima are written before they are joined,
+    and so not fused with the join, which Spark can then split at a hub. Steps are
     written as tables: a checkpoint carries the constraints of its plan along, which
     multiply from step to step.
     """
-
-    def least_of(edges: DataFrame, least: Column) -> DataFrame:
-        return written(edges.groupBy("a").agg(least.alias("m")), "least")
-
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
@@ -96,12 +97,17 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = now
+        few = now[0] <= BROADCAST_EDGES
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = least_of(both, F.least(F.min("b"), F.first("a")))
-        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        least = least_of(large, F.min("b"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = F.broadcast(least) if few else written(least, "least")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if few else written(large, "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = least if few else written(least, "least")
+        small = large.join(F.broadcast(least) if few else least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        step = small.unionByName(least.withColumnRenamed("m", "b")).distinct()
+        e = written(step.coalesce(SMALL_PARTS) if few else step, "edges")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

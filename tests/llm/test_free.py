@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, langid, minhash, substrings, toxicity, warc
+from orrery.llm import decontam, langid, minhash, substrings, support, toxicity, warc
 from orrery.llm.support import components
 
 DOC = "doc_id long, text string, lang string, source string"
@@ -281,7 +281,9 @@ def test_different_texts_under_one_id(spark):
     assert kept == [(3, a), (5, b), (7, ""), (7, c)]
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components_of_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(support, "BROADCAST_EDGES", few)
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 101), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
