@@ -337,18 +337,18 @@ def removal_report(docs: DataFrame, length: int = L, gram: int = G, keep_first:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
 p AS (SELECT doc_id, unnest(range(0, n - 199)) AS p, h FROM d WHERE n >= 200),
-s AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM p),
+s AS (SELECT doc_id, p, md5_number(h[p + 1:p + 200]) AS k FROM p),
 again AS (SELECT doc_id, p FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
 marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS first FROM again),
 numbered AS (SELECT doc_id, p, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
 runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, run),
 placed AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
 kept AS (
-  SELECT placed.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed
+  SELECT placed.doc_id, string_agg(hex(h[before + 1:a]), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed
   FROM placed JOIN d ON d.doc_id = placed.doc_id GROUP BY placed.doc_id)
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+       sha256(unhex(coalesce(head, '') || hex(h[coalesce(last, 0) + 1:n]))) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
