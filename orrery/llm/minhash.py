@@ -21,7 +21,9 @@
    documents in lists of more than LONG members get exact lists first: their whole
    sets, rarest shingle first, where the place of a shared shingle bounds what two
    documents can share from there on, so that pairs are made only where they can be
-   links.
+   links. In a large group of loose copies the smallest member is like only some of
+   the others, so rounds of HUBS members of each list, drawn by hash, join most of the
+   group with pairs in proportion to the lists; what they leave open is paired whole.
 
 Hot values, lists and classes are counted with partial aggregates; the counts are
 written before they are joined on a value, so Spark can split the join at a frequent
@@ -56,6 +58,8 @@ K, T = 48, 24
 LEAST_PERCENT = 80
 #: Members of a list from which on it is paired with bounds from full sets.
 LONG = 32
+#: Members of such a list that a round pairs with all others, before the rest is paired whole.
+HUBS = 16
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -165,6 +169,17 @@ def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     return cut(members.join(cut(parts), "v").select(*lists.columns, "c", (F.col("c") == F.col("main")).alias("in_main"), "whole"))
 
 
+def hub_pairs(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b, stands), a > b: members outside their list's largest component with HUBS members of it, others in every
+    turn; a pair stands for so many that the whole list would make."""
+    drawn = F.xxhash64("node", F.lit(turn))
+    hub = F.min(F.struct(drawn.alias("h"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"))).alias("hub")
+    hubs = cut(members.groupBy("v", F.pmod(drawn, F.lit(HUBS)).alias("part")).agg(hub).select("v", "hub.*"))
+    can = (100 + percent) * F.least("room", "my") >= percent * (F.col("n") + F.col("ny"))
+    pairs = members.where("NOT in_main").join(hubs, "v").where((F.col("c") != F.col("cy")) & can)
+    return pairs.groupBy(F.greatest("node", "y").alias("a"), F.least("node", "y").alias("b")).agg((F.max("whole") / HUBS).alias("stands"))
+
+
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b), a > b: pairs of a list in different components that can reach the similarity.
 
@@ -203,9 +218,20 @@ def linked_classes(docs: DataFrame, n: int, percent: int, by_id: bool) -> tuple[
     found = components(links)
     open_ = open_lists(lists.withColumn("room", F.col("n")), found)
     long = cut(open_.where(F.col("whole") > LONG).select("node").distinct().join(reps.select("node", "doc_id", "t"), "node"))
-    more = open_pairs(open_.where(F.col("whole") <= LONG), percent).unionByName(open_pairs(open_lists(full_prefixes(docs, long, n, percent), found), percent))
-    more = cut(more.distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(more, reps, docs, n, percent))
+    prefixes, tried, texts = full_prefixes(docs, long, n, percent), first, reps.count()
+    more, least, turn = open_pairs(open_.where(F.col("whole") <= LONG), percent), math.inf, 0
+    while True:
+        members = open_lists(prefixes, found)
+        drawn = cut(hub_pairs(members, percent, turn))
+        pairs = drawn.agg(F.coalesce(F.sum("stands"), F.lit(0))).first()[0]
+        last = pairs <= HUBS * texts or pairs > 0.75 * least  # pairs in proportion to the texts, or rounds that join little more
+        more = more.unionByName(open_pairs(members, percent) if last else drawn.select("a", "b"))
+        more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(verified(more, reps, docs, n, percent))
+        if last:
+            break
+        found, tried, least, turn = components(links), tried.unionByName(more), pairs, turn + 1
+        more = more.limit(0)
     if by_id:
         shared = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
         nodes = known.join(cut(shared), "doc_id").select("doc_id", "digest").distinct().join(classes, "digest").select(known.doc_id, "node")

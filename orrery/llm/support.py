@@ -75,7 +75,7 @@ def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-#: Edges up to which what is known of their nodes (16 bytes each, two nodes at most for an edge) is broadcast, and the partitions they then have.
+#: Edges up to which what is known of their nodes (16 bytes each, two nodes at most for an edge) is broadcast, and the partitions that each step then has.
 BROADCAST_EDGES, SMALL_PARTS = 500_000, 16
 
 
@@ -100,11 +100,11 @@ def components(edges: DataFrame) -> DataFrame:
         few = now[0] <= BROADCAST_EDGES
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        least = F.broadcast(least) if few else written(least, "least")
+        least = F.broadcast(least.coalesce(SMALL_PARTS)) if few else written(least, "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large if few else written(large, "edges")
+        large = large.coalesce(SMALL_PARTS) if few else written(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        least = least if few else written(least, "least")
+        least = least.coalesce(SMALL_PARTS) if few else written(least, "least")
         small = large.join(F.broadcast(least) if few else least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step = small.unionByName(least.withColumnRenamed("m", "b")).distinct()
         e = written(step.coalesce(SMALL_PARTS) if few else step, "edges")
