@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import shingle_sets
-from orrery.llm.support import by_ids, components, cut, small_batches, values, written
+from orrery.llm.support import by_ids, components, cut, joined, small_batches, values, written
 
 K, T = 48, 24
 #: The similarity that T and the bound of small sets are made for.
@@ -222,22 +222,22 @@ def linked_classes(docs: DataFrame, n: int, percent: int, by_id: bool) -> tuple[
     more, least, turn = open_pairs(open_.where(F.col("whole") <= LONG), percent), math.inf, 0
     while True:
         members = open_lists(prefixes, found)
-        drawn = cut(hub_pairs(members, percent, turn))
+        drawn = cut(hub_pairs(members, percent, turn).join(tried, ["a", "b"], "left_anti"))
         pairs = drawn.agg(F.coalesce(F.sum("stands"), F.lit(0))).first()[0]
-        last = pairs <= HUBS * texts or pairs > 0.75 * least  # pairs in proportion to the texts, or rounds that join little more
+        last = pairs <= texts or pairs > least / 2  # pairs in proportion to the texts, or rounds that join little more
         more = more.unionByName(open_pairs(members, percent) if last else drawn.select("a", "b"))
         more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        links = links.unionByName(verified(more, reps, docs, n, percent))
+        links = verified(more, reps, docs, n, percent)
         if last:
             break
-        found, tried, least, turn = components(links), tried.unionByName(more), pairs, turn + 1
+        found, tried, least, turn = joined(found, links), tried.unionByName(more), pairs, turn + 1
         more = more.limit(0)
     if by_id:
         shared = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
         nodes = known.join(cut(shared), "doc_id").select("doc_id", "digest").distinct().join(classes, "digest").select(known.doc_id, "node")
         links = links.unionByName(nodes.join(cut(nodes.groupBy("doc_id").agg(F.min("node").alias("b"))), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
 
-    whole = cut(classes.join(components(links), "node", "left").select("digest", "at", F.coalesce("component", "node").alias("component")))
+    whole = cut(classes.join(joined(found, links), "node", "left").select("digest", "at", F.coalesce("component", "node").alias("component")))
     groups = cut(whole.groupBy("component").agg(F.min("at").alias("first")))
     return sigs, cut(whole.join(groups, "component").select("digest", "at", "first"))
 

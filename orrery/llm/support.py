@@ -110,6 +110,14 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(step.coalesce(SMALL_PARTS) if few else step, "edges")
 
 
+def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of ``found`` after further edges (a, b): only components that an edge connects are worked on."""
+    ends = edges.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    new = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = found.join(new.toDF("component", "c"), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return cut(moved.unionByName(new).distinct())
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     _ensure_folder(spark)

@@ -263,6 +263,25 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, n, long):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.values())
 
 
+def test_rounds_join_a_group_of_loose_copies(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(60)] = f"x{i}"
+        texts.append((i, " ".join(copy)))
+    turns = []
+    draw = minhash.hub_pairs
+    monkeypatch.setattr(minhash, "LONG", 3)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "hub_pairs", lambda *args: turns.append(args[-1]) or draw(*args))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, texts), 2).collect()}
+    assert out == brute_components(texts, 2)
+    assert len(turns) > 1
+
+
 def test_near_duplicates_edges(spark):
     docs = frame(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f")])
     out = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
