@@ -224,7 +224,7 @@ def linked_classes(docs: DataFrame, n: int, percent: int, by_id: bool) -> tuple[
         members = open_lists(prefixes, found)
         drawn = cut(hub_pairs(members, percent, turn).join(tried, ["a", "b"], "left_anti"))
         pairs = drawn.agg(F.coalesce(F.sum("stands"), F.lit(0))).first()[0]
-        last = pairs <= texts or pairs > least / 2  # pairs in proportion to the texts, or rounds that join little more
+        last = pairs <= HUBS * texts or pairs > least / 2  # pairs in proportion to the texts, or rounds that join little more
         more = more.unionByName(open_pairs(members, percent) if last else drawn.select("a", "b"))
         more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
         links = verified(more, reps, docs, n, percent)
