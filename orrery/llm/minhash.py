@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             for s in shingle_sets(values(batch.column("text")), n):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sketches.append(s[:K].view(np.int64).copy())  # not a view, which would keep the whole set
+                sketches.append(_signed(s[:K]))
             offsets = np.cumsum([0] + [len(s) for s in sketches], dtype=np.int32)
             flat = np.concatenate([*sketches, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
@@ -82,6 +82,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return _texts(docs).mapInArrow(sign, "doc_id long, t long, n_shingles long, digest binary, sketch array<long>")
 
 
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    """Unsigned hashes as longs in the same order; a copy, as a view of a sketch would keep the whole set."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
@@ -98,68 +103,53 @@ def rare_values(reps: DataFrame) -> DataFrame:
     return shared.where(room > 0).select("node", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select("x.v", "node", "n")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of ``nodes`` (node, doc_id, t), already materialised."""
-    return by_ids(_texts(docs), nodes, "inner", ["doc_id", "t"]).select("node", "text")
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, whole): the full shingle sets of ``nodes`` (node, doc_id, t), already materialised; made once for each."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_signed(s) for s in shingle_sets(values(batch.column("text")), n)]
+            offsets = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "whole"])
+
+    texts = by_ids(_texts(docs), nodes, "inner", ["doc_id", "t"]).select("node", "text")
+    return written(texts.mapInArrow(whole, "node long, whole array<long>").dropDuplicates(["node"]), "sets")  # of repeated rows one
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets reach the similarity: estimate first, then exact."""
+    """Of the pairs (a, b), those whose full sets reach the similarity: sizes, estimate, then exact."""
     one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    in_size = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("sa", "sb")) >= F.least(F.lit(T), F.ceil(F.least("na", "nb") * 0.8)))
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    both = both.withColumn("same", F.array_intersect("sa", "sb"))
+    both = both.where(F.size("same") >= F.least(F.lit(T), F.ceil(F.least("na", "nb") * 0.8)))
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
+    likely = cut(both.where(F.size(F.array_intersect("same", union)) * K >= T * F.size(union)).select("a", "b"))
 
-    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (values(batch.column(c)) for c in ("sa", "sb"))
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
-                union = np.union1d(x, y)[:K]
-                both = np.isin(union, x) & np.isin(union, y)
-                keep.append(both.sum() >= T / K * len(union))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    likely = cut(joined.where(in_size).mapInArrow(estimated, "a long, b long"))
     nodes = cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(reps.select("node", "doc_id", "t"), "node"))
-    texts = texts_of(docs, nodes)
-    both = likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = ("", np.zeros(0, np.uint64))
-        for batch in batches:
-            keep = []
-            for ta, sb in zip(values(batch.column("ta"), 64), shingle_sets(values(batch.column("tb"), 64), n), strict=True):
-                if last[0] != ta:
-                    last = (ta, next(shingle_sets([ta], n)))
-                inter = len(np.intersect1d(last[1], sb, assume_unique=True))
-                keep.append(100 * inter >= percent * (len(last[1]) + len(sb) - inter) and inter > 0)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
+    sets = sets_of(docs, nodes, n)
+    held = likely.join(sets.toDF("b", "wb"), "b").join(sets.toDF("a", "wa"), "a")
+    inter = F.size(F.array_intersect("wa", "wb"))
+    return cut(held.where(100 * inter >= percent * (F.size("wa") + F.size("wb") - inter)).select("a", "b"))
 
 
 def full_prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(v, node, n, room): lists of whole shingle sets, of these texts alone.
+    """(v, node, n, room, near): lists of whole shingle sets, of these texts alone.
 
     The shingles of a set are put in order, rarest among these texts first. Two
     sets of the similarity share one of the first n - ceil(percent n / 100) + 1 of
     each, and from the first that they share on they have at most ``room`` shingles.
+    ``near`` is the sum of a text's intersections with all of these texts over its
+    size: greatest for what lies in the middle of a group.
     """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, s in zip(batch.column("node").to_pylist(), shingle_sets(values(batch.column("text"), 64), n), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], ["node", "g"])
-
-    every = written(texts_of(docs, nodes).mapInArrow(spread, "node long, g long"), "shingles").distinct()
+    every = sets_of(docs, nodes, n).select("node", F.explode("whole").alias("g"))
     counted = every.join(cut(every.groupBy("g").agg(F.count("*").alias("m"))), "g")
-    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("s"))  # the shingles of one text
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "g"))).alias("s"), F.avg("m").alias("near"))  # the shingles of one text
     size = F.size("s")
     first = F.slice("s", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
-    placed = ordered.select("node", size.cast("long").alias("n"), F.posexplode(first).alias("i", "x"))
-    return cut(placed.where("x.m > 1").select(F.col("x.g").alias("v"), "node", "n", (F.col("n") - F.col("i")).alias("room")))
+    placed = ordered.select("node", "near", size.cast("long").alias("n"), F.posexplode(first).alias("i", "x"))
+    return cut(placed.where("x.m > 1").select(F.col("x.g").alias("v"), "node", "n", (F.col("n") - F.col("i")).alias("room"), "near"))
 
 
 def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -170,10 +160,12 @@ def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b, stands), a > b: members outside their list's largest component with HUBS members of it, others in every
-    turn; a pair stands for so many that the whole list would make."""
+    """(a, b, stands), a > b: members outside their list's largest component with HUBS members of it, one of each part that
+    the turn's hash makes: the nearest to all in the first turn, then drawn ones. A pair stands for so many that the whole
+    list would make."""
     drawn = F.xxhash64("node", F.lit(turn))
-    hub = F.min(F.struct(drawn.alias("h"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"))).alias("hub")
+    order = F.col("near") if turn == 0 else F.lit(0.0)
+    hub = F.max(F.struct(order.alias("o"), drawn.alias("h"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"))).alias("hub")
     hubs = cut(members.groupBy("v", F.pmod(drawn, F.lit(HUBS)).alias("part")).agg(hub).select("v", "hub.*"))
     can = (100 + percent) * F.least("room", "my") >= percent * (F.col("n") + F.col("ny"))
     pairs = members.where("NOT in_main").join(hubs, "v").where((F.col("c") != F.col("cy")) & can)
@@ -224,7 +216,7 @@ def linked_classes(docs: DataFrame, n: int, percent: int, by_id: bool) -> tuple[
         members = open_lists(prefixes, found)
         drawn = cut(hub_pairs(members, percent, turn).join(tried, ["a", "b"], "left_anti"))
         pairs = drawn.agg(F.coalesce(F.sum("stands"), F.lit(0))).first()[0]
-        last = pairs <= HUBS * texts or pairs > least / 2  # pairs in proportion to the texts, or rounds that join little more
+        last = not pairs or turn > 0 and (pairs <= texts or pairs > least / 2)  # no more pairs than texts, or rounds that join little more
         more = more.unionByName(open_pairs(members, percent) if last else drawn.select("a", "b"))
         more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
         links = verified(more, reps, docs, n, percent)
