@@ -22,8 +22,10 @@
    sets, rarest shingle first, where the place of a shared shingle bounds what two
    documents can share from there on, so that pairs are made only where they can be
    links. In a large group of loose copies the smallest member is like only some of
-   the others, so rounds of HUBS members of each list, drawn by hash, join most of the
-   group with pairs in proportion to the lists; what they leave open is paired whole.
+   the others, so rounds of HUBS members of each list join most of the
+   group with pairs in proportion to the lists: first those that share most with all,
+   then drawn ones; what they leave open is paired whole. Full sets are made once for
+   each text and written.
 
 Hot values, lists and classes are counted with partial aggregates; the counts are
 written before they are joined on a value, so Spark can split the join at a frequent
