@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, decontam, importance, langid, minhash, mixing, packing, quality_rules, sharding, substrings, toxicity, warc
+from orrery.llm import chat, decontam, importance, langid, minhash, mixing, packing, quality_rules, sharding, substrings, toxicity, tries, warc
 from orrery.llm.support import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_nodes(tries.rebuilt(tries.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
 def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(packing.packed(table(spark, sf_dir, "documents")))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_pigeonhole_decontamination": op8_pigeonhole_decontamination,
     "op9_suffix_order_dedup": op9_suffix_order_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_first_fit_packing": op12_first_fit_packing,
     "op13_importance_resampling": op13_importance_resampling,
     "quality_statistics": quality_statistics,
@@ -93,6 +98,7 @@ SQL: dict[str, str] = {
     "op7_bottom_k_near_dedup": minhash.SQL,
     "op9_suffix_order_dedup": substrings.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op11_conversation_trie": tries.SQL,
     "op13_importance_resampling": importance.SQL,
     "quality_statistics": quality_rules.SQL,
 }
