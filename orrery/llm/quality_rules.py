@@ -160,6 +160,7 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_l
 
     rules: list[list[tuple[str, bool, int]]] = []
     left = F.lit(True)
+    aside: set[tuple[str, bool]] = set()  # first conditions (feature and direction) that led to imprecise rules
     while True:
         rule: list[tuple[str, bool, int]] = []
         while True:
@@ -174,7 +175,7 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_l
                     b, m = have[name].get(i, (0, 0))
                     low_bad, low_n = low_bad + b, low_n + m
                     for p, c, at_least in ((bad - low_bad, n - low_n, True), (low_bad, low_n, False)):
-                        if p >= LEAST_COVER:
+                        if p >= LEAST_COVER and (rule or (name, at_least) not in aside):
                             best = max(best, (p * (math.log2(p / c) - math.log2(bad / n)), (name, at_least, i)))
             if not best[0]:
                 break
@@ -186,7 +187,9 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_l
         worth = max((((2 * (tried[f"p{k}"] or 0) - tried[f"c{k}"]) / tried[f"c{k}"], -k) for k in range(1, len(rule) + 1) if tried[f"c{k}"]), default=(-1.0, 0))
         k = -worth[1]
         if not k or tried[f"p{k}"] < PRECISION * tried[f"c{k}"]:
-            break
+            aside.add(rule[0][:2])  # grown anew from the next best first condition
+            continue
+        aside.clear()
         rules.append(rule[:k])
         left = left & ~met(rule[:k])
     return DecisionList([[(name, at_least, float(steps[name][i])) for name, at_least, i in rule] for rule in rules])
