@@ -315,10 +315,10 @@ WITH RECURSIVE {CRC_TABLE},
     FROM convs c LEFT JOIN placed p ON p.conv_id = c.conv_id GROUP BY c.conv_id),
   steps AS (SELECT conv_id, g, w, unnest(range(len(g) + 1)) AS d FROM lists),
   nodes AS (
-    SELECT array_to_string(g[1:d], '') AS id, d AS depth, array_to_string(g[1:d - 1], '') AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    SELECT array_to_string(g[1:d], '') AS id, d AS depth, min(CASE WHEN d > 0 THEN array_to_string(g[1:d - 1], '') END) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
       coalesce(min(w[d]), 0) AS words, min(g[1:d]) AS path,
       sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(g) = d), '')) AS ends_sha256
-    FROM steps GROUP BY ALL),
+    FROM steps GROUP BY 1, 2),
   kids AS (SELECT parent AS id, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
   known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.id = n.id),
   sums AS (
