@@ -18,7 +18,7 @@ smaller than LEAST_GAP isn't worth a cut document and is padded.
 Tokenization is done once: pieces are a table in the shared folder, with their ids as
 little-endian 32-bit integers. The tokenizer cuts a text into words by a fixed pattern
 before it merges bytes, so ids of a word hang on that word alone; a worker keeps the
-ids of the words it has met, up to CACHE of them, and asks the tokenizer for others.
+ids of the words it met last, up to CACHE of them, and asks the tokenizer for others.
 Texts with characters for which the pattern of two libraries might differ go through
 the tokenizer as they are, in runs that end before a single space between two
 characters that aren't white space, where the pattern always cuts.
@@ -73,16 +73,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class KnownWords(dict):
-    """Ids of the words met so far; a new word is looked up in the tokenizer's model."""
+    """Ids of the words met lately; a new word is looked up in the tokenizer's model."""
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters = model, byte_letters()
+        self.model, self.letters, self.before = model, byte_letters(), {}
 
     def __missing__(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
-        if len(self) >= CACHE:
+        ids = self.before.get(word)
+        if ids is None:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        if 2 * len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
         if len(word) < 64:
             self[word] = ids
@@ -99,6 +102,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = KnownWords(self.tokenizer.model)
+        self.path = path
+
+    def __reduce__(self):
+        return Encoder, (self.path,)
 
     def asked(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -125,8 +132,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     """(doc_id, start, length, doc_tokens, ids) of every document cut at multiples of ``length``."""
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
 
+    sent = docs.sparkSession.sparkContext.broadcast(Encoder(path))  # its path; a worker makes the encoder once, and its words outlive a task
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = sent.value, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, start, total, data = [], [], [], []
             for i, text in enumerate(values(batch.column("text"))):
