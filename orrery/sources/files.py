@@ -1,41 +1,47 @@
 """Files of a directory tree as chunks.
 
-Files come in through Spark's ``binaryFile`` source (any file system, partition
-by partition, filters on path and size before the content is read) and are told
-apart by extension. Text and line formats are cut by Spark expressions; formats
-that need a grammar (Markdown headings, CSV quoting, JSON, Python symbols) pass
-through small parsers in Arrow batches. A table too large for one file's row is
-read with :func:`csv_rows` instead, which Spark splits.
-
-A folder may hold anything. Bytes that aren't UTF-8 are replaced; a file that can't be
-parsed (too large, of an unknown kind, of a kind without a parser here, malformed) gives
-no chunks and one row of :func:`rejected_files`, and stops no other.
+Files come in through Spark's ``binaryFile`` source (any file system, partition by
+partition; files above a size are listed without their content) and pass once through Arrow
+batches: the extension picks a parser, which turns the bytes of one file into sections, or into
+a reason why there are none. Everything after that is Spark expressions on the sections of a
+row: cutting long ones into windows, numbering, chunk ids. Nothing is shuffled.
+
+A table too large for one file's row is read with :func:`csv_rows`, which Spark splits.
+
+A folder may hold anything. Encodings are told from the bytes; a file that can't be
+parsed (too large, of an unknown kind, malformed, empty) gives no chunks and one row with the
+reason, and stops no other.
 """
 
 from __future__ import annotations
 
-import ast
 import csv
 import io
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.structured import _leaves, _levels
 from orrery.functions.text import EXTENSION_LANGUAGE, chunk_id, extension, language_of, serialize_row
-from orrery.operators.chunking import FALLBACK_LINES, MAX_TOKENS, OVERLAP, ROWS_PER_CHUNK, line_windows, packed_paragraphs, windows_of
+from orrery.operators.chunking import FALLBACK_LINES, MAX_TOKENS, OVERLAP, ROWS_PER_CHUNK, windows_of
+from orrery.sources import markdown, office, pdf, symbols
+from orrery.sources.encodings import decoded
 
 MAX_FILE_BYTES = 50 * 2**20
+MAX_SYMBOL_TOKENS = 4096
 #: The parser of each extension.
 PARSERS = {".txt": "txt", ".md": "markdown", ".markdown": "markdown", ".csv": "csv", ".json": "json", ".pdf": "pdf", ".docx": "docling", ".pptx": "docling"} | dict.fromkeys(EXTENSION_LANGUAGE, "code")
-SECTION = "array<struct<text:string,heading_path:string,heading_level:int,symbol_name:string,symbol_type:string,start_line:int,end_line:int,row_range:string,total_rows:int,columns:array<string>,json_shape:string,depth:int,key_count:int,page_number:int,total_pages:int>>"
-FIELDS = re.findall(r"(\w+):(array<string>|\w+)", SECTION.removeprefix("array<struct<"))
-
+SECTION = "struct<text:string,heading_path:string,heading_level:int,symbol_name:string,symbol_type:string,start_line:int,end_line:int,row_range:string,total_rows:int,columns:array<string>,json_shape:string,depth:int,key_count:int,page_number:int,total_pages:int>"
+FIELDS = re.findall(r"(\w+):(array<string>|\w+)", SECTION.removeprefix("struct<"))
+META = [name for name, _ in FIELDS if name != "text"]
+#: Parsers whose sections are never cut into windows: rows, pages, and what is cut already.
+WHOLE = ("csv", "pdf", "code", "txt")
+#: Bytes of files that give one Arrow batch.
+BATCH_BYTES = 16 << 20
 
 #: A parser from the bytes of a file to dicts with a text and, if known, page_number and the like.
 Parser = Callable[[bytes], Iterable[dict]]
@@ -72,7 +78,8 @@ def _grouped(rows: list[str], size: int) -> Iterator[tuple[str, str]]:
 
 
 def _csv(text: str, size: int) -> Iterator[dict]:
-    header, *records = list(csv.reader(io.StringIO(text))) or [[]]
+    csv.field_size_limit(MAX_FILE_BYTES)
+    header, *records = list(csv.reader(io.StringIO(text, newline=""))) or [[]]
     rows = ["; ".join(f"{c}={v}" for c, v in zip(header, r + [""] * (len(header) - len(r)), strict=False)) for r in records if r]
     for part, span in _grouped(rows, size):
         yield {"text": part, "row_range": span, "total_rows": len(rows), "columns": header}
@@ -89,118 +96,50 @@ def _json(text: str, size: int) -> Iterator[dict]:
         yield {"text": "\n".join(f"{k}={v}" for k, v in leaves), "json_shape": "object", "depth": _levels(value), "key_count": len(leaves)}
 
 
-def _markdown(text: str) -> Iterator[dict]:
-    """A section for each heading (``#`` or underlined, outside fenced code), with the path of headings to it."""
-    trail: list[str] = []
-    section: dict = {"heading_path": None, "heading_level": None, "lines": []}
-    fence = None
-
-    def closed() -> Iterator[dict]:
-        body = "\n".join(section["lines"]).strip()
-        if body:
-            yield {"text": body, "heading_path": section["heading_path"], "heading_level": section["heading_level"]}
-
-    lines = text.splitlines()
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        mark = re.match(r"\s{0,3}(```+|~~~+)", line)
-        if mark:
-            fence = None if fence and mark[1].startswith(fence) else fence or mark[1]
-        hashes = re.match(r"\s{0,3}(#{1,6})(?:\s+(.*?))?\s*#*\s*$", line) if not fence else None
-        under = re.match(r"\s{0,3}(=+|-+)\s*$", lines[i + 1]) if not fence and not mark and i + 1 < len(lines) and line.strip() and not hashes else None
-        if hashes or under:
-            yield from closed()
-            level = len(hashes[1]) if hashes else 1 if under[1][0] == "=" else 2
-            title = ((hashes[2] or "") if hashes else line).strip()
-            trail[level - 1 :] = [title]
-            section = {"heading_path": " > ".join(trail[:level]), "heading_level": level, "lines": [title, ""]}
-            i += 1 if hashes else 2
-            continue
-        section["lines"].append(line)
-        i += 1
-    yield from closed()
-
-
-def _python(text: str) -> Iterator[dict]:
-    """Every class and function, nested ones too, in the order of the source."""
-    lines = text.splitlines()
-
-    def walk(node: ast.AST) -> Iterator[dict]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-                kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                yield {"text": "\n".join(lines[child.lineno - 1 : child.end_lineno]), "symbol_name": child.name, "symbol_type": kind, "start_line": child.lineno, "end_line": child.end_lineno}
-            yield from walk(child)
-
-    try:
-        yield from walk(ast.parse(text))
-    except SyntaxError:
-        return
-
-
-def _sections(found: DataFrame, parse: Callable[..., Iterable[dict]], *args, raw: bool = False) -> DataFrame:
-    """``found`` with ``sections`` and ``error``, by a parser from text (or bytes, if ``raw``) to dicts."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-    struct = pa.struct([(name, kinds[kind]) for name, kind in FIELDS])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, errors = [], []
-            for content in batch.column("content"):
-                data, error = content.as_py() or b"", None
-                try:
-                    own = [{name: s.get(name) for name, _ in FIELDS} for s in parse(data if raw else data.decode("utf-8", "replace"), *args)]
-                except Exception as e:  # whatever a parser raises concerns this file alone
-                    own, error = [], f"{type(e).__name__}: {e}"[:500]
-                out.append(own)
-                errors.append(error)
-            yield batch.drop_columns(["content"]).append_column("sections", pa.array(out, pa.list_(struct))).append_column("error", pa.array(errors, pa.string()))
-
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "content")
-    return found.mapInArrow(run, f"{columns}, sections {SECTION}, error string")
-
-
-META = [name for name, _ in FIELDS if name != "text"]
-
-
-def _shown(parsers: Mapping[str, Parser]) -> Callable[[str], Parser]:
-    def of(name: str) -> Parser:
-        return lambda data: (s for s in parsers[name](data) if s["text"].strip())
-
-    return of
-
-
-def _parsed(found: DataFrame, rows_per_chunk: int, parsers: Mapping[str, Parser]) -> dict[str, DataFrame]:
-    """Files of each parser that needs a grammar, with sections and error."""
-    base = found.where("content IS NOT NULL").select("document_id", "path", "filename", "content").withColumn("parser", parser_of(F.col("path")))
-
-    def of(name: str) -> DataFrame:
-        return base.where(F.col("parser") == name)
-
-    out = {"markdown": _sections(of("markdown"), _markdown), "csv": _sections(of("csv"), _csv, rows_per_chunk), "json": _sections(of("json"), _json, rows_per_chunk)}
-    shown = _shown(parsers)
-    return out | {name: _sections(of(name), shown(name), raw=True) for name in sorted(parsers)}
-
-
-def rejected_files(found: DataFrame, parsers: Mapping[str, Parser] | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """(document_id, path, filename, reason) of the files that :func:`parse_files` gives no chunks for, though they may have some."""
-    parsers = parsers or {}
-    own = [n for n in ("pdf", "docling") if n not in parsers]
-    name, ext = parser_of(F.col("path")), extension(F.col("path"))
-    reason = (
-        F.when(name.isNull(), F.concat(F.lit("no parser for "), F.when(ext == "", "a name without extension").otherwise(ext)))
-        .when(F.col("content").isNull(), F.lit("too large"))
-        .when(name.isin(own), F.concat(F.lit("needs a parser of its own: "), name))
-    )
-    keys = ["document_id", "path", "filename"]
-    out = found.select(*keys, reason.alias("reason")).where("reason IS NOT NULL")
-    for rows in _parsed(found, rows_per_chunk, parsers).values():
-        out = out.unionByName(rows.where("error IS NOT NULL").select(*keys, F.concat(F.lit("malformed: "), "error").alias("reason")))
-    return out
-
-
-def parse_files(
+def _windows(words: list[str], size: int, overlap: int) -> Iterator[str]:
+    step, n = size - overlap, len(words)
+    for at in range(0, max(0, -(-(n - size) // step) * step) + 1, step):
+        yield " ".join(words[at : at + size])
+
+
+def _paragraphs(text: str, size: int, overlap: int) -> Iterator[dict]:
+    """Paragraphs packed up to ``size`` words; a longer one is cut into windows."""
+    held: list[str] = []
+    n = 0
+    for paragraph in (p.strip() for p in re.sub(r"\r\n?", "\n", text).split("\n\n")):
+        words = paragraph.split()
+        if held and n + len(words) > size:
+            yield {"text": "\n\n".join(held)}
+            held, n = [], 0
+        if len(words) > size:
+            yield from ({"text": w} for w in _windows(words, size, overlap))
+        elif words:
+            held.append(paragraph)
+            n += len(words)
+    if held:
+        yield {"text": "\n\n".join(held)}
+
+
+def _line_windows(text: str, lines: int) -> Iterator[str]:
+    every = text.splitlines()
+    step = max(lines, 1)
+    yield from filter(None, ("\n".join(every[i : i + step]).strip() for i in range(0, len(every), step)))
+
+
+def _code(text: str, language: str, lines: int) -> Iterator[dict]:
+    """Symbols, the long ones as windows of lines; a file without any as windows of lines."""
+    some = False
+    for symbol in symbols.symbols_of(text, language):
+        some = True
+        if len(symbol["text"].split()) <= MAX_SYMBOL_TOKENS:
+            yield symbol
+        else:
+            yield from (symbol | {"text": w} for w in _line_windows(symbol["text"], lines))
+    if not some:
+        yield from ({"text": w} for w in _line_windows(text, lines))
+
+
+def parsed(
     found: DataFrame,
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
@@ -208,58 +147,88 @@ def parse_files(
     fallback_lines: int = FALLBACK_LINES,
     parsers: Mapping[str, Parser] | None = None,
 ) -> DataFrame:
-    """Chunks of files (document_id, path, filename, content): chunk_id, document_id, filename, parser, chunk_index, language, text, and what the parser knows.
+    """Each file (document_id, path, filename, content) with its parser, encoding, sections, and the reason if it has none.
 
-    PDF ("pdf") and office files ("docling") need parsers of their own, in ``parsers``;
-    one for a name of PARSERS that has a parser here replaces it.
+    A parser in ``parsers`` replaces the one that goes by its name in PARSERS.
     """
-    parsers = parsers or {}
-    base = found.where("content IS NOT NULL").select("document_id", "path", "filename", "content").withColumn("parser", parser_of(F.col("path")))
-    keys = ["document_id", "path", "filename", "parser"]
-    empty = F.from_json(F.lit(None).cast("string"), SECTION.removeprefix("array<")[:-1])
-    decoded = F.make_valid_utf8(F.col("content").cast("string"))
-
-    def pieces(rows: DataFrame) -> DataFrame:
-        """Sections, the long ones cut into windows of words."""
-        one = rows.select(*keys, F.posexplode("sections").alias("s", "meta"))
-        cut = one.select(*keys, "s", "meta", F.posexplode(windows_of(F.col("meta.text"), max_tokens, overlap)).alias("w", "text"))
-        return cut.select(*keys, (F.col("s").cast("long") * 2**31 + F.col("w")).alias("order"), "text", "meta")
-
-    def whole(rows: DataFrame) -> DataFrame:
-        return rows.select(*keys, F.posexplode("sections").alias("order", "meta")).select(*keys, "order", F.col("meta.text").alias("text"), "meta")
-
-    parts = []
-    if "txt" not in parsers:
-        texts = base.where("parser = 'txt'").withColumn("text", decoded)
-        parts.append(packed_paragraphs(texts.select(*keys, "text"), size=max_tokens, overlap=overlap).select(*keys, F.col("chunk_index").alias("order"), F.col("chunk").alias("text"), empty.alias("meta")))
-    if "code" not in parsers:
-        code = base.where("parser = 'code'")
-        python = whole(_sections(code.where(extension(F.col("path")) == ".py"), _python))
-        plain = code.join(python.select("document_id").distinct(), "document_id", "left_anti").withColumn("text", decoded)
-        lines = line_windows(plain.select(*keys, "text"), lines=fallback_lines)
-        parts += [python, lines.select(*keys, F.col("chunk_index").alias("order"), F.col("chunk").alias("text"), empty.alias("meta"))]
-    for name, rows in _parsed(found, rows_per_chunk, parsers).items():
-        parts.append(whole(rows) if name == "csv" else pieces(rows))
-    out = reduce(DataFrame.unionByName, parts)
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("order")) - 1  # the chunks of one file
-    numbered = out.withColumn("chunk_index", index).withColumn("language", F.when(F.col("parser") == "code", language_of(F.col("path"))))
-    return numbered.select(
-        chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "path", "filename", "parser", "chunk_index", "language", F.char_length("text").alias("char_count"), "text", *[F.col(f"meta.{m}").alias(m) for m in META]
-    )
-
-
-def with_parser(found: DataFrame, parse) -> DataFrame:
-    """Files through a parser of your own, for instance of PDF pages: a function from bytes to dicts with a text."""
+    if overlap >= max_tokens:
+        raise ValueError("the overlap has to be smaller than the window")
+    own = dict(parsers or {})
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    struct = pa.struct([(name, kinds[kind]) for name, kind in FIELDS])
+
+    def sections(name: str, language: str | None, data: bytes) -> tuple[Iterable[dict], str | None]:
+        if name in own:
+            return own[name](data), None
+        if name in ("pdf", "docling"):
+            return (pdf if name == "pdf" else office).sections_of(data), None
+        text, encoding = decoded(data)
+        if name == "csv":
+            return _csv(text, rows_per_chunk), encoding
+        if name == "json":
+            return _json(text, rows_per_chunk), encoding
+        if name == "markdown":
+            return markdown.sections_of(text), encoding
+        if name == "code":
+            return _code(text, language, fallback_lines), encoding
+        return _paragraphs(text, max_tokens, overlap), encoding
+
+    names = ["document_id", "path", "filename", "parser", "encoding", "sections", "reason"]
+    schema = pa.schema([(n, pa.list_(struct) if n == "sections" else pa.string()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        size = 0
         for batch in batches:
-            ids, index, texts = [], [], []
-            for doc, content in zip(batch.column("document_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for i, s in enumerate(x for x in parse(content) if x["text"].strip()):
-                    ids.append(doc)
-                    index.append(i)
-                    texts.append(s["text"])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(index, pa.int32()), pa.array(texts, pa.string())], ["document_id", "chunk_index", "text"])
-
-    chunks = found.select("document_id", "content").mapInArrow(run, "document_id string, chunk_index int, text string")
-    return chunks.withColumn("chunk_id", chunk_id(F.col("document_id"), F.col("chunk_index")))
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("document_id", "path", "filename", "parser", "language", "ext", "content")}
+                name, data, language, ext = row["parser"], row.pop("content"), row.pop("language"), row.pop("ext")
+                row |= {"encoding": None, "sections": None, "reason": None}
+                if name is None:
+                    row["reason"] = f"no parser for {ext or 'a name without extension'}"
+                elif data is None:
+                    row["reason"] = "too large"
+                else:
+                    try:
+                        out, row["encoding"] = sections(name, language, data)
+                        row["sections"] = [{k: s.get(k) for k, _ in FIELDS} for s in out if s["text"].strip()]
+                        row["reason"] = None if row["sections"] else "no text"
+                    except Exception as e:  # whatever a parser raises concerns this file alone
+                        row["reason"] = f"malformed: {type(e).__name__}: {e}"[:500]
+                    size += len(data)
+                rows.append(row)
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    name = parser_of(F.col("path"))
+    base = found.select("document_id", "path", "filename", name.alias("parser"), language_of(F.col("path")).alias("language"), extension(F.col("path")).alias("ext"), F.when(name.isNotNull(), F.col("content")).alias("content"))
+    out = base.mapInArrow(run, f"document_id string, path string, filename string, parser string, encoding string, sections array<{SECTION}>, reason string")
+    cut = F.when(F.col("parser").isin(*WHOLE), F.transform("sections", lambda s: F.array(s["text"]))).otherwise(F.transform("sections", lambda s: windows_of(s["text"], max_tokens, overlap)))
+    return out.withColumn("pieces", cut)
+
+
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """Chunks of :func:`parsed` files: chunk_id, document_id, path, filename, parser, encoding, chunk_index, language, char_count, text, and what the parser knows."""
+    each = F.flatten(F.transform("pieces", lambda texts, i: F.transform(texts, lambda t: F.struct(t.alias("text"), i.alias("section")))))
+    keys = ["document_id", "path", "filename", "parser", "encoding"]
+    one = rows.where("sections IS NOT NULL").select(*keys, "sections", F.posexplode(each).alias("chunk_index", "piece")).select(*keys, "chunk_index", "piece.text", F.get("sections", F.col("piece.section")).alias("meta"))
+    return one.select(
+        chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), *keys, "chunk_index", F.when(F.col("parser") == "code", language_of(F.col("path"))).alias("language"), F.char_length("text").alias("char_count"), "text", *[F.col(f"meta.{m}").alias(m) for m in META]
+    )
+
+
+def rejected_of(rows: DataFrame) -> DataFrame:
+    """(document_id, path, filename, reason) of the :func:`parsed` files that have no chunks."""
+    return rows.where("reason IS NOT NULL").select("document_id", "path", "filename", "reason")
+
+
+def parse_files(found: DataFrame, **options) -> DataFrame:
+    """Chunks of files; for chunks and rejected files together, write :func:`parsed` once and take both from it."""
+    return chunks_of(parsed(found, **options))
+
+
+def rejected_files(found: DataFrame, **options) -> DataFrame:
+    return rejected_of(parsed(found, **options))

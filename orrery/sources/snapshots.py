@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """The finished versions: a directory without its success marker is never read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+def _numbered(spark: SparkSession, root: str) -> tuple[list[int], list[int]]:
+    """(finished versions, all that were begun)."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = jvm_path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return []
-    done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")]
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(p.getName()[1:]) for p in done if fs.exists(jvm_path(p, "_SUCCESS")))
+        return [], []
+    every = [s.getPath() for s in fs.listStatus(path) if re.fullmatch(r"v\d+", s.getPath().getName())]
+    return sorted(int(p.getName()[1:]) for p in every if fs.exists(jvm_path(p, "_SUCCESS"))), sorted(int(p.getName()[1:]) for p in every)
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The finished versions: a directory without its success marker is never read."""
+    return _numbered(spark, root)[0]
 
 
 def commit(df: DataFrame, root: str, partition_by: str | None = None) -> int:
-    """Writes ``df`` as the next version; readers see it once it is whole."""
-    version = max(versions(df.sparkSession, root), default=0) + 1
+    """Writes ``df`` as the next version, past all that were begun; readers see it once it is whole."""
+    version = max(_numbered(df.sparkSession, root)[1], default=0) + 1
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions import structured
 from orrery.functions import text as X
 from orrery.operators import chunking as K
-from orrery.sources import files, snapshots
+from orrery.sources import files, snapshots, tables
 from orrery.streaming import ingest, progress, rate_limit
 
 
@@ -124,8 +125,6 @@ def test_files_become_chunks(spark, folder):
     assert files.rejected_files(found).count() == 0
     rows = files.csv_rows(spark, str(folder / "c.csv")).collect()
     assert [r.text for r in rows] == ["name=Alice; age=30", "name=Bob, jr; age="]
-    pages = files.with_parser(found.where("filename = 'a.txt'"), lambda data: [{"text": "p1"}, {"text": " "}, {"text": "p2"}])
-    assert [(r.chunk_index, r.text) for r in pages.orderBy("chunk_index").collect()] == [(0, "p1"), (1, "p2")]
 
 
 def test_a_dirty_folder_stops_nothing(spark, tmp_path):
@@ -133,6 +132,7 @@ def test_a_dirty_folder_stops_nothing(spark, tmp_path):
     (tmp_path / "b.json").write_text("[{")
     (tmp_path / "c.json").write_text(json.dumps([{"i": i} for i in range(30_000)]))
     (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4 page one\fpage two")
+    (tmp_path / "i.txt").write_bytes(b" \n")
     (tmp_path / "e.docx").write_bytes(b"PK")
     (tmp_path / "f.zip").write_bytes(b"PK")
     (tmp_path / "noext").write_bytes(b"x")
@@ -140,11 +140,11 @@ def test_a_dirty_folder_stops_nothing(spark, tmp_path):
     (tmp_path / "h.go").write_bytes(b"// \xff\nok")
     found = files.with_document_id(files.files(spark, str(tmp_path), max_bytes=2_000_000))
     rejects = {r.filename: r.reason for r in files.rejected_files(found).collect()}
-    assert set(rejects) == {"b.json", "d.pdf", "e.docx", "f.zip", "noext", "g.txt"}
-    assert rejects["f.zip"] == "no parser for .zip" and rejects["g.txt"] == "too large" and rejects["d.pdf"] == "needs a parser of its own: pdf" and rejects["b.json"].startswith("malformed")
+    assert set(rejects) == {"b.json", "d.pdf", "e.docx", "f.zip", "noext", "g.txt", "i.txt"}
+    assert rejects["f.zip"] == "no parser for .zip" and rejects["noext"] == "no parser for a name without extension" and rejects["g.txt"] == "too large" and rejects["d.pdf"] == rejects["i.txt"] == "no text" and rejects["b.json"].startswith("malformed")
     chunks = files.parse_files(found).select("filename", "chunk_index", "text").collect()
     assert {r.filename for r in chunks} == {"a.txt", "c.json", "h.go"}
-    assert [r.text for r in chunks if r.filename == "a.txt"] == ["caf\ufffd au lait"]
+    assert [r.text for r in chunks if r.filename == "a.txt"] == ["caf\u00e9 au lait"]
     rows = sorted((r.chunk_index, r.text) for r in chunks if r.filename == "c.json")
     assert len(rows) == 3000 and rows[2999] == (2999, "\n".join(f"i={i}" for i in range(29_990, 30_000)))
 
@@ -157,7 +157,7 @@ def test_a_dirty_folder_stops_nothing(spark, tmp_path):
     parsers = {"pdf": pages, "docling": pages}
     got = files.parse_files(found, parsers=parsers).where("parser = 'pdf'").orderBy("chunk_index").collect()
     assert [(r.text, r.page_number, r.total_pages) for r in got] == [("%PDF-1.4 page one", 1, 2), ("page two", 2, 2)]
-    assert {r.filename: r.reason for r in files.rejected_files(found, parsers).collect()}["e.docx"] == "malformed: ValueError: no PDF"
+    assert {r.filename: r.reason for r in files.rejected_files(found, parsers=parsers).collect()}["e.docx"] == "malformed: ValueError: no PDF"
 
 
 def test_ingest_reports_and_retries(spark, tmp_path):
@@ -165,7 +165,7 @@ def test_ingest_reports_and_retries(spark, tmp_path):
     inbox.mkdir()
     (inbox / "a.txt").write_text("one text")
     (inbox / "b.json").write_text("{")
-    out = {k: str(tmp_path / k) for k in ("chunks", "rejected", "progress", "check")}
+    root, check = str(tmp_path / "tables"), str(tmp_path / "check")
     tries = []
 
     def embed(chunks):
@@ -174,20 +174,54 @@ def test_ingest_reports_and_retries(spark, tmp_path):
             raise OSError("the model isn't there yet")
         return chunks
 
-    stream = ingest.ingest_stream(spark, str(inbox), out["chunks"], out["check"], embed, backoff=0.01, rejected_root=out["rejected"], progress_root=out["progress"])
+    stream = ingest.ingest_stream(spark, str(inbox), root, check, embed, backoff=0.01)
     stream.trigger(availableNow=True).start().awaitTermination()
-    assert len(tries) == 3 and snapshots.current(spark, out["chunks"]).count() == 1
-    assert [r.filename for r in spark.read.parquet(out["rejected"]).collect()] == ["b.json"]
-    assert sorted(r.phase for r in spark.read.parquet(out["progress"]).collect()) == ["done", "embedding", "parsing", "storing"]
+    assert len(tries) == 3 and tables.read(spark, root, "chunks").count() == 1
+    assert [r.filename for r in tables.read(spark, root, "rejected").collect()] == ["b.json"]
+    assert sorted(r.phase for r in tables.read(spark, root, "progress").collect()) == ["done", "embedding", "parsing", "storing"]
+    assert not [p for p in (tmp_path / "tables").iterdir() if p.name.startswith("staged")]
     with pytest.raises(OSError):
         ingest.retried(lambda: embed(tries.clear()), retries=1, backoff=0.01)
 
 
+def test_a_batch_writes_its_own_files_and_counts_once(spark, folder, tmp_path):
+    root = str(tmp_path / "t")
+    ingest.ingest(spark, files.files(spark, str(folder)), root, batch="first")
+    before = {p.name for p in (tmp_path / "t" / "data").iterdir()}
+    n = tables.read(spark, root, "chunks").count()
+    (folder / "b.md").write_text("# Only\n\none")
+    (folder / "d.json").write_text("{")  # malformed now: its chunks go
+    some = files.files(spark, str(folder)).where("filename IN ('b.md', 'd.json')")
+    version = ingest.ingest(spark, some, root, batch="second")
+    assert ingest.ingest(spark, some, root, batch="second") == version == tables.state(spark, root)["version"]
+    new = [p for p in (tmp_path / "t" / "data").iterdir() if p.name not in before and p.name.startswith("chunks-") and "gone" not in p.name]
+    assert len(new) == 1 and spark.read.parquet(str(new[0])).count() == 1
+    after = tables.read(spark, root, "chunks")
+    assert after.count() == n - 4 - 1 + 1
+    assert [r.text for r in after.where("filename = 'b.md'").collect()] == ["Only\n\none"]
+    assert {(r.filename, r.chunk_count, r.job_status) for r in tables.read(spark, root, "documents").where("filename IN ('b.md', 'd.json')").collect()} == {("b.md", 1, "done"), ("d.json", 0, "failed")}
+    assert tables.read(spark, root, "progress").where("batch = 'second'").count() == 4
+    plan = files.parsed(files.with_document_id(files.files(spark, str(folder))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("content#") and plan.count("BinaryFileFormat") + plan.count("binaryFile") <= 4
+
+
+def test_tags_are_folded_and_suggested(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("about whales")
+    found = files.files(spark, str(tmp_path))
+    doc = files.with_document_id(found).first().document_id
+    effective = spark.createDataFrame([(doc, ["sea", "animal"])], "document_id string, tags array<string>")
+    reply = F.when(F.col("prompt").contains("whales"), '[{"name": "Whales ", "confidence": 0.9}, {"name": "sea", "confidence": "1"}, {"name": "fish", "confidence": 0.1}]')
+    ingest.ingest(spark, found, str(tmp_path / "t"), effective=effective, suggest=lambda rows: rows.select("id", reply.alias("reply")))
+    assert [r.tags for r in tables.read(spark, str(tmp_path / "t"), "chunks").collect()] == [["animal", "sea", "whales"]]
+
+
 def test_snapshots_and_corpus(spark, tmp_path):
     root = str(tmp_path / "table")
     assert snapshots.versions(spark, root) == []
     assert snapshots.commit(spark.range(3), root) == 1 and snapshots.commit(spark.range(5), root) == 2
     assert snapshots.current(spark, root).count() == 5
+    os.makedirs(f"{root}/v3")  # a driver was killed while writing it
+    assert snapshots.commit(spark.range(7), root) == 4 and snapshots.current(spark, root).count() == 7
     rows = spark.createDataFrame([("c", '[["k1","d1","text"],["short"],["k2","d2",""]]'), ("bad", "{")], "collection_id string, entries string")
     assert [(r.chunk_id, r.document_id) for r in snapshots.corpus_of_json(rows).collect()] == [("k1", "d1"), ("k2", "d2")]
 
@@ -196,10 +230,37 @@ def test_ingest_stream_is_idempotent(spark, folder, tmp_path):
     root, check = str(tmp_path / "chunks"), str(tmp_path / "check")
     for _ in range(2):
         ingest.ingest_stream(spark, str(folder), root, check).trigger(availableNow=True).start().awaitTermination()
-    assert snapshots.versions(spark, root) == [1]
-    n = snapshots.current(spark, root).count()
+    assert tables.numbers(spark, root) == [1]
+    n = tables.read(spark, root, "chunks").count()
     ingest.ingest(spark, files.files(spark, str(folder)), root)
-    assert snapshots.current(spark, root).count() == n
+    assert tables.read(spark, root, "chunks").count() == n
+
+
+def test_commits_merge_restore_and_survive_a_killed_one(spark, tmp_path):
+    root = str(tmp_path / "t")
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "k string, v int")
+
+    def now(name="a", version=None):
+        return sorted(map(tuple, tables.read(spark, root, name, version).collect()))
+
+    one = tables.commit(spark, root, {"a": tables.Change(rows(("x", 1), ("y", 1), ("y", 2))), "b": tables.Change(rows(("q", 1)))})
+    two = tables.commit(spark, root, {"a": tables.Change(rows(("y", 3)), rows(("y", 0), ("z", 0)), "k")}, batch="m")
+    assert now() == [("x", 1), ("y", 3)] and now(version=one) == [("x", 1), ("y", 1), ("y", 2)]
+    (tmp_path / "t" / "manifests" / f"{two + 1:012d}.json").write_text('{"vers')  # a driver was killed while writing it
+    three = tables.commit(spark, root, {"a": tables.Change(None, rows(("x", 0)), "k")})
+    assert three == two + 2 and now() == [("y", 3)]
+    assert tables.commit(spark, root, {"a": tables.Change(rows(("y", 9)))}, batch="m") == two
+    came, went = tables.changes(spark, root, "a", one)
+    assert sorted(map(tuple, came.collect())) == [("y", 3)] and sorted(map(tuple, went.collect())) == [("x", 1), ("y", 1), ("y", 2)]
+    tables.compact(spark, root, "a")
+    assert now() == [("y", 3)] and now("b") == [("q", 1)] and tables.changes(spark, root, "a", one) is None
+    tables.commit(spark, root, {"a": tables.Change(rows(("w", 5)), rows(("y", 0)), "k")})
+    assert now() == [("w", 5)]
+    tables.restore(spark, root, two)
+    assert now() == [("x", 1), ("y", 3)]
+    assert tables.vacuum(spark, root, keep=1) > 0 and now() == [("x", 1), ("y", 3)]
 
 
 def test_runnable_jobs(spark):
