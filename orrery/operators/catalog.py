@@ -95,3 +95,13 @@ def acknowledgements(acks: DataFrame, expected: DataFrame) -> DataFrame:
 def reading_order(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """Numbers the rows of each key from 0."""
     return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+
+
+def listing(rows: DataFrame, *order: Column, within: str | None = None) -> DataFrame:
+    """``rows`` with ``position`` from 1 in a listing's order, which ends in a unique key; ``within`` each parent, or over all.
+
+    For lists that people look at: workspaces, the collections and tags of one. A list of any length is
+    written with ``orderBy`` instead.
+    """
+    over = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
+    return rows.withColumn("position", F.row_number().over(over.orderBy(*order)))

@@ -13,10 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(rows: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """New rows replace old ones of equal key; equal new rows count once."""
+def _winners(new: DataFrame, keys: Sequence[str], order: Sequence[str] | None, pick) -> DataFrame:
+    """One row of each key: by ``order``, then by all other columns, so that reruns agree."""
+    rest = [c for c in new.columns if c not in keys]
+    by = F.struct(*[F.col(c) for c in [*(order or []), *rest]], F.lit(0))
+    return new.groupBy(*keys).agg(pick(F.struct(*new.columns), by).alias("_row")).select("_row.*") if rest else new.distinct()
+
+
+def upsert(rows: DataFrame, new: DataFrame, key: str | Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """New rows replace old ones of equal key; of new rows of one key the last by ``order``, then by all columns, counts.
+
+    Columns have to be of kinds that can be compared, so no maps.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    fresh = new.dropDuplicates(keys)
+    fresh = _winners(new, keys, order, F.max_by)
     return rows.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -28,11 +38,18 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -
     return joined.withColumn(key, checked).drop("_c", "_v")
 
 
-def insert_unique(rows: DataFrame, new: DataFrame, unique: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(table with what could be inserted, rows that conflict)."""
+def insert_unique(rows: DataFrame, new: DataFrame, unique: Sequence[str], order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table with what could be inserted, rows that conflict, with ``conflict``: "exists" or "repeated").
+
+    Of new rows that clash with each other the first by ``order``, then by all columns, is inserted;
+    equal rows count as one and the rest of them as repeated.
+    """
     keys = list(unique)
-    conflicts = new.join(rows.select(*keys), keys, "left_semi")
-    return rows.unionByName(new.join(rows.select(*keys), keys, "left_anti").dropDuplicates(keys)), conflicts
+    free = new.join(rows.select(*keys), keys, "left_anti")
+    taken = new.join(rows.select(*keys), keys, "left_semi").withColumn("conflict", F.lit("exists"))
+    first = _winners(free, keys, order, F.min_by)
+    again = free.exceptAll(first).withColumn("conflict", F.lit("repeated"))
+    return rows.unionByName(first, allowMissingColumns=True), taken.unionByName(again)
 
 
 def update(rows: DataFrame, key: str, changes: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -93,6 +110,23 @@ def hard_delete(documents: DataFrame, chunks: DataFrame, corpus: DataFrame, jobs
     }
 
 
+def emptied(collections: DataFrame, documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The collections that lost their last document when ``gone`` (document_id, collection_id) went; ``documents`` are those that are left.
+
+    Their vectors are dropped as a whole, so that the next ingestion may use another width.
+    """
+    hit = collections.join(gone.select("collection_id").distinct(), "collection_id", "left_semi")
+    return hit.join(documents.select("collection_id").distinct(), "collection_id", "left_anti")
+
+
+def merge_tag(tags: DataFrame, links: Mapping[str, DataFrame], source: str, target: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(tags without ``source``, every table of links with ``source`` turned into ``target`` and no link twice)."""
+    if source == target:
+        raise ValueError("a tag can't be merged into itself")
+    moved = F.when(F.col("tag_id") == source, F.lit(target)).otherwise(F.col("tag_id"))
+    return tags.where(F.col("tag_id") != source), {k: v.withColumn("tag_id", moved).dropDuplicates(["entity_id", "tag_id"]) for k, v in links.items()}
+
+
 def reindex_document(corpus: DataFrame, chunks: DataFrame, document_id: str) -> DataFrame:
     """The corpus rows of one document made anew from its stored chunks."""
     return corpus.where(F.col("document_id") != document_id).unionByName(chunks.where(F.col("document_id") == document_id).select(*corpus.columns))

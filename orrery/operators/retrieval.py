@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from orrery.functions.text import tokens
+from orrery.sources.shared import stored
 
 #: The constants of BM25Okapi and of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -39,6 +40,8 @@ DEFAULT_TOP_K, MAX_TOP_K, DEFAULT_ALPHA, DEFAULT_FAN_OUT, MAX_FAN_OUT = 5, 20, 0
 DECIMALS = 9
 #: Queries of one pass over the chunks, and those that a task scores together.
 QUERIES, BLOCK = 65_536, 256
+#: Candidates up to which their ids are broadcast to find their texts.
+BROADCAST_PAIRS = 200_000
 
 
 def check_request(top_k: int = DEFAULT_TOP_K, alpha: float = DEFAULT_ALPHA, collections: Sequence[str] = ("",)) -> None:
@@ -177,8 +180,8 @@ def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 def corpus_statistics(corpus: DataFrame) -> DataFrame:
     """(collection_id, term, df, words): the chunks that have a term; the row of no term counts all chunks and their words.
 
-    One pass over the texts and one aggregation with a partial step. A corpus that doesn't
-    change may keep it as a snapshot of its version, and give it to :func:`search`.
+    One pass over the texts and one aggregation with a partial step. :mod:`orrery.operators.index`
+    keeps it by version, for :func:`search`.
     """
     words = corpus.select("collection_id", tokens(F.col("text")).alias("w"))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("long").alias("words")))
@@ -192,20 +195,24 @@ def document_frequencies(statistics: DataFrame) -> DataFrame:
 
 
 def corpus_sizes(statistics: DataFrame) -> DataFrame:
-    """(collection_id, n, avgdl) of :func:`corpus_statistics`; chunks without words count in both.
+    """(collection_id, n, avgdl, and mean_raw if it is kept) of :func:`corpus_statistics`; chunks without words count in both."""
+    kept = ["mean_raw"] if "mean_raw" in statistics.columns else []
+    return statistics.where("term IS NULL").select("collection_id", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"), *kept)
 
-    It is grouped, not filtered, so that it reads the same shuffled table as the frequencies do.
-    """
-    of_all = F.col("term").isNull()
-    sums = statistics.groupBy("collection_id").agg(F.max(F.when(of_all, F.col("df"))).alias("n"), F.max(F.when(of_all, F.col("words"))).alias("words"))
-    return sums.select("collection_id", "n", (F.col("words") / F.col("n")).alias("avgdl"))
+
+def raw_frequency() -> Column:
+    return F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
 
 def inverse_frequencies(counted: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(collection_id, term, df, idf); a negative value becomes EPSILON times the mean over all terms."""
-    raw = counted.join(sizes, "collection_id").withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    floors = raw.groupBy("collection_id").agg((EPSILON * F.avg("raw")).alias("floor"))
-    return raw.join(floors, "collection_id").select("collection_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    """(collection_id, term, df, idf); a negative value becomes EPSILON times the mean over all terms.
+
+    ``counted`` may be the rows of some terms alone where ``sizes`` has the mean.
+    """
+    raw = counted.join(F.broadcast(sizes), "collection_id").withColumn("raw", raw_frequency())  # a row for each collection
+    if "mean_raw" not in sizes.columns:
+        raw = raw.join(raw.groupBy("collection_id").agg(F.avg("raw").alias("mean_raw")), "collection_id")
+    return raw.select("collection_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_terms(query: DataFrame) -> DataFrame:
@@ -222,14 +229,14 @@ def _share() -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
-def bm25(corpus: DataFrame, query: DataFrame) -> DataFrame:
+def bm25(corpus: DataFrame, query: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """(query_id, collection_id, chunk_id, bm25) of every chunk of the corpus, for every query; no hit is 0.0."""
-    terms, statistics = query_terms(query), corpus_statistics(corpus)
+    terms, statistics = query_terms(query), stored(corpus_statistics(corpus), "statistics") if statistics is None else statistics
     sizes = corpus_sizes(statistics)
     few = "query_id" not in query.columns
     asked = terms.select("term").distinct()
     weights = inverse_frequencies(document_frequencies(statistics), sizes).join(F.broadcast(asked) if few else asked, "term", "left_semi")
-    hits = postings(corpus, terms).join(weights, ["collection_id", "term"]).join(sizes, "collection_id")
+    hits = postings(corpus, terms).join(F.broadcast(weights) if few else weights, ["collection_id", "term"]).join(F.broadcast(sizes), "collection_id")
     keys = keys_of(query, "collection_id", "chunk_id")
     scored = hits.groupBy(*keys).agg(F.sum(F.col("times") * F.col("idf") * _share()).alias("bm25"))
     every = corpus.select("collection_id", "chunk_id")
@@ -243,11 +250,13 @@ def bm25_of_pairs(corpus: DataFrame, query: DataFrame, pairs: DataFrame, statist
     texts of the pairs are cut into words again; ``statistics`` may be kept ones."""
     keys = ["query_id", "collection_id", "chunk_id"]
     pairs = pairs.select(*keys).distinct()
-    terms, statistics = query_terms(query), corpus_statistics(corpus) if statistics is None else statistics
+    terms, statistics = query_terms(query), stored(corpus_statistics(corpus), "statistics") if statistics is None else statistics
     sizes = corpus_sizes(statistics)
     asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("q")).select("query_id", F.col("q.term").alias("qt"), F.col("q.times").alias("qn"))
-    own = corpus.join(pairs.select("collection_id", "chunk_id").distinct(), ["collection_id", "chunk_id"], "left_semi")
-    said = postings(own).join(inverse_frequencies(document_frequencies(statistics), sizes), ["collection_id", "term"]).join(sizes, "collection_id")
+    wanted = pairs.select("collection_id", "chunk_id").distinct()
+    own = corpus.join(F.broadcast(wanted) if pairs.count() <= BROADCAST_PAIRS else wanted, ["collection_id", "chunk_id"], "left_semi")
+    said = postings(own).join(terms.select("term").distinct(), "term", "left_semi")
+    said = said.join(inverse_frequencies(document_frequencies(statistics), sizes), ["collection_id", "term"]).join(F.broadcast(sizes), "collection_id")
     said = said.groupBy("collection_id", "chunk_id").agg(F.collect_list(F.struct("term", (F.col("idf") * _share()).alias("w"))).alias("c")).select("collection_id", "chunk_id", F.col("c.term").alias("ct"), F.col("c.w").alias("cw"))
     joined = pairs.join(asked, "query_id").join(said, ["collection_id", "chunk_id"]).select(*keys, "qt", "qn", "ct", "cw")
 
@@ -288,12 +297,15 @@ def fused(candidates: DataFrame, mode: str = "hybrid", alpha: float = DEFAULT_AL
 def fuse_lists(semantic: DataFrame, lexical: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
     """(chunk_id, score, rank) of two ranked lists (chunk_id, rank) that may lack each other's rows.
 
-    The lists are those of one collection and one query, at most a pool of candidates each, so one task ranks them.
+    With query_id or collection_id in them, each query and collection has lists of its own, at
+    most a pool of candidates each, so one task ranks one of them.
     """
-    s, b = semantic.select("chunk_id", F.col("rank").alias("s")), lexical.select("chunk_id", F.col("rank").alias("b"))
+    keys = [c for c in ("query_id", "collection_id") if c in semantic.columns]
+    s, b = semantic.select(*keys, "chunk_id", F.col("rank").alias("s")), lexical.select(*keys, "chunk_id", F.col("rank").alias("b"))
     score = F.coalesce(reciprocal(F.col("s"), alpha), F.lit(0.0)) + F.coalesce(reciprocal(F.col("b"), 1 - alpha), F.lit(0.0))
-    joined = s.join(b, "chunk_id", "full").withColumn("score", score)
-    return joined.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc_nulls_last("b"), F.asc_nulls_last("s")))).select("chunk_id", "score", "rank")
+    joined = s.join(b, [*keys, "chunk_id"], "full").withColumn("score", score)
+    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"), F.asc_nulls_last("b"), F.asc_nulls_last("s"))
+    return joined.withColumn("rank", F.row_number().over(order)).select(*keys, "chunk_id", "score", "rank")
 
 
 def metadata_filter(filters: Mapping[str, object] | None) -> Column:
@@ -362,6 +374,7 @@ def search(
     texts = query.select(*keys_of(query, "query_text"))
     if not many:
         found, texts = (t.withColumn("query_id", F.lit(0).cast("long")) for t in (found, texts))
+    found = stored(found, "candidates")  # k for each query and collection, read twice
     ranked = fused(with_bm25_rank(found, bm25_of_pairs(corpus, texts, found, statistics)), mode, alpha)
     return ranked if many else ranked.drop("query_id")
 

@@ -115,6 +115,20 @@ def graph_nodes(documents: DataFrame, tags: DataFrame, document_tags: DataFrame,
     return file_nodes.unionByName(tag_nodes)
 
 
+def tag_counts(edges: DataFrame, tags: DataFrame) -> DataFrame:
+    """(workspace_id, name, heat, max_heat): how many files carry a tag of a name, and the most that any tag of the workspace has."""
+    heats = edges.groupBy(F.col("target").alias("tag_id")).agg(F.count_distinct("source").alias("heat")).join(tags, "tag_id")
+    named = heats.groupBy("workspace_id", "name").agg(F.max_by("heat", "tag_id").alias("heat"))  # the last of equal names counts
+    top = heats.groupBy("workspace_id").agg(F.max("heat").alias("max_heat"))
+    return named.join(F.broadcast(top), "workspace_id")  # a row for each workspace
+
+
+def tag_count_map(counts: DataFrame) -> DataFrame:
+    """(workspace_id, tag_counts map<name, heat>, max_heat) of :func:`tag_counts`: one row a workspace, as many entries as it has tags."""
+    pairs = F.array_sort(F.collect_list(F.struct("name", "heat")))
+    return counts.groupBy("workspace_id").agg(F.map_from_entries(pairs).alias("tag_counts"), F.max("max_heat").alias("max_heat"))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, neighbours) of each node of either kind: how many nodes it is linked with."""
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orrery.plans import catalog, ingestion, retrieval, texts
+from orrery.plans import catalog, changes, ingestion, retrieval, texts
 
-QUERIES = retrieval.QUERIES | catalog.QUERIES | texts.QUERIES | ingestion.QUERIES
-SQL = retrieval.SQL | catalog.SQL | texts.SQL | ingestion.SQL
+QUERIES = retrieval.QUERIES | catalog.QUERIES | changes.QUERIES | texts.QUERIES | ingestion.QUERIES
+SQL = retrieval.SQL | catalog.SQL | changes.SQL | texts.SQL | ingestion.SQL
 FLAGSHIP = "rrf_hybrid_topk"

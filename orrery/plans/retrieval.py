@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators import index
 from orrery.operators import retrieval as R
 from orrery.plans import model
 
@@ -12,6 +13,12 @@ TOP_K = 5
 POOL = R.pool_size(TOP_K)
 
 
+def _statistics(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Statistics of the corpus by language, or of all of it, kept by the version of its files."""
+    version = index.version_of(spark, f"{sf_dir}/documents.parquet")
+    return index.kept_statistics(spark, f"{version}-{'lang' if corpus is None else 'all'}", lambda: model.corpus(spark, sf_dir) if corpus is None else corpus)
+
+
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = model.table(spark, sf_dir, "embeddings").select(F.lit("all").alias("collection_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     found = R.nearest(chunks, model.query(spark, sf_dir).select("query_vector"), POOL)
@@ -25,12 +32,12 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.bm25(model.corpus(spark, sf_dir), model.query(spark, sf_dir).select("query_text"))
+    found = R.bm25(model.corpus(spark, sf_dir), model.query(spark, sf_dir).select("query_text"), _statistics(spark, sf_dir))
     return found.select("collection_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, mode: str = "hybrid", request: DataFrame | None = None) -> DataFrame:
-    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.query(spark, sf_dir), mode=mode, top_k=TOP_K, request=request)
+    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.query(spark, sf_dir), mode=mode, top_k=TOP_K, request=request, statistics=_statistics(spark, sf_dir))
 
 
 def _shown(results: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def search_filtered_after_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are one collection; the filter on language comes after ranking and may leave too few."""
     everything = model.vectors(spark, sf_dir).withColumn("collection_id", F.lit("all"))
     corpus = model.corpus(spark, sf_dir).withColumn("collection_id", F.lit("all"))
-    ranked = R.search(everything, corpus, model.query(spark, sf_dir), top_k=TOP_K)
+    ranked = R.search(everything, corpus, model.query(spark, sf_dir), top_k=TOP_K, statistics=_statistics(spark, sf_dir, corpus))
     return _shown(R.collection_results(ranked, TOP_K, {"language": "fr"}))
 
 
@@ -102,7 +109,7 @@ def search_under_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked_each(spark: SparkSession, sf_dir: str, mode: str = "hybrid", request: DataFrame | None = None) -> DataFrame:
-    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.queries(spark, sf_dir), mode=mode, top_k=TOP_K, request=request)
+    return R.search(model.vectors(spark, sf_dir), model.corpus(spark, sf_dir), model.queries(spark, sf_dir), mode=mode, top_k=TOP_K, request=request, statistics=_statistics(spark, sf_dir))
 
 
 def _shown_each(results: DataFrame) -> DataFrame:
@@ -117,7 +124,7 @@ def knn_cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_scores_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk for every query, so the rows grow with the square of the input."""
-    found = R.bm25(model.corpus(spark, sf_dir), model.queries(spark, sf_dir).select("query_id", "query_text"))
+    found = R.bm25(model.corpus(spark, sf_dir), model.queries(spark, sf_dir).select("query_id", "query_text"), _statistics(spark, sf_dir))
     return found.select("query_id", "collection_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -136,7 +143,7 @@ def search_bm25_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_filtered_after_rank_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = model.vectors(spark, sf_dir).withColumn("collection_id", F.lit("all"))
     corpus = model.corpus(spark, sf_dir).withColumn("collection_id", F.lit("all"))
-    ranked = R.search(everything, corpus, model.queries(spark, sf_dir), top_k=TOP_K)
+    ranked = R.search(everything, corpus, model.queries(spark, sf_dir), top_k=TOP_K, statistics=_statistics(spark, sf_dir, corpus))
     return _shown_each(R.collection_results(ranked, TOP_K, {"language": "fr"}))
 
 
@@ -199,10 +206,10 @@ def search_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ranked lists of documents that share only some of their rows."""
-    ids = model.table(spark, sf_dir, "documents").where("doc_id <= 60").select("doc_id")
-    lists = [ids.where(f"doc_id % {m} = 0").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") / m).cast("int").alias("rank")) for m in (2, 3)]
-    return R.fuse_lists(*lists).select("chunk_id", F.round("score", 9).alias("score"), "rank")
+    """Two ranked lists for each sixty documents, which share only some of their rows."""
+    ids = model.table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 60).alias("query_id"), (F.col("doc_id") % 60 + 1).alias("i"))
+    lists = [ids.where(f"i % {m} = 0").select("query_id", F.col("doc_id").alias("chunk_id"), (F.col("i") / m).cast("int").alias("rank")) for m in (2, 3)]
+    return R.fuse_lists(*lists).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 def _sql(group: str, tail: str, corpus: str = "true") -> str:
@@ -249,9 +256,10 @@ SQL = {
     "search_effective_mode": "SELECT 'partial' AS corpus, 'semantic_only' AS mode UNION ALL SELECT 'whole', CASE WHEN count(DISTINCT lang) FILTER (WHERE lang IN ('fr', 'en', 'de', 'es')) = 4 THEN 'hybrid' ELSE 'semantic_only' END FROM documents",
     "search_requested": "SELECT ordinal, c AS collection_id FROM (VALUES (0, 'fr'), (1, 'xx'), (2, 'en'), (3, 'fr')) AS r(ordinal, c) WHERE c IN (SELECT lang FROM documents)",
     "fused_lists": """
-WITH s AS (SELECT doc_id, doc_id / 2 AS s FROM documents WHERE doc_id <= 60 AND doc_id % 2 = 0), b AS (SELECT doc_id, doc_id / 3 AS b FROM documents WHERE doc_id <= 60 AND doc_id % 3 = 0),
-f AS (SELECT coalesce(s.doc_id, b.doc_id) AS chunk_id, s, b, coalesce(0.7::DOUBLE * (1.0::DOUBLE / (60 + s)), 0) + coalesce(0.30000000000000004::DOUBLE * (1.0::DOUBLE / (60 + b)), 0) AS score FROM s FULL JOIN b ON s.doc_id = b.doc_id)
-SELECT chunk_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, b NULLS LAST, s NULLS LAST) AS rank FROM f""",
+WITH i AS (SELECT doc_id, doc_id // 60 AS query_id, doc_id % 60 + 1 AS i FROM documents),
+s AS (SELECT query_id, doc_id, i / 2 AS s FROM i WHERE i % 2 = 0), b AS (SELECT query_id, doc_id, i / 3 AS b FROM i WHERE i % 3 = 0),
+f AS (SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.doc_id, b.doc_id) AS chunk_id, s, b, coalesce(0.7::DOUBLE * (1.0::DOUBLE / (60 + s)), 0) + coalesce(0.30000000000000004::DOUBLE * (1.0::DOUBLE / (60 + b)), 0) AS score FROM s FULL JOIN b ON s.doc_id = b.doc_id)
+SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b NULLS LAST, s NULLS LAST) AS rank FROM f""",
     "knn_cosine_topk": f"""
 WITH qv AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 7),
 s AS (SELECT vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), v)

@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a temporary one only on one machine without it."""
+def shared_root(spark: SparkSession) -> str:
+    """This session's own folder in the one that ``spark.checkpoint.dir`` names; a temporary one only on one machine without it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
