@@ -177,16 +177,20 @@ def hub_pairs(members: DataFrame, percent: int, turn: int) -> DataFrame:
 def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b), a > b: pairs of a list in different components that can reach the similarity.
 
-    Sizes of such a pair differ by the similarity at most, so they lie in neighbouring
-    bands of a log scale, and pairs are made within those alone. ``room`` bounds what a
-    text can have in common with another of the list, and so the similarity of a pair,
-    before the pair is made.
+    ``room`` bounds what a text can have in common with another of the list, and so the
+    similarity of a pair, before the pair is made. A list of up to LONG members is joined as it
+    is; in longer ones, sizes of such a pair differ by the similarity at most, so they lie in
+    neighbouring bands of a log scale, and pairs are made within those alone.
     """
     band = F.floor(F.ln("n") / math.log(100 / min(percent, 99))).cast("int")
-    one = members.where("NOT in_main").select("v", F.explode(F.sequence(band - 1, band + 1)).alias("band"), F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("mx"))
-    two = members.select(F.col("v").alias("w"), band.alias("band_y"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("my"), "in_main")
-    can = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
-    pairs = one.join(two, (F.col("v") == F.col("w")) & (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & can & (F.col("in_main") | (F.col("x") > F.col("y"))))
+    named = members.select("v", "whole", "in_main", band.alias("band"), "node", "c", "n", "room")
+    outside = named.where("NOT in_main").toDF("v", "wx", "main_x", "band", "x", "cx", "nx", "mx")
+    every = named.toDF("w", "wy", "main_y", "band_y", "y", "cy", "ny", "my")
+    can = (F.col("cx") != F.col("cy")) & ((100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))) & (F.col("main_y") | (F.col("x") > F.col("y")))
+    short = outside.where(F.col("wx") <= LONG).join(every.where(F.col("wy") <= LONG), (F.col("v") == F.col("w")) & can)
+    spread = outside.where(F.col("wx") > LONG).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    long = spread.join(every.where(F.col("wy") > LONG), (F.col("v") == F.col("w")) & (F.col("band") == F.col("band_y")) & can)
+    pairs = short.select("x", "y").unionByName(long.select("x", "y"))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
