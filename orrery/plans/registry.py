@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orrery.plans import catalog, changes, ingestion, retrieval, texts, vectors
+from orrery.plans import catalog, changes, ingestion, retrieval, streams, texts, vectors
 
-QUERIES = retrieval.QUERIES | catalog.QUERIES | changes.QUERIES | texts.QUERIES | ingestion.QUERIES | vectors.QUERIES
-SQL = retrieval.SQL | catalog.SQL | changes.SQL | texts.SQL | ingestion.SQL | vectors.SQL
+QUERIES = retrieval.QUERIES | catalog.QUERIES | changes.QUERIES | texts.QUERIES | ingestion.QUERIES | streams.QUERIES | vectors.QUERIES
+SQL = retrieval.SQL | catalog.SQL | changes.SQL | texts.SQL | ingestion.SQL | streams.SQL | vectors.SQL
 FLAGSHIP = "rrf_hybrid_topk"
