@@ -28,9 +28,9 @@ bytes; instead, only those are sorted that can be repeated.
 (doc_id, place); without it, every copy goes.
 
 Defined cases: a null text has no bytes; texts shorter than L keep all; equal rows
-are copies of each other (with ``keep_first``, both keep what the first keeps); of
-different texts under one id, each loses the stretches found in any of them; rows
-without an id take part like others, under a hash of their text; an empty table gives
+are copies of each other (with ``keep_first``, both keep what the first keeps); texts
+under one id are judged each by itself, and rows without an id take part like others,
+both under a hash of id and text; an empty table gives
 an empty result; only doc_id and text are read, so other columns can't clash. A text
 is held in a task as a whole, as any row is; its entries are found in runs of bounded
 length. Classes rest on 64 bits of the anchor and 64 of the context: that two of 10^15
@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import BYTE, STEP, U64, mixed
-from orrery.llm.support import cut, small_batches, values, written
+from orrery.llm.support import by_ids, cut, small_batches, values, written
 
 L, G = 200, 100
 #: Contexts of an anchor that one task puts in order.
@@ -209,15 +209,23 @@ def _sized(rows: DataFrame, found: DataFrame, how: str, parts: str) -> DataFrame
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, text): doc_id is ``own``, or a hash of the text where that is null."""
-    own = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(own, F.xxhash64("text")).alias("doc_id"), own.alias("own"), "text")
+    """(doc_id, own, text): doc_id is ``own``, or a hash of id and text where that is null or several texts have it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), "text")
+    h = F.xxhash64("text")
+    shared = cut(rows.where("own IS NOT NULL").groupBy("own").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("own", F.lit(True).alias("shared")))
+    marked = by_ids(rows, shared, "left", "own")
+    return marked.select(F.when(F.col("own").isNull() | F.col("shared"), F.xxhash64("own", "text")).otherwise(F.col("own")).alias("doc_id"), "own", "text")
 
 
 def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): the disjoint repeated stretches of each text that has any (ids as in :func:`keyed`)."""
-    small_batches(docs.sparkSession)
-    texts = keyed(docs).select("doc_id", "text")
+    return _spans(keyed(docs), length, gram, keep_first, hot)
+
+
+def _spans(rows: DataFrame, length: int, gram: int, keep_first: bool, hot: int) -> DataFrame:
+    """:func:`repeated_spans` of :func:`keyed` rows."""
+    small_batches(rows.sparkSession)
+    texts = rows.select("doc_id", "text")
     every = written(entries(texts, length, gram), "entries")
     # what is joined on an anchor is a table of its own, so that Spark can split the entries of a frequent one
     often = cut(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
@@ -318,7 +326,8 @@ def repeated_spans(docs: DataFrame, length: int = L, gram: int = G, keep_first:
 
 def removal_report(docs: DataFrame, length: int = L, gram: int = G, keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    spans = repeated_spans(docs, length, gram, keep_first, hot)
+    rows = keyed(docs)
+    spans = _spans(rows, length, gram, keep_first, hot)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +342,7 @@ def removal_report(docs: DataFrame, length: int = L, gram: int = G, keep_first:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _sized(keyed(docs), spans, "left", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _sized(rows, spans, "left", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 SQL = """

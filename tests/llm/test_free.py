@@ -452,3 +452,14 @@ def test_removals_of_nothing_and_repeated_rows(spark):
     alone = frame(spark, [(1, "other"), (None, text), (2, text[20:]), (None, None)])
     assert sorted((str(r.doc_id), r.n_removed) for r in substrings.removal_report(alone).collect()) == [("1", 0), ("2", len(text) - 20), ("None", 0), ("None", len(text) - 20)]
     assert substrings.removal_report(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_keep_what_is_not_a_copy(spark):
+    rng = random.Random(12)
+    text, other = prose(rng, 120), prose(rng, 100, [f"o{i}" for i in range(300)])
+    rows = [(1, text), (2, text), (1, other), (None, other[:150]), (3, other + " tail of its own")]
+    out = {(r.doc_id, r.n_bytes): r.n_removed for r in substrings.removal_report(frame(spark, rows)).collect()}
+    assert out[(1, len(text))] == out[(2, len(text))] == len(text)
+    assert out[(1, len(other))] == len(other) and out[(3, len(other) + 16)] == len(other) and out[(None, 150)] == 0
+    alone = {(r.doc_id, r.n_bytes): r.n_removed for r in substrings.removal_report(frame(spark, rows[:3])).collect()}
+    assert alone == {(1, len(text)): len(text), (2, len(text)): len(text), (1, len(other)): 0}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -123,6 +125,82 @@ def test_decision_list_learns_junk(spark):
     assert quality_rules.quality_report(docs.limit(0), labels).count() == 0
 
 
+def test_decision_list_goes_on_after_an_imprecise_rule(spark):
+    """The best first condition (long words) is imprecise on the held-back third; the symbols behind it are not."""
+    columns = [*quality_rules.features()]
+
+    def row(i, words, chars, symbols):
+        return (i, words, chars * words, symbols, 0, 10, 0)
+
+    good = [row(i, 100, 5, 0) for i in range(150)] + [row(1000 + i, 100, 8, 0) for i in range(9)]
+    bad = [row(2000 + i, 100, 8, 0) for i in range(12)] + [row(3000 + i, 100, 5, 60) for i in range(40)]
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+    stats = spark.createDataFrame(good + bad, schema)
+    labels = spark.createDataFrame([(r[0], 1) for r in good] + [(r[0], 0) for r in bad], "doc_id long, quality int")
+    found = quality_rules.learn(stats, labels)
+    assert any(name == "symbols_per_word" and at_least for rule in found.rules for name, at_least, _ in rule), str(found)
+    covered = {r.doc_id for r in stats.where(found.column().isNotNull()).collect()}
+    assert {r[0] for r in bad[12:]} <= covered and not covered & {r[0] for r in good[:150]}
+    assert set(n for rule in found.rules for n, _, _ in rule) <= set(columns)
+
+
+def test_decision_list_covers_as_a_plain_one(spark):
+    """Sequential covering in plain Python, on the same rows, bins and thirds."""
+    rng = random.Random(8)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+    rows = []
+    for i in range(260):
+        junk = rng.random() < 0.3
+        words = rng.randint(20, 400)
+        rows.append((i, words, words * rng.randint(3, 6), rng.randint(0, 8) + (words // 2 if junk and rng.random() < 0.7 else 0), rng.randint(0, 3), rng.randint(4, 9), words // 2 if junk and rng.random() < 0.4 else rng.randint(0, 4), junk))
+    stats = spark.createDataFrame([r[:-1] for r in rows], schema)
+    labels = spark.createDataFrame([(r[0], 0 if r[-1] else 1) for r in rows], "doc_id long, quality int")
+    found = quality_rules.learn(stats, labels)
+    parts = stats.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("grow"), *[c.alias(k) for k, c in quality_rules.features().items()]).collect()
+    bad = {r[0]: r[-1] for r in rows}
+    names = list(quality_rules.features())
+
+    def quantile(values, q):
+        at = q * (len(values) - 1)
+        low = int(at)
+        return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+
+    steps = {k: sorted({quantile(sorted(r[k] for r in parts if bad[r.doc_id] == c), q) for c in (True, False) for q in quality_rules.QUANTILES}) for k in names}
+    met = lambda r, rule: all((r[n] >= t) == at_least for n, at_least, t in rule)
+    left, rules, aside = list(parts), [], set()
+    while True:
+        rule = []
+        while True:
+            here = [r for r in left if r.grow and met(r, rule)]
+            p0 = sum(bad[r.doc_id] for r in here)
+            if not p0 or p0 == len(here):
+                break
+            best = (0.0, ("", True, 0))
+            for name in names:
+                for i, t in enumerate(steps[name]):
+                    for at_least in (True, False):
+                        c = [r for r in here if (r[name] >= t) == at_least]
+                        p = sum(bad[r.doc_id] for r in c)
+                        if p >= quality_rules.LEAST_COVER and (rule or (name, at_least) not in aside):
+                            best = max(best, (p * (math.log2(p / len(c)) - math.log2(p0 / len(here))), (name, at_least, i)))
+            if not best[0]:
+                break
+            name, at_least, i = best[1]
+            rule.append((name, at_least, steps[name][i]))
+        if not rule:
+            break
+        held = [[bad[r.doc_id] for r in left if not r.grow and met(r, rule[:k])] for k in range(len(rule) + 1)]
+        worth = max((((2 * sum(h) - len(h)) / len(h), -k) for k, h in enumerate(held) if k and h), default=(-1.0, 0))
+        k = -worth[1]
+        if not k or sum(held[k]) < quality_rules.PRECISION * len(held[k]):
+            aside.add(rule[0][:2])
+            continue
+        aside.clear()
+        rules.append(rule[:k])
+        left = [r for r in left if not met(r, rule[:k])]
+    assert rules and [[(n, g, round(t, 9)) for n, g, t in r] for r in found.rules] == [[(n, g, round(t, 9)) for n, g, t in r] for r in rules]
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
