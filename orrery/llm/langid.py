@@ -9,10 +9,10 @@ text the cells it has, and how often), and its product with the dense matrix giv
 the scores of all its texts. The score is the posterior of the language, with
 equal priors.
 
-``MAX_TRAINING`` bounds the texts that the counts come from (a seeded sample by a
-hash of the id; texts are read whole). ``MAX_LANGUAGES`` bounds the matrix: of more
-labels than that, those with the most training texts are learned (ties by code
-point), so a column of dirty labels doesn't stop a job.
+``MAX_TRAINING`` bounds the texts that the counts come from: an equal share for each
+label, or all that a rare one has, drawn by a hash of the id; texts are read whole. All
+labels are learned: LANGUAGES of them make one matrix, more make further ones, and a text
+passes through them one after the other with its best language so far and the sum of all.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as
 are all texts if there is nothing to learn from; a null id is neither held out nor
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import cut, small_batches, values
+from orrery.llm.support import BROADCAST_IDS, cut, small_batches, unit_hash, values, written
 
 BUCKETS = 1 << 15
 MAX_TRAINING = 20_000
-MAX_LANGUAGES = 500
+#: Languages of one matrix; more make further matrices.
+LANGUAGES = 500
 #: Characters that are looked at together, and numbers that one step of the product holds.
 BLOCK, STEP = 1 << 18, 1 << 21
 KNUTH = np.uint32(2654435761)
@@ -142,50 +143,72 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, max_training: int = MAX_TRAINING, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix of log-probabilities (cells x languages), from (doc_id, text, lang)."""
+Model = list[tuple[list[str], np.ndarray]]
+
+
+def learn(docs: DataFrame, max_training: int = MAX_TRAINING, languages: int = LANGUAGES) -> Model:
+    """Blocks of languages, each with its matrix of log-probabilities (cells x languages), from (doc_id, text, lang).
+
+    Of more texts than ``max_training``, each language gives an equal share, or all it has.
+    """
     ready = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    n = ready.select("doc_id").count()
-    if n > max_training:
-        ready = ready.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * max_training / n))
-    common = cut(ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages))  # the bound of the matrix
-    found = counts(ready.join(F.broadcast(common.select("lang")), "lang", "left_semi")).toPandas()  # at most max_languages x BUCKETS rows
-    names = sorted(found["lang"].unique())
-    matrix = np.full((BUCKETS, len(names)), 0.5)
-    for i, name in enumerate(names):
-        own = found[found["lang"] == name]
-        matrix[own["cell"].to_numpy(), i] += own["n"].to_numpy()
-    return names, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
-
-
-def predict(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score of every row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # BUCKETS x languages, whatever the input
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logs = folding(), shared.value
-        for batch in batches:
-            langs, scores = [], []
-            for at in range(0, batch.num_rows, 256):
-                codes = [folded(t, table) for t in values(batch.column("text").slice(at, 256))]
-                lettered = [bool(names) and bool((c != 32).any()) for c in codes]
-                if not names:
-                    langs += ["und"] * len(codes)
-                    scores += [0.0] * len(codes)
-                    continue
-                total = product(len(codes), (sparse(*p) for p in stretches(codes)), logs)
-                best = total.argmax(axis=1)
-                chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                langs += [names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
-                scores += np.where(lettered, chance, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    sizes = cut(ready.groupBy("lang").agg(F.count("*").alias("n")))
+    total, every = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if total > max_training:
+        shares = ready.join(F.broadcast(sizes) if every <= BROADCAST_IDS else sizes, "lang")
+        ready = shares.where(unit_hash("doc_id", F.lit(11)) < F.lit(max_training / every) / F.col("n")).drop("n")
+    counted = written(counts(ready), "cells")
+    names = sorted(r["lang"] for r in counted.select("lang").distinct().toLocalIterator())  # labels, not rows
+    model: Model = []
+    for at in range(0, len(names), languages):
+        own = names[at : at + languages]
+        place = {name: i for i, name in enumerate(own)}
+        found = counted.where(F.col("lang").between(own[0], own[-1])).toPandas()  # at most ``languages`` x BUCKETS rows
+        matrix = np.full((BUCKETS, len(own)), 0.5)
+        matrix[found["cell"].to_numpy(), found["lang"].map(place).to_numpy()] += found["n"].to_numpy()
+        model.append((own, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)))
+    return model
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score of every row of (doc_id, text).
+
+    One pass of Arrow batches for each block of languages, within one stage; a row carries
+    the best language so far, its log-probability, and the sum of all.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit("und").alias("lang_pred"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("every"))
+
+    def scored(rows: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(matrix)  # BUCKETS x LANGUAGES at most
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, logs = folding(), shared.value
+            for batch in batches:
+                langs, tops, sums = [], [], []
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    codes = [folded(t, table) for t in values(part.column("text"))]
+                    lettered = np.array([bool((c != 32).any()) for c in codes], bool)
+                    total = product(len(codes), (sparse(*p) for p in stretches(codes)), logs)
+                    best, top = total.argmax(axis=1), total.max(axis=1)
+                    every = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
+                    old, before = part.column("top").to_numpy(zero_copy_only=False), part.column("every").to_numpy(zero_copy_only=False)
+                    newer = np.isnan(old) | (top > old)
+                    langs += [(names[b] if new else was) if ok else "und" for b, new, was, ok in zip(best, newer, part.column("lang_pred").to_pylist(), lettered, strict=True)]
+                    tops += np.where(lettered, np.where(newer, top, old), np.nan).tolist()
+                    sums += np.where(lettered, np.where(np.isnan(before), every, np.logaddexp(np.nan_to_num(before), every)), np.nan).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(langs, pa.string()), pa.array(tops, from_pandas=True), pa.array(sums, from_pandas=True)], ["doc_id", "text", "lang_pred", "top", "every"])
+
+        return rows.mapInArrow(score, "doc_id long, text string, lang_pred string, top double, every double")
+
+    for names, matrix in model:
+        rows = scored(rows, names, matrix)
+    return rows.select("doc_id", "lang_pred", F.least(F.lit(1.0), F.coalesce(F.exp(F.col("top") - F.col("every")), F.lit(0.0))).alias("score"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; what is held out is not learned from."""
     small_batches(docs.sparkSession)
-    names, matrix = learn(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
-    found = predict(docs, names, matrix)
+    found = predict(docs, learn(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

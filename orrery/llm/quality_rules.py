@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import cut, words_of
+from orrery.llm.support import cut, sampled, words_of
 
 MAX_LABELLED = 100_000
 #: A rule has to be right for so many of the rows it covers, and cover so many.
@@ -123,9 +123,7 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_l
     """A list that tells rows labelled 0 from the others."""
     names = list(features())
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("label"))
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < math.floor(1e6 * max_labelled / n))
+    known = sampled(known, known.count(), max_labelled, 5)
     rows = cut(
         stats.join(known, "doc_id").select(
             *[c.alias(k) for k, c in features().items()],

@@ -66,6 +66,11 @@ def values(column: pa.Array, run: int = 256) -> Iterator:
         yield from column.slice(at, run).to_pylist()
 
 
+def sampled(rows: DataFrame, n: int, most: int, seed: int) -> DataFrame:
+    """Of n rows about ``most``, drawn by 53 bits of a hash of the id, so that any share can be drawn."""
+    return rows.where(unit_hash("doc_id", F.lit(seed)) < F.lit(most / n)) if n > most else rows
+
+
 #: A set of ids is broadcast up to so many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 

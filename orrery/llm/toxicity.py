@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.support import by_ids, cut, small_batches, values
+from orrery.llm.support import by_ids, cut, sampled, small_batches, values
 
 MAX_LABELLED = 20_000
 #: A word counts if the chance of so large an excess is below about 1 in 10^7 and so many texts have it.
@@ -137,9 +137,7 @@ def fit(texts: list[list[int]], grades: list[int], words: list[str], ridge: floa
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> OrdinalModel | None:
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("label"))
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
+    known = sampled(known, known.count(), max_labelled, 7)
     labelled = by_ids(docs.select("doc_id", "text"), cut(known), "inner")
     rows = cut(labelled.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.greatest(F.max(F.col("label").cast("int")), F.lit(0)).alias("grade")))  # a copy shows nothing new
     words = vocabulary(rows)

@@ -115,11 +115,11 @@ def test_counts_probabilities_and_posterior_against_plain_python(spark, monkeypa
         seen.setdefault(lang, Counter()).update(grams(t))
     found = {(r.lang, r.cell): r.n for r in langid.counts(docs).collect()}
     assert found == {(lang, c): n for lang, cells in seen.items() for c, n in cells.items()}
-    names, matrix = langid.learn(docs)
+    [(names, matrix)] = langid.learn(docs)
     assert names == ["aa", "bb", "cc"]
     log = [[math.log((seen[lang][c] + 0.5) / (sum(seen[lang].values()) + 0.5 * langid.BUCKETS)) for c in range(langid.BUCKETS)] for lang in names]
     assert abs(matrix.T - log).max() < 1e-5
-    for r in langid.predict(docs, names, matrix).collect():
+    for r in langid.predict(docs, [(names, matrix)]).collect():
         sums = [sum(n * log[k][c] for c, n in Counter(grams(texts[r.doc_id][1])).items()) for k in range(3)]
         if not any(c.isalpha() for c in texts[r.doc_id][1]):
             assert (r.lang_pred, r.score) == ("und", 0.0)
@@ -128,11 +128,32 @@ def test_counts_probabilities_and_posterior_against_plain_python(spark, monkeypa
 
 
 def test_dirty_labels_and_equal_scores(spark):
-    rows = [(i, "lorem ipsum dolor", f"junk{i}", "s") for i in range(40)] + [(100 + i, "lorem ipsum dolor", ("bb", "aa")[i % 2], "s") for i in range(40)]
+    rows = [(i, "lorem ipsum dolor", f"junk{i:02d}", "s") for i in range(12)] + [(100 + i, "lorem ipsum dolor", ("bb", "aa")[i % 2], "s") for i in range(40)]
     docs = spark.createDataFrame(rows, DOC)
-    names, matrix = langid.learn(docs, max_languages=2)
-    assert names == ["aa", "bb"]
-    assert {r.lang_pred for r in langid.predict(docs, names, matrix).collect()} == {"aa"}
+    model = langid.learn(docs, languages=6)
+    assert [len(names) for names, _ in model] == [6, 6, 2] and model[0][0][:2] == ["aa", "bb"]
+    assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"aa"}
+    assert {r.lang_pred for r in langid.predict(docs, []).collect()} == {"und"}
+
+
+def test_blocks_of_languages_agree_with_one_matrix(spark):
+    rng = random.Random(14)
+    words = {lang: [f"{lang}{rng.choice('aeiou')}{rng.choice('mnrst')}{k}" for k in range(30)] + ["und", "the"] for lang in ("ba", "de", "fi", "ko", "zu")}
+    rows = [(i, None if i == 3 else "12" if i == 4 else prose(rng, rng.randint(1, 30), words[lang]), lang, "s") for i, lang in enumerate(list(words) * 12)]
+    docs = spark.createDataFrame(rows, DOC)
+    one, parts = langid.learn(docs), langid.learn(docs, languages=2)
+    assert (len(one), len(parts)) == (1, 3)
+    a, b = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, m).collect()} for m in (one, parts))
+    assert {k: v[0] for k, v in a.items()} == {k: v[0] for k, v in b.items()} and all(a[k][1] == pytest.approx(b[k][1], abs=1e-6) for k in a)
+
+
+def test_rare_labels_are_learned_and_any_share_can_be_drawn(spark):
+    rows = [(i, f"frequent words {i % 7} again", "xx", "s") for i in range(3000)] + [(5000 + i, "selten gesagt", "yy", "s") for i in range(3)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = langid.learn(docs, max_training=200)
+    assert model[0][0] == ["xx", "yy"]
+    drawn = support.sampled(spark.range(2_000_000).withColumnRenamed("id", "doc_id"), 10**11, 10**7, 7).count()  # a share of 1 in 10^4
+    assert 100 < drawn < 320
 
 
 # Toxicity
