@@ -8,20 +8,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import stored
+
 MAX_TOKENS, OVERLAP, ROWS_PER_CHUNK, FALLBACK_LINES = 512, 64, 10, 50
 
 
 def row_groups(rows: DataFrame, key: str, order: str, text: str = "text", size: int = ROWS_PER_CHUNK) -> DataFrame:
-    """(key, chunk_index, row_range, total_rows, text): ``size`` rows a chunk, in order."""
+    """(key, chunk_index, row_range, total_rows, text): ``size`` rows a chunk, in order.
+
+    A key's rows are dealt by a range exchange, numbered slice by slice after the counted rows of the
+    key's slices before, and gathered by chunk, so a key of any number of rows is many tasks.
+    """
     if size < 1:
         raise ValueError("a chunk has at least one row")
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-    totals = rows.groupBy(key).agg(F.count("*").alias("total_rows"))
-    groups = numbered.groupBy(key, F.floor(F.col("_i") / size).cast("int").alias("chunk_index")).agg(
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = stored(rows.select(key, order, text).repartitionByRange(parts, key, order).withColumn("_slice", F.spark_partition_id()), "slices")
+    sums = dealt.groupBy(key, "_slice").agg(F.count("*").alias("n"))  # a row for each key and slice
+    before = Window.partitionBy(key).orderBy("_slice")
+    offsets = sums.select(key, "_slice", (F.sum("n").over(before) - F.col("n")).alias("_before"), F.sum("n").over(Window.partitionBy(key)).alias("total_rows"))
+    numbered = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_slice").orderBy(order)) - 1).join(offsets, [key, "_slice"]).withColumn("_i", F.col("_place") + F.col("_before"))
+    return numbered.groupBy(key, F.floor(F.col("_i") / size).cast("int").alias("chunk_index")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(text).alias("t")))), lambda x: x["t"]), "\n").alias("text"),  # at most ``size`` rows
         F.concat_ws("-", F.min("_i").cast("string"), F.max("_i").cast("string")).alias("row_range"),
+        F.max("total_rows").alias("total_rows"),
     )
-    return groups.join(totals, key)
 
 
 def _pieces(units: Column, starts: Column, size: int, separator: str) -> Column:
@@ -85,6 +95,21 @@ def token_windows(texts: DataFrame, tokenizer_file: str, text: str = "text", siz
     return texts.select(*texts.columns, F.posexplode(cut(text)).alias("chunk_index", "chunk"))
 
 
+def token_counts(texts: DataFrame, tokenizer_file: str, text: str = "text") -> DataFrame:
+    """Adds n_tokens: how many tokens a public tokenizer file (tokenizer.json) makes of each text; a null text has none."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokenizer.encode_special_tokens = True
+        for batch in batches:
+            yield batch.map(lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) if t else 0)
+
+    return texts.withColumn("n_tokens", count(text))
+
+
 def packed_paragraphs(texts: DataFrame, text: str = "text", size: int = MAX_TOKENS, overlap: int = OVERLAP, separator: str = "\n\n") -> DataFrame:
     """Adds chunk_index and chunk: paragraphs packed up to ``size`` words; a longer one is cut into windows."""
     state = "struct<done:array<string>,held:string,n:int>"

@@ -45,6 +45,28 @@ def sliding_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.sliding_windows(texts).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
+def public_tokenizer() -> str | None:
+    """The file of an installed public tokenizer, if there is one."""
+    try:
+        import public_tokenizers
+        import tokenizers  # noqa: F401
+    except ModuleNotFoundError:
+        return None
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, by a public tokenizer; its merges can't be said in SQL."""
+    texts = model.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return K.token_counts(texts, public_tokenizer()).select("doc_id", "n_tokens")
+
+
+def token_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 512 tokens of a public tokenizer, which overlap by 64."""
+    texts = model.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return K.token_windows(texts, public_tokenizer()).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
+
+
 def paragraph_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed like paragraphs, as the texts have no blank lines."""
     texts = model.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -137,6 +159,9 @@ QUERIES = {
     )
 }
 
+if public_tokenizer():
+    QUERIES |= {f.__name__: f for f in (token_counts, token_window_chunks)}
+
 SQL = {
     "chunk_ids": "SELECT 'doc_' || doc_id AS document_id, sha256('doc_' || doc_id || ':0') AS chunk_id FROM documents",
     "point_ids": """

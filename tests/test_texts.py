@@ -306,6 +306,35 @@ def test_token_windows_with_a_public_tokenizer(spark):
     assert len([r for r in rows if r.text == text]) > 5 and [r.chunk for r in rows if r.text == "short"] == ["short"]
 
 
+def test_token_counts_and_windows_of_a_plain_loop(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    texts = [" ".join(f"Wort{i * k % 97}," for i in range(k)) for k in (1, 5, 40, 300)] + ["", None, "東京 🙂"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r.n_tokens for r in K.token_counts(rows, path).orderBy("doc_id").collect()] == n
+    found = {}
+    for r in K.token_windows(rows, path, size=50, overlap=10).collect():
+        found.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk
+    for i, t in enumerate(texts):
+        ids = plain.encode(t or "", add_special_tokens=False).ids
+        want = [t] if t and len(ids) <= 50 else [plain.decode(ids[s : s + 50]).strip() for s in range(0, max(0, len(ids) - 10), 40)]
+        assert [found[i][k] for k in sorted(found.get(i, {}))] == (want if t else [])
+
+
+def test_row_groups_of_a_key_in_many_slices(spark):
+    rows = spark.range(1000).select((F.col("id") % 3 == 0).cast("int").alias("k"), (1000 - F.col("id")).alias("o"), F.concat(F.lit("r"), "id").alias("text"))
+    got = {(r.k, r.chunk_index): (r.row_range, r.total_rows, r.text) for r in K.row_groups(rows, "k", "o", size=7).collect()}
+    for k in (0, 1):
+        own = [f"r{i}" for i in range(999, -1, -1) if (i % 3 == 0) == bool(k)]
+        for c in range(0, len(own), 7):
+            part = own[c : c + 7]
+            assert got[(k, c // 7)] == (f"{c}-{c + len(part) - 1}", len(own), "\n".join(part))
+    assert len(got) == sum(-(-sum((i % 3 == 0) == bool(k) for i in range(1000)) // 7) for k in (0, 1))
+
+
 def test_point_ids_and_metadata(spark):
     import uuid
 
