@@ -204,6 +204,11 @@ def raw_frequency() -> Column:
     return F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of a double by decimals of 18 places, whose sum hangs on no order."""
+    return (F.sum(value.cast("decimal(28,18)")).cast("double") / F.count(value)).cast("double")
+
+
 def inverse_frequencies(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     """(collection_id, term, df, idf); a negative value becomes EPSILON times the mean over all terms.
 
@@ -211,7 +216,7 @@ def inverse_frequencies(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     raw = counted.join(F.broadcast(sizes), "collection_id").withColumn("raw", raw_frequency())  # a row for each collection
     if "mean_raw" not in sizes.columns:
-        raw = raw.join(raw.groupBy("collection_id").agg(F.avg("raw").alias("mean_raw")), "collection_id")
+        raw = raw.join(raw.groupBy("collection_id").agg(exact_mean(F.col("raw")).alias("mean_raw")), "collection_id")
     return raw.select("collection_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -225,8 +230,12 @@ def query_terms(query: DataFrame) -> DataFrame:
     return query.select(*keys[:-1], F.explode(tokens(F.col("query_text"))).alias("term")).groupBy(*keys).agg(F.count("*").alias("times"))
 
 
+def _damping() -> Column:
+    return F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+
+
 def _share() -> Column:
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return F.col("tf") * (K1 + 1) / _damping()
 
 
 def bm25(corpus: DataFrame, query: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
@@ -238,7 +247,7 @@ def bm25(corpus: DataFrame, query: DataFrame, statistics: DataFrame | None = Non
     weights = inverse_frequencies(document_frequencies(statistics), sizes).join(F.broadcast(asked) if few else asked, "term", "left_semi")
     hits = postings(corpus, terms).join(F.broadcast(weights) if few else weights, ["collection_id", "term"]).join(F.broadcast(sizes), "collection_id")
     keys = keys_of(query, "collection_id", "chunk_id")
-    scored = hits.groupBy(*keys).agg(F.sum(F.col("times") * F.col("idf") * _share()).alias("bm25"))
+    scored = hits.groupBy(*keys).agg(F.sum(F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / _damping()).alias("bm25"))
     every = corpus.select("collection_id", "chunk_id")
     every = every if few else every.crossJoin(query.select("query_id").distinct())
     return every.select(*keys).join(scored, keys, "left").fillna(0.0, ["bm25"])
