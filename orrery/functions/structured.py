@@ -56,4 +56,8 @@ def flatten_json(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def json_depth(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if _load(t) is None else _levels(_load(t))).astype("Int32")
+    def one(text: str | None) -> int | None:
+        value = _load(text)
+        return None if value is None else _levels(value)
+
+    return texts.map(one).astype("Int32")

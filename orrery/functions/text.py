@@ -20,6 +20,11 @@ EXTENSION_LANGUAGE = {
 }
 
 
+#: A symbol is a method, or else a class, if the name of its syntax node has one of these parts; anything else is a function.
+METHOD_PARTS = ("method", "constructor")
+CLASS_PARTS = ("class", "struct", "enum", "trait", "interface", "impl", "type")
+
+
 def normalize_tag(name: Column) -> Column:
     """Lower-case, trimmed, inner blanks collapsed; a blank name gives null."""
     bare = F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), r"\s+", " ")), " +", " ")
@@ -75,7 +80,7 @@ def symbol_kind(node_type: Column) -> Column:
     def has(*words: str) -> Column:
         return F.rlike(t, F.lit("|".join(words)))
 
-    return F.when(has("method", "constructor"), "method").when(has("class", "struct", "enum", "trait", "interface", "impl", "type"), "class").otherwise("function")
+    return F.when(has(*METHOD_PARTS), "method").when(has(*CLASS_PARTS), "class").otherwise("function")
 
 
 def topic_parts(topic: Column) -> Column:

@@ -14,10 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-#: A symbol's class follows from these parts of its syntax node's name, tried in order; anything else is a function.
-METHOD_PARTS = ("method", "constructor")
-CLASS_PARTS = ("class", "struct", "enum", "trait", "interface", "impl", "type")
-
+from orrery.functions.text import CLASS_PARTS, METHOD_PARTS
 
 def kind_of(node: str) -> str:
     """method, class or function."""
