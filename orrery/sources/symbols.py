@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from orrery.functions.text import CLASS_PARTS, METHOD_PARTS
 
+
 def kind_of(node: str) -> str:
     """method, class or function."""
     return "method" if any(p in node for p in METHOD_PARTS) else "class" if any(p in node for p in CLASS_PARTS) else "function"
