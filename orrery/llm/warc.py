@@ -245,7 +245,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def page_report(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id) from the archives."""
     pages = cut(read_archives(spark, path, payloads=False).drop("payload"))
-    origins = pages.where("record_type = 'response'").groupBy("name").agg(F.first("page_id").alias("of"), F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("d"))
+    # a table of its own, so that Spark can split the revisits of a very frequent page
+    origins = written(pages.where("record_type = 'response'").groupBy("name").agg(F.first("page_id").alias("of"), F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("d")), "origins")
     revisits = pages.where("record_type = 'revisit'").drop("name").join(origins, F.col("refers_to") == F.col("name"), "left")
     same = F.when(F.col("payload_digest") == F.col("d"), F.col("n"))
     return (

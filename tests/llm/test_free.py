@@ -57,6 +57,16 @@ def test_warc_repeated_and_empty(spark, tmp_path):
     assert warc.page_report(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_revisits_of_a_frequent_page(spark, tmp_path):
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("p"), F.col("id") % 500)).alias("html"))
+    warc.write_archives(pages, str(tmp_path / "f"))
+    out = warc.page_report(spark, str(tmp_path / "f"))
+    last = {r.html: r.of for r in pages.groupBy("html").agg(F.max("page_id").alias("of")).collect()}
+    own = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in out.collect()}
+    assert got == {i: ("response" if last[h] == i else "revisit", None if last[h] == i else last[h], len(h)) for i, h in own.items()}
+
+
 def test_warc_missing_segment_is_an_error(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc" * 1000)], "page_id long, url string, html string")
     records = warc.records_of(pages, segment_bytes=500).where(~F.col("record").contains("WARC-Segment-Number: 3"))
