@@ -257,6 +257,15 @@ def test_pdf_pages_and_numbers():
             list(pdf.sections_of(bad))
 
 
+def test_pdf_codes_of_one_byte_go_through_a_table_made_once(monkeypatch):
+    asked = []
+    shown = pdf.Font.shown
+    monkeypatch.setattr(pdf.Font, "shown", lambda self, code: asked.append(code) or shown(self, code), raising=False)
+    texts = [f"page {i} " + "Wörter " * 500 for i in range(20)]
+    assert [s["text"] for s in pdf.sections_of(_pdf(texts))] == [t.strip() for t in texts]
+    assert len(asked) == 256  # for all pages, not for each of their 70,000 bytes
+
+
 def test_pdf_maps_codes_and_gaps():
     cmap = b"1 begincodespacerange <00> <FFFF> endcodespacerange 1 beginbfchar <0003> <00DC> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
     content = b"BT /F 10 Tf [<0003> -50 <0010> -300 <00110012>] TJ 0 -12 Td (\\000\\020) Tj ET"
