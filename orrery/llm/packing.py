@@ -31,8 +31,6 @@ doc_id and text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,94 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.bpe import Encoder
 from orrery.llm.support import small_batches, values, written
 
 LENGTH = 1024
 END_ID = 0
 GROUP = 4096
 LEAST_GAP = 16
-CACHE = 1 << 19
-#: Characters of a text that the tokenizer sees at once.
-RUN = 1 << 18
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Fixed value: the pattern by which this public tokenizer cuts words, for texts of the characters that ODD leaves.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Other characters than ASCII, Latin letters, dashes and quotation marks: for these alone the pattern's classes are surely those of the tokenizer.
-ODD = re.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u2010-\u2027]")
-#: A place before which the pattern always cuts.
-SEAM = re.compile(r"(?<=\S) (?=\S)")
-
-
-def byte_letters() -> str:
-    """The printable characters that stand for the 256 bytes in a byte-level vocabulary: those that are printable in Latin-1 stand for themselves, the others follow from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return "".join(chr(b if b in shown else next(rest)) for b in range(256))
-
-
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-class KnownWords(dict):
-    """Ids of the words met lately; a new word is looked up in the tokenizer's model."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters, self.before = model, byte_letters(), {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
-        if 2 * len(self) >= CACHE:
-            self.before = dict(self)
-            self.clear()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
-class Encoder:
-    """Ids of whole texts, as bytes of little-endian 32-bit integers."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = KnownWords(self.tokenizer.model)
-        self.path = path
-
-    def __reduce__(self):
-        return Encoder, (self.path,)
-
-    def asked(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def runs(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > RUN:
-            seam = SEAM.search(text, at + RUN)
-            if not seam:
-                break
-            yield text[at : seam.start()]
-            at = seam.start()
-        yield text[at:]
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text):
-            return b"".join(map(self.asked, self.runs(text)))
-        return b"".join(b"".join(map(self.known.__getitem__, WORDS.findall(run))) for run in self.runs(text))
-
-
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids) of every document cut at multiples of ``length``."""
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.bpe import Encoder
 from orrery.sources.shared import stored
 
 MAX_TOKENS, OVERLAP, ROWS_PER_CHUNK, FALLBACK_LINES = 512, 64, 10, 50
@@ -74,16 +76,26 @@ def token_windows(texts: DataFrame, tokenizer_file: str, text: str = "text", siz
     if overlap >= size:
         raise ValueError("the overlap has to be smaller than the window")
 
+    sent = texts.sparkSession.sparkContext.broadcast(Encoder(tokenizer_file))  # its path; a worker makes the encoder once
+
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        encode = sent.value
+        tokenizer = encode.tokenizer
+
+        def ids_of(value: str) -> list[int]:
+            if encode.by_words and not any(a in value for a in encode.added):
+                return np.frombuffer(encode(value), "<u4").tolist()
+            tokenizer.encode_special_tokens = False
+            try:
+                return tokenizer.encode(value, add_special_tokens=False).ids
+            finally:
+                tokenizer.encode_special_tokens = True
 
         def one(value: str | None) -> list[str]:
             if not value or not value.strip():
                 return []
-            ids = tokenizer.encode(value, add_special_tokens=False).ids
+            ids = ids_of(value)
             if len(ids) <= size:
                 return [value]
             starts = range(0, len(ids) - overlap, size - overlap)
@@ -98,14 +110,13 @@ def token_windows(texts: DataFrame, tokenizer_file: str, text: str = "text", siz
 def token_counts(texts: DataFrame, tokenizer_file: str, text: str = "text") -> DataFrame:
     """Adds n_tokens: how many tokens a public tokenizer file (tokenizer.json) makes of each text; a null text has none."""
 
+    sent = texts.sparkSession.sparkContext.broadcast(Encoder(tokenizer_file))  # its path; a worker makes the encoder once
+
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
+        encode = sent.value
         for batch in batches:
-            yield batch.map(lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) if t else 0)
+            yield batch.map(lambda t: len(encode(t)) // 4 if t else 0)
 
     return texts.withColumn("n_tokens", count(text))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -324,6 +325,34 @@ def test_token_counts_and_windows_of_a_plain_loop(spark):
         assert [found[i][k] for k in sorted(found.get(i, {}))] == (want if t else [])
 
 
+def test_tokens_are_asked_for_once_a_word(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    bpe = pytest.importorskip("orrery.functions.bpe")
+    path = public.path("byte_bpe_50k.json")
+    plain, encode = tokenizers.Tokenizer.from_file(path), bpe.Encoder(path)
+    plain.encode_special_tokens = True
+    monkeypatch.setattr(encode, "asked", None)  # no Latin text goes through the whole tokenizer
+    for text in ("Wort " * 1000, "it's  <|endoftext|> 12, é\n\n x", " a\tb "):
+        assert len(encode(text)) // 4 == len(plain.encode(text, add_special_tokens=False).ids)
+    assert len(encode.known) < 30
+    call, (sent,) = encode.__reduce__()
+    assert call is pickle.loads and call(sent)("a b") == encode("a b")
+    assert bpe.Encoder(path).by_words and not bpe.cuts_words(json.loads(plain.to_str()) | {"normalizer": {"type": "Lowercase"}})
+
+
+def test_windows_of_a_text_that_names_a_special_token(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    text = "one <|endoftext|> two " * 40
+    ids = plain.encode(text, add_special_tokens=False).ids
+    want = [plain.decode(ids[s : s + 50]).strip() for s in range(0, len(ids) - 10, 40)]
+    rows = K.token_windows(spark.createDataFrame([(text,)], "text string"), path, size=50, overlap=10)
+    assert [r.chunk for r in rows.orderBy("chunk_index").collect()] == want
+
+
 def test_row_groups_of_a_key_in_many_slices(spark):
     rows = spark.range(1000).select((F.col("id") % 3 == 0).cast("int").alias("k"), (1000 - F.col("id")).alias("o"), F.concat(F.lit("r"), "id").alias("text"))
     got = {(r.k, r.chunk_index): (r.row_range, r.total_rows, r.text) for r in K.row_groups(rows, "k", "o", size=7).collect()}
