@@ -5,7 +5,7 @@ key of each table, so a request over many collections is one plan. A table of
 queries with a ``query_id`` is answered as a whole: ``query_id`` is then a key of
 every later table, too. A table without one has to be a single query; several rows
 are an error. Corpus statistics are grouped aggregations, candidates a ranked window
-with a limit before the shuffle: an Arrow batch keeps at most k rows of a group.
+with a limit before the shuffle: a task keeps at most k rows of a group.
 
 The vectors of the queries pass through the driver, QUERIES of them at a time, and
 are sent to the tasks; chunks are never replicated.
@@ -40,6 +40,8 @@ DEFAULT_TOP_K, MAX_TOP_K, DEFAULT_ALPHA, DEFAULT_FAN_OUT, MAX_FAN_OUT = 5, 20, 0
 DECIMALS = 9
 #: Queries of one pass over the chunks, and those that a task scores together.
 QUERIES, BLOCK = 65_536, 256
+#: Places that a task holds for the best rows of queries, over all collections; rows of a collection whose columns it holds before it looks for those that it needs; first rows of a batch, which give bounds; queries of one batch of results.
+STATE, KEPT, HEAD, OUT = 1 << 22, 1 << 16, 512, 4096
 #: Candidates up to which their ids are broadcast to find their texts.
 BROADCAST_PAIRS = 200_000
 
@@ -120,40 +122,137 @@ def _query_blocks(query: DataFrame) -> Iterator[list]:
         yield block
 
 
+class _Best:
+    """The k best rows of one collection so far, for each query of a pass; equal keys go to the rows that came first."""
+
+    def __init__(self, queries: int, k: int):
+        self.keys = np.full((queries, k), -np.inf)
+        self.cosines = np.zeros((queries, k))
+        self.refs = np.full((queries, k), -1, np.int64)
+        self.carried: list[pa.RecordBatch] = []
+        self.rows = self.kept = 0
+
+    def add(self, q: np.ndarray, refs: np.ndarray, cosines: np.ndarray, keys: np.ndarray) -> None:
+        k = self.keys.shape[1]
+        own, group = np.unique(q, return_inverse=True)
+        group = np.concatenate([np.repeat(np.arange(len(own)), k), group])
+        every = [np.concatenate([old[own].reshape(-1), new]) for old, new in ((self.keys, keys), (self.cosines, cosines), (self.refs, refs))]
+        order = np.lexsort((every[2] < 0, -every[0], group))  # stable: earlier rows before later ones
+        first = np.searchsorted(group[order], np.arange(len(own)))
+        taken = order[first[:, None] + np.arange(k)]
+        self.keys[own], self.cosines[own], self.refs[own] = (x[taken] for x in every)
+
+    def carry(self, rows: pa.RecordBatch) -> int:
+        """Keeps the other columns of rows, and gives the place of the first; rows that aren't among the best of any query are dropped from time to time."""
+        if self.rows > max(KEPT, 2 * self.kept):
+            used, places = np.unique(self.refs, return_inverse=True)
+            self.refs = places.reshape(self.refs.shape) - int(used[0] < 0)
+            self.carried = pa.Table.from_batches(self.carried).take(pa.array(used[used >= 0])).combine_chunks().to_batches()
+            self.rows = self.kept = sum(x.num_rows for x in self.carried)
+        self.carried.append(rows)
+        self.rows += rows.num_rows
+        return self.rows - rows.num_rows
+
+    def found(self, ids: pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(self.carried).combine_chunks()
+        for at in range(0, len(self.refs), OUT):
+            q, slot = np.nonzero(self.refs[at : at + OUT] >= 0)
+            q += at
+            taken = rows.take(pa.array(self.refs[q, slot])).combine_chunks()
+            keys = self.keys[q, slot]
+            columns = [ids.take(pa.array(q)), *(taken.column(c).combine_chunks() for c in names), pa.array(self.cosines[q, slot], mask=keys == -np.inf), pa.array(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", *names, "cosine", "_key"])
+
+
+def _units(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows normalised in single precision, and their norms; none if one of them has no direction or the lengths differ."""
+    norm = np.sqrt((rows**2).sum(axis=1))
+    if not len(rows) or lengths.min() != lengths.max() or not (np.isfinite(norm) & (norm > 1e-150)).all():
+        return None
+    return (rows / norm[:, None]).astype(np.float32), norm
+
+
+def _offer(best: _Best, at: int, query: tuple, rows: tuple, base: int, k: int) -> None:
+    """Rows (matrix, lengths, units) that may be among the best of a block of queries (the same) from ``at`` on.
+
+    Where all have directions of one length, cosines in single precision find the few rows that may
+    pass a query's k-th best, and only those are worked out in double precision.
+    """
+    block = slice(at, at + len(query[0]))
+    a, b = query[2], rows[2]
+    if a is not None and b is not None and query[1][0] == rows[1][0]:
+        least = best.keys[block, -1]
+        error = (len(rows[0][0]) + 16) * 2.0**-23 + 10.0**-DECIMALS
+        near = a[0] @ b[0].T >= (least - error).astype(np.float32)[:, None]
+        if np.count_nonzero(near) <= 4 * k * len(near):
+            q, j = np.divmod(np.flatnonzero(near.reshape(-1)), near.shape[1])
+            cosines = np.einsum("ij,ij->i", query[0][q], rows[0][j]) / (a[1][q] * b[1][j])
+            keys = np.round(cosines, DECIMALS)
+            more = keys > least[q]
+            if more.any():
+                best.add(at + q[more], base + j[more], cosines[more], keys[more])
+            return
+    cosines, none = _cosines(query[:2], rows[:2])
+    keys = np.where(none, -np.inf, np.where(np.isnan(cosines), np.inf, np.round(cosines, DECIMALS)))
+    q, j = np.nonzero(_first(keys, k))
+    best.add(at + q, base + j, cosines[q, j], keys[q, j])
+
+
 def nearest(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """The k nearest chunks of each collection, for each query: ``chunks`` (collection_id,
     chunk_id, embedding, ...), ``query`` (query_id, query_vector), or one row (query_vector).
-    Adds cosine and vec_rank from 1, and the query_id; the embedding is left out."""
+    Adds cosine and vec_rank from 1, and the query_id; the embedding is left out.
+
+    For many queries the chunks are dealt by a range exchange to as many tasks as there are cores,
+    and a task gives the k best of all its chunks: what is sent on grows with the queries alone.
+    """
     spark, many = chunks.sparkSession, "query_id" in query.columns
     carried = [f for f in chunks.schema if f.name != "embedding"]
     id_field = query.schema["query_id"] if many else T.StructField("query_id", T.LongType())
     schema = T.StructType([id_field, *carried, T.StructField("cosine", T.DoubleType()), T.StructField("_key", T.DoubleType())])
     id_type, names = to_arrow_type(id_field.dataType), [f.name for f in carried]
 
-    def score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        ids, (lines, sizes) = pa.array(ids, id_type), _matrix(pa.array(vectors, pa.list_(pa.float64())))
+    def score(batches: Iterator[pa.RecordBatch], shared, dealt: bool) -> Iterator[pa.RecordBatch]:
+        ids, lines, sizes = shared.value
+        blocks = [(at, (lines[at : at + BLOCK], sizes[at : at + BLOCK], _units(lines[at : at + BLOCK], sizes[at : at + BLOCK]))) for at in range(0, len(ids), BLOCK)]
+        held: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             order = pc.sort_indices(batch.column("chunk_id"), null_placement="at_start").to_numpy()
-            group = batch.column("collection_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)[order]
+            group = batch.column("collection_id").dictionary_encode(null_encoding="encode")
+            codes = group.indices.to_numpy(zero_copy_only=False)[order]
             rows, lengths = _matrix(batch.column("embedding"))
-            members = [order[group == g] for g in np.unique(group)]
-            for at in range(0, len(ids), BLOCK):
-                found = []
-                for own in members:
-                    cosines, none = _cosines((lines[at : at + BLOCK], sizes[at : at + BLOCK]), (rows[own], lengths[own]))
-                    keys = np.where(none, -np.inf, np.where(np.isnan(cosines), np.inf, np.round(cosines, DECIMALS)))
-                    q, j = np.nonzero(_first(keys, k))
-                    found.append((at + q, own[j], cosines[q, j], none[q, j], keys[q, j]))
-                q, j, cosines, none, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-                taken = batch.select(names).take(pa.array(j))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *taken.columns, pa.array(cosines, mask=none), pa.array(keys)], ["query_id", *names, "cosine", "_key"])
+            for code in np.unique(codes):
+                own, name = order[codes == code], group.dictionary[int(code)].as_py()
+                if name not in held:
+                    if (len(held) + 1) * len(ids) * k > STATE:
+                        for other in held.values():
+                            yield from other.found(ids, names)
+                        held.clear()
+                    held[name] = _Best(len(ids), k)
+                best = held[name]
+                base = best.carry(batch.select(names).take(pa.array(own)))
+                for begin, end in ((0, HEAD), (HEAD, len(own))):  # the first rows give each query a bound for the others
+                    part = own[begin:end]
+                    if len(part):
+                        given = rows[part], lengths[part], _units(rows[part], lengths[part])
+                        for at, block in blocks:
+                            _offer(best, at, block, given, base + begin, k)
+            if not dealt:  # ties go to the smaller id, which a later batch may have
+                for best in held.values():
+                    yield from best.found(ids, names)
+                held.clear()
+        for best in held.values():
+            yield from best.found(ids, names)
 
     def one_pass(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block]))
-        return chunks.select(*names, "embedding").mapInArrow(lambda batches: score(batches, shared), schema)
+        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in block], id_type), *_matrix(pa.array([r[1] for r in block], pa.list_(pa.float64())))))
+        dealt = len(block) > BLOCK
+        rows = chunks.select(*names, "embedding")
+        if dealt:
+            rows = rows.repartitionByRange(max(spark.sparkContext.defaultParallelism, 1), "collection_id", "chunk_id").sortWithinPartitions("collection_id", "chunk_id")
+        return rows.mapInArrow(lambda batches: score(batches, shared, dealt), schema)
 
     passes = [one_pass(b) for b in _query_blocks(query)]
     scored = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)

@@ -150,3 +150,55 @@ def test_blocks_of_queries_and_ties(spark, chunks, monkeypatch):
     queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "query_id long, query_vector array<float>")
     found = sorted((r.query_id, r.vec_rank, r.chunk_id) for r in R.nearest(same, queries, 3).collect())
     assert found == [(q, n, n) for q in range(5) for n in (1, 2, 3)]
+
+
+def test_a_task_sends_on_the_best_of_all_its_rows(spark, monkeypatch):
+    """Rows without direction, ties over tasks, several collections, bounds in single precision: as all pairs by hand."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = [("ab"[i % 2] if i % 7 else None, i, [float(x) for x in rng.integers(-2, 3, 8)]) for i in range(3000)]
+    data += [("a", 3001, None), ("b", 3002, [0.0] * 8), ("c", 3003, [1.0] * 8), ("c", 3004, [0.0] * 8), ("c", 3005, [1.0])]
+    rows = spark.createDataFrame(data, "collection_id string, chunk_id long, embedding array<float>").repartition(5)
+    vectors = {i: rng.normal(size=8).astype(np.float32).tolist() if i % 3 else [float(x) for x in rng.integers(-2, 3, 8)] for i in range(40)}
+    queries = spark.createDataFrame(list(vectors.items()), "query_id long, query_vector array<float>")
+    for name, value in (("BLOCK", 16), ("KEPT", 50), ("HEAD", 32), ("STATE", 500)):
+        monkeypatch.setattr(R, name, value, raising=False)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = R.nearest(rows, queries, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {}
+    for r in found:
+        got.setdefault((r.query_id, r.collection_id), {})[r.vec_rank] = (r.chunk_id, r.cosine)
+    for q, v in vectors.items():
+        v = np.array(v, float)
+        for c in ("a", "b", "c", None):
+            scored = []
+            for own, i, e in data:
+                if own == c:
+                    e = np.array(e if e is not None else [], float)
+                    norm = np.linalg.norm(v) * np.linalg.norm(e)
+                    scored.append((1, 0, i, None) if len(e) != 8 or norm == 0 else (0, -round(float(v @ e / norm), 9), i, float(v @ e / norm)))
+            want = sorted(scored, key=lambda x: x[:3])[:5]
+            mine = got[q, c]
+            assert [mine[n + 1][0] for n in range(len(want))] == [w[2] for w in want] and len(mine) == len(want)
+            assert all(w[3] is None and mine[n + 1][1] is None or mine[n + 1][1] == pytest.approx(w[3]) for n, w in enumerate(want))
+
+
+def test_what_many_queries_send_on_does_not_grow_with_the_chunks(spark, monkeypatch):
+    """Rows that come to the window: at most k for each query and task, however many batches a task has."""
+    rows = spark.range(20_000).select(F.lit("x").alias("collection_id"), F.col("id").alias("chunk_id"), F.array(F.cos("id").cast("float"), F.sin("id").cast("float")).alias("embedding"))
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("query_vector"))
+    sent = []
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    kept = type(rows).withColumn
+    monkeypatch.setattr(type(rows), "withColumn", lambda self, name, c: (sent.append(self.count()) if name == "vec_rank" else None) or kept(self, name, c))
+    try:
+        assert R.nearest(rows, queries, 5).count() == 1500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert max(sent) <= 300 * 5 * spark.sparkContext.defaultParallelism
