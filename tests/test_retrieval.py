@@ -46,6 +46,23 @@ def test_bm25_counts_common_and_repeated_words(spark):
     assert found.keys() == expected.keys() and all(found[k] == pytest.approx(expected[k]) for k in expected)
 
 
+def test_scores_of_many_queries_are_never_shuffled(spark, monkeypatch):
+    for name, value in (("CARD", 3), ("STRIP", 2)):
+        monkeypatch.setattr(R, name, value, raising=False)
+    docs = {i: " ".join(f"w{(i * k) % 11}" for k in range(1, i % 9)) or None for i in range(30)}
+    corpus = spark.createDataFrame([("x" if i % 2 else "y", i, t) for i, t in docs.items()], "collection_id string, chunk_id long, text string")
+    asked = {i: docs[i] for i in range(0, 30, 4)} | {100: "w1 w1 nothing"}
+    found = R.bm25(corpus, spark.createDataFrame(list(asked.items()), "query_id long, query_text string"))
+    got = {(r.query_id, r.chunk_id): r.bm25 for r in found.collect()}
+    assert len(got) == found.count() == len(docs) * len(asked)
+    for q, text in asked.items():
+        for odd in (0, 1):
+            want = plain_bm25({i: t or "" for i, t in docs.items() if i % 2 == odd}, (text or "").split())
+            assert all(got[q, i] == pytest.approx(want[i]) for i in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_blank_corpus_scores_zero(spark):
     corpus = spark.createDataFrame([("x", "a", " "), ("x", "b", None)], "collection_id string, chunk_id string, text string")
     assert {r.bm25 for r in R.bm25(corpus, query(spark)).collect()} == {0.0}
