@@ -33,28 +33,16 @@ def _file_id(path: Column) -> Column:
     return F.regexp_extract(path, r"file_id=(-?\d+)", 1).cast("long")
 
 
-def _write_texts(rows: DataFrame, path: str, ending: str, line: str = "\n") -> None:
-    """(file_id, content) as one file each, in UTF-8 or, if content is binary, with its very bytes."""
+def _write_texts(rows: DataFrame, path: str, line: str = "\n") -> None:
+    """(file_id, content) as one file each, in UTF-8 or, if content is binary, with its very bytes. Spark's writer ends their names in .txt, see :func:`_found`."""
     rows.select("file_id", F.col("content").cast("string").alias("content")).repartition("file_id").write.mode("append").partitionBy("file_id").option("lineSep", line).option("compression", "none").text(path)
-    _rename_ending(rows.sparkSession, path, ending)
 
 
-def _rename_ending(spark: SparkSession, path: str, ending: str) -> None:
-    """Spark's writer ends names in .txt; the parser goes by the ending."""
-    if ending == ".txt":
-        return
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    every = fs.listFiles(top, True)
-    while every.hasNext():
-        place = every.next().getPath()
-        if place.getName().startswith("part-") and place.getName().endswith(".txt"):
-            fs.rename(place, jvm.org.apache.hadoop.fs.Path(place.getParent(), place.getName()[:-4] + ending))
-
-
-def _found(spark: SparkSession, path: str) -> DataFrame:
+def _found(spark: SparkSession, path: str, ending: Column | None = None) -> DataFrame:
+    """The files below ``path``; the parser goes by the ``ending`` that is given to their paths, so no file has to be renamed by the driver."""
     found = files.files(spark, path).where(F.col("filename").startswith("part-"))
+    if ending is not None:
+        found = found.withColumns({c: F.concat(F.regexp_replace(c, r"\.txt$", ""), ending) for c in ("path", "filename")})
     return files.with_document_id(found)
 
 
@@ -69,10 +57,10 @@ def encoded_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in four encodings, told from their bytes: the encoding of each file, and what was read."""
     path, rows = shared_path(spark, "texts"), _bundles(spark, sf_dir)
     kind, latin = F.pmod("file_id", F.lit(4)), F.col("content").rlike(r"\A[\x00-\x7F\xA0-\xFF]*\z")
-    _write_texts(rows.where((kind == 0) | (kind == 1) & ~latin), path, ".txt")
-    _write_texts(rows.where((kind == 1) & latin).withColumn("content", F.encode("content", "ISO-8859-1")), path, ".txt")
-    _write_texts(rows.where(kind == 2).withColumn("content", F.encode("content", "UTF-16LE")), path, ".txt", "\n\0")
-    _write_texts(rows.where(kind == 3).withColumn("content", F.concat(F.encode("content", "UTF-16"), F.unhex(F.lit("00")))), path, ".txt")
+    _write_texts(rows.where((kind == 0) | (kind == 1) & ~latin), path)
+    _write_texts(rows.where((kind == 1) & latin).withColumn("content", F.encode("content", "ISO-8859-1")), path)
+    _write_texts(rows.where(kind == 2).withColumn("content", F.encode("content", "UTF-16LE")), path, "\n\0")
+    _write_texts(rows.where(kind == 3).withColumn("content", F.concat(F.encode("content", "UTF-16"), F.unhex(F.lit("00")))), path)
     chunks = files.parse_files(_found(spark, path), max_tokens=WIDE)
     return chunks.select(_file_id(F.col("path")).alias("file_id"), "encoding", "parser", "chunk_index", F.col("char_count").cast("long").alias("char_count"), F.md5("text").alias("text_md5"))
 
@@ -94,8 +82,8 @@ def json_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.to_json(F.struct("event_id", "event_type", "user_id", F.from_json("props", "map<string,string>").alias("props")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("e")))), lambda x: x["e"])  # PER_FILE events
     rows = model.table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / PER_FILE).alias("file_id")).agg(F.concat(F.lit("["), F.array_join(parts, ",\n"), F.lit("]")).alias("content"))
-    _write_texts(rows, path, ".json")
-    chunks = files.parse_files(_found(spark, path), max_tokens=WIDE)
+    _write_texts(rows, path)
+    chunks = files.parse_files(_found(spark, path, F.lit(".json")), max_tokens=WIDE)
     return chunks.select(_file_id(F.col("path")).alias("file_id"), "chunk_index", "json_shape", "row_range", "total_rows", F.md5("text").alias("text_md5"))
 
 
@@ -115,8 +103,8 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = F.array_sort(F.collect_list(F.struct("doc_id", body.alias("b"))))  # PER_FILE texts
     made = rows.groupBy(F.floor(F.col("doc_id") / PER_FILE).alias("file_id")).agg(F.concat(F.lit("Bundle\n======\n\n"), F.array_join(F.transform(parts, lambda x: x["b"]), "\n")).alias("content"))
-    _write_texts(made, path, ".md")
-    chunks = files.parse_files(_found(spark, path), max_tokens=WIDE)
+    _write_texts(made, path)
+    chunks = files.parse_files(_found(spark, path, F.lit(".md")), max_tokens=WIDE)
     return chunks.select(_file_id(F.col("path")).alias("file_id"), "chunk_index", "heading_path", "heading_level", F.md5("text").alias("text_md5"))
 
 
@@ -139,8 +127,9 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.replace(F.replace(F.lit("\n".join(SOURCES[ending]) + "\n"), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{name}"), F.col("p_name"))
         own = rows.where(F.pmod("file_id", F.lit(len(endings))) == i).select("file_id", "p_partkey", text.alias("t"))
         made = own.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "t"))), lambda x: x["t"]), "").alias("content"))  # PER_FILE classes
-        _write_texts(made, f"{path}/{ending[1:]}", ending)
-    chunks = files.parse_files(_found(spark, path))
+        _write_texts(made, f"{path}/{ending[1:]}")
+    found = _found(spark, path, F.concat(F.lit("."), F.regexp_extract("path", r"/(\w+)/file_id=", 1)))
+    chunks = files.parse_files(found)
     return chunks.select(_file_id(F.col("path")).alias("file_id"), "language", "symbol_name", "symbol_type", "start_line", "end_line", (F.col("chunk_index")).alias("chunk_index"))
 
 

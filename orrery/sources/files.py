@@ -212,9 +212,11 @@ def parsed(
 
 def chunks_of(rows: DataFrame) -> DataFrame:
     """Chunks of :func:`parsed` files: chunk_id, document_id, path, filename, parser, encoding, chunk_index, language, char_count, text, and what the parser knows."""
-    each = F.flatten(F.transform("pieces", lambda texts, i: F.transform(texts, lambda t: F.struct(t.alias("text"), i.alias("section")))))
+    known = F.col("sections")
+    each = F.flatten(F.transform("pieces", lambda texts, i: F.transform(texts, lambda t: F.struct(t.alias("text"), *[F.get(known, i)[m].alias(m) for m in META]))))
     keys = ["document_id", "path", "filename", "parser", "encoding"]
-    one = rows.where("sections IS NOT NULL").select(*keys, "sections", F.posexplode(each).alias("chunk_index", "piece")).select(*keys, "chunk_index", "piece.text", F.get("sections", F.col("piece.section")).alias("meta"))
+    # A piece has what the parser knows with it, so no row of a chunk carries all sections of its file.
+    one = rows.where("sections IS NOT NULL").select(*keys, F.posexplode(each).alias("chunk_index", "piece")).select(*keys, "chunk_index", "piece.text", F.col("piece").alias("meta"))
     return one.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), *keys, "chunk_index", F.when(F.col("parser") == "code", language_of(F.col("path"))).alias("language"), F.char_length("text").alias("char_count"), "text", *[F.col(f"meta.{m}").alias(m) for m in META]
     )

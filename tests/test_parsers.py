@@ -7,6 +7,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.plans.ingestion import _docx, _pdf
 from orrery.sources import encodings, files, markdown, office, pdf, symbols
@@ -279,3 +280,16 @@ def test_paragraphs_are_packed_and_long_ones_cut():
     text = "a b\n\n\n\nc d e\n\n" + " ".join(f"w{i}" for i in range(12)) + "\n\nz"
     got = [s["text"] for s in files._paragraphs(text, 5, 1)]
     assert got == ["a b\n\nc d e", "w0 w1 w2 w3 w4", "w4 w5 w6 w7 w8", "w8 w9 w10 w11", "z"]
+
+
+def test_files_get_their_ending_without_being_renamed(spark, tmp_path):
+    """A rename by the driver for each file took longer than the rest; the files stay as Spark wrote them."""
+    from orrery.plans import ingestion
+
+    rows = spark.createDataFrame([(i, f'[{{"a": {i}}}]') for i in range(5)], "file_id long, content string")
+    ingestion._write_texts(rows, str(tmp_path / "json"))
+    assert len(list((tmp_path / "json").rglob("part-*.txt"))) == 5
+    found = ingestion._found(spark, str(tmp_path / "json"), F.lit(".json"))
+    assert found.where("path LIKE '%.json' AND filename LIKE '%.json'").count() == 5
+    got = files.parse_files(found).select(ingestion._file_id(F.col("path")).alias("i"), "text", "parser").orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(i, f"a={i}", "json") for i in range(5)]
