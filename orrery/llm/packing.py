@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.bpe import Encoder
+from orrery.functions import bpe
 from orrery.llm.support import small_batches, values, written
 
 LENGTH = 1024
 END_ID = 0
 GROUP = 4096
 LEAST_GAP = 16
+#: Words whose ids a worker keeps, and characters of a text that the tokenizer sees at once.
+CACHE, RUN = bpe.CACHE, bpe.RUN
 VOCABULARY = "byte_bpe_50k.json"
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -53,6 +55,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Encoder(bpe.Encoder):
+    """The encoder with the bounds of this module."""
+
+    def bounds(self) -> tuple[int, int]:
+        return CACHE, RUN
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids) of every document cut at multiples of ``length``."""
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
