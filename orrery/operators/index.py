@@ -36,7 +36,7 @@ def version_of(spark: SparkSession, path: str) -> str:
 def with_means(counted: DataFrame) -> DataFrame:
     """Kept statistics from (collection_id, term, df, words), a stored table."""
     whole = counted.where("term IS NULL").select("collection_id", F.col("df").alias("n"))
-    raw = counted.where("term IS NOT NULL").join(whole, "collection_id").groupBy("collection_id").agg(exact_mean(raw_frequency()).alias("mean_raw"))
+    raw = counted.where("term IS NOT NULL").join(F.broadcast(whole), "collection_id").groupBy("collection_id").agg(exact_mean(raw_frequency()).alias("mean_raw"))
     sums = counted.where("term IS NULL").join(raw, "collection_id", "left")
     columns = ["collection_id", "term", "df", "words", "mean_raw"]
     return counted.where("term IS NOT NULL").withColumn("mean_raw", F.lit(None).cast("double")).select(*columns).unionByName(sums.select(*columns))

@@ -44,6 +44,8 @@ QUERIES, BLOCK = 65_536, 256
 STATE, KEPT, HEAD, OUT = 1 << 22, 1 << 16, 512, 4096
 #: Texts or queries of one row of a product of both, and the queries whose scores a task gives at a time.
 CARD, STRIP = 512, 64
+#: Bytes of texts whose words a task counts at a time.
+COUNTED = 16 << 20
 #: Candidates up to which their ids are broadcast to find their texts.
 BROADCAST_PAIRS = 200_000
 
@@ -263,31 +265,85 @@ def nearest(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return found.drop("_key") if many else found.drop("_key", "query_id")
 
 
+def _lowered(corpus: DataFrame, *columns: str) -> DataFrame:
+    return corpus.select(*columns, F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that one has COUNTED bytes of texts at most, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _word_counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of lower-cased texts, cut as :func:`orrery.functions.text.tokens` cuts them; (text, word, times) of
+    each word of a text, by its place; and how many words each text has."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat, rows = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(flat), 0)
+    words, rows = flat.filter(some).dictionary_encode(), rows.filter(some).to_numpy(zero_copy_only=False)
+    n = max(len(words.dictionary), 1)
+    keys, times = np.unique(rows * np.int64(n) + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return words.dictionary, keys // n, keys % n, times, np.bincount(rows, minlength=len(texts))
+
+
+def _said(corpus: DataFrame) -> DataFrame:
+    """(collection_id, chunk_id, dl, term, tf) of each text by itself, a row for each of its words; nothing is shuffled.
+
+    Words are cut in a step of their own: as an expression Spark would work them out a second
+    time to drop texts without words, and do so for all texts, before any join.
+    """
+    texts = _lowered(corpus, "collection_id", "chunk_id")
+    schema = T.StructType([texts.schema["collection_id"], texts.schema["chunk_id"], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            words, rows, places, times, sizes = _word_counts(part.column("text"))
+            keys = [part.column(c).take(pa.array(rows)) for c in ("collection_id", "chunk_id")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes[rows].astype(np.int32)), words.take(pa.array(places)), pa.array(times)], schema.names)
+
+    return texts.mapInArrow(count, schema)
+
+
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(collection_id, chunk_id, dl, term, tf) from (collection_id, chunk_id, text).
 
     With ``terms`` (term, times), the few words of a query, only theirs, with their
     times (and query_id): other words are dropped before anything is shuffled.
     """
-    words = corpus.select("collection_id", "chunk_id", tokens(F.col("text")).alias("words"))
-    each = words.select("collection_id", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    keys = ["collection_id", "chunk_id", "dl", "term"]
+    each, keys = _said(corpus), ["collection_id", "chunk_id", "dl", "term"]
     if terms is not None:
         few = "query_id" not in terms.columns
         each, keys = each.join(F.broadcast(terms) if few else terms, "term"), [*keys_of(terms, *keys), "times"]
-    return each.groupBy(*keys).agg(F.count("*").alias("tf"))
+    return each.groupBy(*keys).agg(F.sum("tf").alias("tf"))
 
 
 def corpus_statistics(corpus: DataFrame) -> DataFrame:
     """(collection_id, term, df, words): the chunks that have a term; the row of no term counts all chunks and their words.
 
-    One pass over the texts and one aggregation with a partial step. :mod:`orrery.operators.index`
-    keeps it by version, for :func:`search`.
+    One pass over the texts, whose words a task counts by parts, and one aggregation.
+    :mod:`orrery.operators.index` keeps it by version, for :func:`search`.
     """
-    words = corpus.select("collection_id", tokens(F.col("text")).alias("w"))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("long").alias("words")))
-    each = F.concat(whole, F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("words"))))
-    return words.select("collection_id", F.explode(each).alias("x")).groupBy("collection_id", "x.term").agg(F.count("*").alias("df"), F.sum("x.words").alias("words"))
+    texts = _lowered(corpus, "collection_id")
+    schema = T.StructType([texts.schema["collection_id"], T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("words", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            group = part.column("collection_id").dictionary_encode(null_encoding="encode")
+            codes, m = group.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(group.dictionary)
+            words, rows, places, _, sizes = _word_counts(part.column("text"))
+            n = max(len(words), 1)
+            keys, df = np.unique(codes[rows] * n + places, return_counts=True)
+            whole = [group.dictionary, pa.nulls(m, pa.string()), pa.array(np.bincount(codes, minlength=m)), pa.array(np.bincount(codes, sizes, minlength=m).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(whole, schema.names)
+            yield pa.RecordBatch.from_arrays([group.dictionary.take(pa.array(keys // n)), words.take(pa.array(keys % n)), pa.array(df), pa.array(np.zeros(len(df), np.int64))], schema.names)
+
+    return texts.mapInArrow(count, schema).groupBy("collection_id", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
 
 
 def document_frequencies(statistics: DataFrame) -> DataFrame:
@@ -343,7 +399,8 @@ def _weighted(corpus: DataFrame, asked: DataFrame, statistics: DataFrame) -> Dat
     """(collection_id, chunk_id, ct, cw): the asked words of each text, and what each adds to the score of a query that has it once."""
     sizes = corpus_sizes(statistics)
     weights = inverse_frequencies(document_frequencies(statistics), sizes).join(asked, "term", "left_semi")
-    said = postings(corpus).join(weights, ["collection_id", "term"]).join(F.broadcast(sizes), "collection_id")
+    said = _said(corpus).join(weights, ["collection_id", "term"]).join(F.broadcast(sizes), "collection_id").repartition("collection_id", "chunk_id")
+    said = said.groupBy("collection_id", "chunk_id", "dl", "term").agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))  # a chunk may be there twice
     said = said.groupBy("collection_id", "chunk_id").agg(F.collect_list(F.struct("term", (F.col("idf") * _share()).alias("w"))).alias("c"))
     return said.select("collection_id", "chunk_id", F.col("c.term").alias("ct"), F.col("c.w").alias("cw"))
 
@@ -363,6 +420,12 @@ def _cards(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
     return rows.select(*columns).mapInArrow(gather, schema)
 
 
+def _lists(values: pa.Array, other: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The bounds of the lists of two columns, which are equally long, and their values one after another."""
+    n = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(n)]), values.flatten(), other.flatten().to_numpy(zero_copy_only=False)
+
+
 def _every_score(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, collection_id, chunk_id, bm25) of all of ``texts`` (collection_id, chunk_id, ct, cw) for all of ``queries`` (query_id, qt, qn).
 
@@ -374,8 +437,8 @@ def _every_score(texts: DataFrame, queries: DataFrame) -> DataFrame:
     out = T.StructType([queries.schema["query_id"], texts.schema["collection_id"], texts.schema["chunk_id"], T.StructField("bm25", T.DoubleType())])
 
     def lists(values: pa.Array, other: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        n = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
-        return np.repeat(np.arange(len(values)), n), values.flatten(), other.flatten().to_numpy(zero_copy_only=False)
+        bounds, *flat = _lists(values, other)
+        return np.repeat(np.arange(len(values)), np.diff(bounds)), *flat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,13 +502,13 @@ def bm25_of_pairs(corpus: DataFrame, query: DataFrame, pairs: DataFrame, statist
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
-            for at in range(0, batch.num_rows, 256):  # so that few texts are Python values at a time
-                part = batch.slice(at, 256)
-                for qt, qn, ct, cw in zip(*(part.column(c).to_pylist() for c in ("qt", "qn", "ct", "cw")), strict=True):
-                    weight = dict(zip(ct, cw, strict=True))
-                    sums.append(sum(n * weight[t] for t, n in zip(qt, qn, strict=True) if t in weight))
-            yield batch.select(keys).append_column("bm25", pa.array(sums, pa.float64()))
+            (qs, qt, qn), (cs, ct, cw) = (_lists(batch.column(a), batch.column(b)) for a, b in (("qt", "qn"), ("ct", "cw")))
+            sums = np.zeros(batch.num_rows)
+            for i in range(batch.num_rows):
+                q, c = slice(qs[i], qs[i + 1]), slice(cs[i], cs[i + 1])
+                place = pc.fill_null(pc.index_in(ct[c], value_set=qt[q]), -1).to_numpy(zero_copy_only=False)  # of each word of the text among those of the query
+                sums[i] = (cw[c] * np.append(qn[q], 0)[place]).sum()
+            yield batch.select(keys).append_column("bm25", pa.array(sums))
 
     return joined.mapInArrow(score, T.StructType([*(joined.schema[c] for c in keys), T.StructField("bm25", T.DoubleType())]))
 

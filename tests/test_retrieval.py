@@ -219,3 +219,34 @@ def test_what_many_queries_send_on_does_not_grow_with_the_chunks(spark, monkeypa
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert max(sent) <= 300 * 5 * spark.sparkContext.defaultParallelism
+
+
+def test_words_are_cut_once_and_only_of_the_texts_that_are_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(R, "COUNTED", 40, raising=False)
+    texts = [None, "", " \t\n", "A b\x0ba\x0cB c\r\nC", "É é x y \x1cz\x85 é é", "ẞ İ Σας " * 20, *(f"w{i % 7} w{i % 3} W{i % 7}" for i in range(40))]
+    corpus = spark.createDataFrame([("x" if i % 3 else None, i, t) for i, t in enumerate(texts)], "collection_id string, chunk_id long, text string")
+    cut = {r.chunk_id: (r.collection_id, r.w) for r in corpus.select("collection_id", "chunk_id", R.tokens(F.col("text")).alias("w")).collect()}
+    got = {(r.collection_id, r.term): (r.df, r.words) for r in R.corpus_statistics(corpus).collect()}
+    want = {}
+    for name, words in cut.values():
+        for term in {None, *words}:
+            df, n = want.get((name, term), (0, 0))
+            want[name, term] = df + 1, n + (len(words) if term is None else 0)
+    assert got == want
+    said = {(r.collection_id, r.chunk_id, r.dl, r.term, r.tf) for r in R.postings(corpus).collect()}
+    assert said == {(name, i, len(words), t, words.count(t)) for i, (name, words) in cut.items() for t in words}
+    # as an expression under explode, Spark would cut all texts once more in a filter below the join
+    plan = R.postings(corpus.join(corpus.select("chunk_id").limit(1), "chunk_id", "left_semi"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
+def test_a_chunk_that_is_there_twice_counts_as_in_sql(spark):
+    corpus = spark.createDataFrame([("x", 1, "a a b"), ("x", 1, "a c c"), ("x", 2, "a d"), ("x", 3, "e f g h")], "collection_id string, chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "a a c"), (2, "zz")], "query_id long, query_text string")
+    pairs = spark.createDataFrame([(q, "x", c) for q in (1, 2) for c in (1, 2, 3)], "query_id long, collection_id string, chunk_id long")
+    whole = {(r.query_id, r.chunk_id): r.bm25 for r in R.bm25(corpus, asked).collect()}
+    found = {(r.query_id, r.chunk_id): r.bm25 for r in R.bm25_of_pairs(corpus, asked, pairs).collect()}
+    assert found and all(found[k] == pytest.approx(whole[k]) for k in found) and all(abs(whole[k]) < 1e-12 for k in whole.keys() - found.keys())
+    idf = {r.term: r.idf for r in R.inverse_frequencies(R.document_frequencies(R.corpus_statistics(corpus)), R.corpus_sizes(R.corpus_statistics(corpus))).collect()}
+    share = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 3))
+    assert found[1, 1] == pytest.approx(2 * idf["a"] * share(3, 3) + idf["c"] * share(2, 3))
