@@ -2,7 +2,8 @@
 
 The newest event of a key, by time and then by id, is kept and sent on; older ones that
 come late change nothing. When the watermark passes the time to live of what is kept, the
-key is forgotten and an expiry is sent. Folding what was sent gives the snapshot at any time;
+key is forgotten and an expiry is sent. A key has one timer at most: a renewed event leaves it as
+it is, and when it comes due it is put off to the time of what is kept then. Folding what was sent gives the snapshot at any time;
 a subscriber replays the snapshot and then follows the stream, see :func:`orrery.streaming.progress.replay`.
 State and timers are in the checkpoint, so a restarted stream goes on where it stopped.
 """
@@ -10,14 +11,15 @@ State and timers are in the checkpoint, so a restarted stream goes on where it s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from orrery.streaming.progress import TTL_SECONDS
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 SENT = "key string, ts timestamp, event_id long, payload string, kind string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,33 +34,33 @@ class Latest(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("latest", "us long, event_id long, payload string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in rows:
-            for us, event_id, payload in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["payload"].tolist(), strict=True):
-                if best is None or (us, event_id) > best[:2]:
-                    best = (us, event_id, payload)
-        old = self.kept.get() if self.kept.exists() else None
-        if best is None or old is not None and best[:2] <= (old[0], old[1]):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = max(((r["us"], r["event_id"], r["payload"]) for r in rows), key=lambda e: e[:2])
+        old = self.kept.get()
+        if old is not None and best[:2] <= (old[0], old[1]):
             return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.kept.update(best)
-        self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
+        if old is None:
+            self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
         yield self._row(key, best, "set")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old = self.kept.get() if self.kept.exists() else None
-        if old is not None and old[0] // 1000 + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.kept.get()
+        if old is None:
+            return
+        end = old[0] // 1000 + self.ttl_ms
+        if end <= timerValues.getCurrentWatermarkInMs():
             self.kept.clear()
             yield self._row(key, old, "expired")
+        else:
+            self.handle.registerTimer(end)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _row(key, event: tuple, kind: str) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "ts": [pd.Timestamp(event[0], unit="us")], "event_id": [event[1]], "payload": [event[2]], "kind": [kind]})
+    def _row(key, event: tuple, kind: str) -> Row:
+        return Row(key=key[0], ts=EPOCH + timedelta(microseconds=event[0]), event_id=event[1], payload=event[2], kind=kind)
 
 
 def latest_with_expiry(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "0 seconds") -> DataFrame:
@@ -67,7 +69,7 @@ def latest_with_expiry(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay:
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     timed = events.withWatermark("ts", delay).select("key", "ts", "event_id", "payload", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=Latest(ttl_seconds), outputStructType=SENT, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("key").transformWithState(statefulProcessor=Latest(ttl_seconds), outputStructType=SENT, outputMode="Append", timeMode="EventTime")
 
 
 def snapshot(sent: DataFrame) -> DataFrame:

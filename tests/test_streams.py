@@ -46,6 +46,47 @@ def test_topics_expire_survive_a_restart_and_ignore_the_late(spark, tmp_path):
     assert kinds[("a", "expired")] == 1 and kinds[("a", "set")] == 2 and kinds[("b", "set")] == 2
 
 
+def test_a_renewed_event_leaves_the_timer_of_its_key_as_it_is():
+    class Handle:
+        def __init__(self):
+            self.state, self.timers, self.calls = None, set(), 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.state
+
+        def exists(self):
+            self.calls += 1
+            return self.state is not None
+
+        def update(self, value):
+            self.calls, self.state = self.calls + 1, value
+
+        def clear(self):
+            self.state = None
+
+        def registerTimer(self, ms):
+            self.calls += 1
+            self.timers.add(ms)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, latest = Handle(), topics.Latest(10)
+    latest.init(handle)
+    put_ = lambda *events: [r.payload for r in latest.handleInputRows(("k",), iter([{"us": s * 1_000_000, "event_id": i, "payload": p} for s, i, p in events]), Now(0))]
+    assert put_((1, 1, "a"), (0, 9, "old")) == ["a"] and handle.timers == {11_000}
+    assert put_((5, 2, None), (5, 1, "x")) == [None] and put_((5, 2, "same"), (4, 9, "late")) == []
+    assert handle.timers == {11_000} and handle.calls == 6  # a look, what is kept, and the first timer
+    assert list(latest.handleExpiredTimer(("k",), Now(12_000), Now(11_000))) == [] and 15_000 in handle.timers and handle.state
+    assert [(r.kind, r.event_id, r.ts.timestamp()) for r in latest.handleExpiredTimer(("k",), Now(15_000), Now(15_000))] == [("expired", 2, 5.0)] and handle.state is None
+    assert list(latest.handleExpiredTimer(("k",), Now(16_000), Now(15_000))) == []
+
+
 def test_versions_are_applied_pending_failed_or_late(spark):
     versions = spark.createDataFrame([("c", 1, at(0), None, 2), ("c", 2, at(1), "ok", 2), ("c", 3, at(2), "down", 1), ("c", 4, at(30), None, 1), ("c", 5, at(31), None, 0), ("d", 1, at(0), None, 1)], "config string, version int, p string, api string, workers int").withColumn("published_at", F.col("p").cast("timestamp"))
     acks = spark.createDataFrame([("c", 1, "w1", "ok", 1), ("c", 1, "w1", "ok", 2), ("c", 1, "w2", "ok", 3), ("c", 2, "w1", "ok", 4), ("c", 2, "w2", "no disk", 5), ("d", 1, "w9", "bad", 9)], "config string, version int, worker string, result string, ts long")
