@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from orrery.sources import tables
 
 STALE_SECONDS = 1800 + 60
 RETRIES, BACKOFF_SECONDS = 3, 1.0
+#: Files that a Python worker is sent at a time, instead of the many that Spark puts into one Arrow batch.
+FILES_AT_A_TIME = 16
 
 
 def runnable(jobs: DataFrame, now: Column, limit: int = STALE_SECONDS) -> DataFrame:
@@ -43,6 +46,18 @@ def suggested_tags(chunks: DataFrame, suggest: Callable[[DataFrame], DataFrame],
     return ranked.groupBy("id").agg(F.collect_list("name").alias("tags")).withColumnRenamed("id", "document_id")
 
 
+@contextmanager
+def _few_at_a_time(spark: SparkSession, rows: int = FILES_AT_A_TIME) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is planned meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, rows if int(old) <= 0 else min(rows, int(old)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def ingest(
     spark: SparkSession,
     new: DataFrame,
@@ -59,8 +74,8 @@ def ingest(
 
     Tables (:mod:`orrery.sources.tables`): ``chunks``, ``documents`` (with the number of chunks),
     ``rejected`` (with the reason) and ``progress`` (the phases that each document went through). A
-    document that gives no chunks any more loses its earlier ones. Files are parsed once, into a
-    folder that is deleted after the commit; what is written is in proportion to the files of the
+    document that gives no chunks any more loses its earlier ones. Files are parsed once, FILES_AT_A_TIME
+    of them sent to Python together, into a folder that is deleted after the commit; what is written is in proportion to the files of the
     batch. A batch is committed once, however often it is tried.
 
     ``effective`` (document_id, tags) are inherited tags that are folded into the chunks;
@@ -70,7 +85,8 @@ def ingest(
         return known[batch]
     staged = f"{root}/staged-{uuid.uuid4().hex}"
     try:
-        source.parsed(source.with_document_id(new), parsers=parsers).write.parquet(staged)
+        with _few_at_a_time(spark):
+            source.parsed(source.with_document_id(new), parsers=parsers).write.parquet(staged)
         rows = spark.read.parquet(staged)
         chunks = source.chunks_of(rows)
         tags = [t for t in (effective, suggested_tags(chunks, suggest, least_confidence) if suggest else None) if t is not None]

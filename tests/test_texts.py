@@ -379,3 +379,29 @@ def test_many_sections_keep_their_order(spark, tmp_path):
     found = files.with_document_id(files.files(spark, str(tmp_path)))
     rows = files.parse_files(found).orderBy("chunk_index").select("heading_path").collect()
     assert [r.heading_path for r in rows] == [f"T{i}" for i in range(3000)]
+
+
+def test_few_files_are_sent_to_a_worker_at_a_time(spark, tmp_path, monkeypatch):
+    from orrery.sources import files as source
+    from orrery.sources import tables
+    from orrery.streaming import ingest
+
+    name, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", source.parsed
+    seen = str(tmp_path / "seen")
+
+    def parsed(found, **options):
+        def counted(batches):
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return plain(found.mapInArrow(counted, found.schema), **options)
+
+    monkeypatch.setattr(source, "parsed", parsed)
+    before = spark.conf.get(name)
+    new = spark.range(50, numPartitions=1).selectExpr("concat('/in/', id, '.txt') AS path", "concat(id, '.txt') AS filename", "CAST(concat('text ', id) AS binary) AS content")
+    ingest.ingest(spark, new, str(tmp_path / "t"))
+    assert spark.conf.get(name) == before and tables.read(spark, str(tmp_path / "t"), "chunks").count() == 50
+    sizes = [int(x) for x in open(seen)]
+    assert sum(sizes) == 50 and max(sizes) <= 16
