@@ -63,6 +63,31 @@ def test_scores_of_many_queries_are_never_shuffled(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
+def test_words_that_all_pairs_share_are_not_worked_out_pair_by_pair(spark, monkeypatch):
+    docs = {i: "the of and " + " ".join(f"w{(i * k) % 13}" for k in range(1, i % 7)) for i in range(200)}
+    corpus = spark.createDataFrame([("x", i, t) for i, t in docs.items()], "collection_id string, chunk_id long, text string").coalesce(1)
+    asked = corpus.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query_text"))
+    captured, kept = [], type(corpus).mapInArrow
+    monkeypatch.setattr(type(corpus), "mapInArrow", lambda self, f, *a, **b: captured.append((self, f)) or kept(self, f, *a, **b))
+    R.bm25(corpus, asked)
+    pairs, score = captured[-1]  # the last step, which gives the scores
+    added, count = [], R.np.bincount
+    batches = pairs.toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(R.np, "bincount", lambda x, *a, **b: added.append(len(x)) or count(x, *a, **b))
+    for few in (500, 1, 0):  # few shared words are columns; all but those of all pairs; none
+        monkeypatch.setattr(R, "DENSE", few, raising=False)
+        monkeypatch.setattr(R, "HITS", 1000, raising=False)
+        monkeypatch.setattr(R, "COLUMNS", 2, raising=False)
+        added.clear()
+        got = {(q, i): x for b in score(iter(batches)) for q, i, x in zip(b["query_id"].to_pylist(), b["chunk_id"].to_pylist(), b["bm25"].to_pylist(), strict=True)}
+        assert len(got) == 200 * 200
+        if few == 500:
+            assert sum(added) <= 2 * sum(len(set(t.split())) for t in docs.values()) * len(batches[0])
+        for q in (0, 6, 199):
+            want = plain_bm25(docs, docs[q].split())
+            assert all(got[q, i] == pytest.approx(want[i]) for i in want)
+
+
 def test_blank_corpus_scores_zero(spark):
     corpus = spark.createDataFrame([("x", "a", " "), ("x", "b", None)], "collection_id string, chunk_id string, text string")
     assert {r.bm25 for r in R.bm25(corpus, query(spark)).collect()} == {0.0}
