@@ -88,6 +88,25 @@ def test_words_that_all_pairs_share_are_not_worked_out_pair_by_pair(spark, monke
             assert all(got[q, i] == pytest.approx(want[i]) for i in want)
 
 
+def test_words_of_texts_are_rows_only_if_there_are_too_many_weights_or_a_chunk_is_there_twice(spark, monkeypatch):
+    monkeypatch.setattr(R, "COUNTED", 60, raising=False)
+    monkeypatch.setattr(R, "CARD", 3, raising=False)
+    docs = [("xyz"[i % 3], i, " ".join(f"w{(i * k) % 11}" for k in range(1, i % 9)) or None) for i in range(30)] + [(None, 30, "w1 w2"), ("x", 31, "ẞ É \x1cw1\u0085 w1")]
+    corpus = spark.createDataFrame(docs, "collection_id string, chunk_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(0, "w1 w1 W3 nothing"), (1, None), (2, "w2 ß é"), (3, docs[8][2])], "query_id long, query_text string")
+    cut, kept = [], R._said
+    monkeypatch.setattr(R, "_said", lambda rows: cut.append(1) or kept(rows))
+    scores = lambda rows: {(r.query_id, r.collection_id, r.chunk_id): r.bm25 for r in R.bm25(rows, asked).collect()}
+    sent = scores(corpus)
+    assert not cut and len(sent) == 32 * 4 and any(sent.values()) and sent[0, None, 30] == 0.0
+    monkeypatch.setattr(R, "WEIGHTS", -1, raising=False)
+    joined = scores(corpus)
+    assert cut and joined.keys() == sent.keys() and all(joined[k] == pytest.approx(sent[k]) for k in sent)
+    monkeypatch.setattr(R, "WEIGHTS", 1 << 20, raising=False)
+    cut.clear()
+    assert R.bm25(corpus.union(corpus.where("chunk_id = 8")), asked).count() == 33 * 4 and cut
+
+
 def test_blank_corpus_scores_zero(spark):
     corpus = spark.createDataFrame([("x", "a", " "), ("x", "b", None)], "collection_id string, chunk_id string, text string")
     assert {r.bm25 for r in R.bm25(corpus, query(spark)).collect()} == {0.0}
